@@ -69,13 +69,3 @@ def with_features(totals: DataFrame, keep: list[str]) -> DataFrame:
     columns = feature_columns()
     types = {field.name: field.dataType for field in FEATURE_SCHEMA}
     return totals.select(*keep, *[columns[f].cast(types[f]).alias(f) for f in FEATURES])
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column, leaving names and order alone."""
-    return df.select(
-        *[
-            F.round(quoted(name), places).alias(name) if kind == "double" else F.col(quoted(name))
-            for name, kind in df.dtypes
-        ]
-    )
