@@ -75,8 +75,8 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def lookup_many(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is listed (K3)."""
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows whose key is listed (K3); repeated keys are reduced in each task before the shuffle."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def range_read(df: DataFrame, key: str, low, high, then: tuple[str, ...] = ()) -> DataFrame:
@@ -91,7 +91,7 @@ def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
 
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Everything but the listed keys (K5)."""
-    return df.join(keys.select(key), key, "left_anti")
+    return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def apply_predictions(results: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ SCORE_CELLS = 4_000_000
 
 # Scores are compared in millionths, so that summation order cannot reorder ties.
 SCORE_UNIT = 1_000_000
-ABSENT = np.iinfo(np.int64).min
+ABSENT = -(1 << 62)  # below every score, and safe to negate
 HIT_SCHEMA = "query_id long, doc_pos long, score double"
 HIT_ARROW = pa.schema([("query_id", pa.int64()), ("doc_pos", pa.int64()), ("score", pa.float64())])
 

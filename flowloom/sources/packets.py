@@ -23,7 +23,8 @@ def stream_packets(spark: SparkSession, path: str, files_per_trigger: int | None
 
 def epoch_us(ts: Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+    since = (ts - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).cast("interval second")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("long")
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:
