@@ -164,6 +164,7 @@ def _stitched(fragments: DataFrame, gap_us: int, slice_us: int) -> tuple[DataFra
     border = (F.col("frag_us") - F.col("slice_us") < gap_us) | (
         F.col("slice_us") + slice_us - F.col("last_us") <= gap_us
     )
+    # A flow still open from an earlier batch has no slice: border and lane are null.
     order = Window.partitionBy(*KEY, "lane").orderBy("frag_us")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -195,7 +196,21 @@ def flow_totals(
     (always empty in observed mode).  ``flow_id`` is the id of the first packet.
     """
     slice_us = slice_us or default_slice_us(gap_us)
-    fragments = _fragments(_sliced(packets, gap_us, mode, slice_us), mode)
+    fragments = fragment_totals(packets, gap_us, mode, slice_us)
+    return oriented_totals(merge_fragments(fragments, gap_us, mode, slice_us), mode)
+
+
+def fragment_totals(packets: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
+    """Step 1 in one go: packets -> fragments."""
+    return _fragments(_sliced(packets, gap_us, mode, slice_us), mode)
+
+
+def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
+    """Step 2 in one go: fragments -> flows, with the columns of a fragment.
+
+    A merged flow can therefore be merged again with later fragments; ``slice_us`` is the
+    last slice it reached.
+    """
     df, before, _ = _stitched(fragments, gap_us, slice_us)
     directions = list(_directions(mode))
     for d in directions:
@@ -208,8 +223,9 @@ def flow_totals(
     aggs = [
         F.sum("pkts").alias("pkts"),
         F.max("last_us").alias("last_us"),
-        _on_open("first_pkt").alias("flow_id"),
+        _on_open("first_pkt").alias("first_pkt"),
         F.sum("payload_sum").alias("payload_sum"),
+        F.max("slice_us").alias("slice_us"),
     ]
     if mode == BIDIRECTIONAL:
         aggs += [_on_open("first_fwd").alias("first_fwd"), _on_open("first_orient").alias("first_orient")]
@@ -234,8 +250,8 @@ def flow_totals(
         ]
         if mode == BIDIRECTIONAL:
             aggs += [F.min(f"{n}_{d}").alias(f"{n}_{d}") for n in ("syn", "synack", "ack")]
-    flows = df.groupBy(*KEY, "lane", "flow_us").agg(*aggs)
-    return oriented_totals(flows, mode)
+    flows = df.groupBy(*KEY, "lane", "flow_us").agg(*aggs).drop("lane")
+    return flows.withColumnRenamed("flow_us", "frag_us")
 
 
 def oriented_totals(flows: DataFrame, mode: str) -> DataFrame:
@@ -257,8 +273,8 @@ def oriented_totals(flows: DataFrame, mode: str) -> DataFrame:
         endpoint("b", "a").alias("dst"),
         endpoint("b_port", "a_port").alias("dport"),
         "proto",
-        "flow_id",
-        F.col("flow_us").alias("first_us"),
+        F.col("first_pkt").alias("flow_id"),
+        F.col("frag_us").alias("first_us"),
         "last_us",
         "pkts",
         "payload_sum",

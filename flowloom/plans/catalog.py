@@ -74,8 +74,8 @@ from flowloom.sources.results import (
     write_anomalies,
     write_results_csv,
 )
-from flowloom.streaming.flows import stream_sessions, stream_totals
-from flowloom.streaming.replay import CLOSING_SRC, add_closing_packet, stage_in_time_order
+from flowloom.streaming.flows import flows_stream, stream_sessions
+from flowloom.streaming.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
 from flowloom.streaming.scoring import (
     append_stream,
     first_anomalies_stream,
@@ -650,11 +650,11 @@ def explain_anomaly(spark, sf):
 
 
 def _packet_stream(spark, sf):
-    """Event packets as a file stream in time order, closed by a far later packet."""
+    """Event packets as a file stream in time order, closed by far later packets."""
     packets = event_packets(spark, sf)
     path = work_path(spark, "packets")
     width = stage_in_time_order(packets, path)
-    add_closing_packet(packets, path)
+    add_closing_packets(packets, path)
     return stream_packets(spark, path, 16), f"{width} microseconds"
 
 
@@ -674,7 +674,11 @@ def stream_flows(spark, sf):
 @query
 def stream_flow_features(spark, sf):
     packets, delay = _packet_stream(spark, sf)
-    totals = _collect(spark, stream_totals(packets, EVENT_GAP_US, BIDIRECTIONAL, delay))
+    out = work_path(spark, "flows")
+    flows_stream(
+        packets, out, work_path(spark, "open"), work_path(spark, "checkpoint"), EVENT_GAP_US, BIDIRECTIONAL, delay
+    ).awaitTermination()
+    totals = spark.read.parquet(out)
     return rounded(with_features(totals.where(F.col("src") != CLOSING_SRC), FLOW_COLUMNS))
 
 

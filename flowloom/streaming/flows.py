@@ -1,42 +1,42 @@
 """Flows from a packet stream.
 
-``stream_sessions`` uses ``session_window``; ``stream_totals`` keeps running sums per
-open flow, so a flow that never pauses needs no more state than a short one.
+``stream_sessions`` uses ``session_window``.  ``flows_stream`` computes everything the
+batch operators compute, with the batch operators: the stream only holds packets back
+until the watermark has passed their time slice.
 """
 
 from __future__ import annotations
 
-import io
-import json
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from flowloom.functions.packets import ACK, SYN, SYN_OR_ACK, ipv4_only, with_flow_key
-from flowloom.operators.flows import BIDIRECTIONAL, KEY, OBSERVED, _keyed, oriented_totals
-from flowloom.schemas import DEFAULT_GAP_US, FLOW_KEY, MAX_PAYLOAD
+from pyspark.sql.streaming import StreamingQuery
+
+from flowloom.functions.packets import ipv4_only, with_flow_key
+from flowloom.operators.flows import (
+    OBSERVED,
+    default_slice_us,
+    fragment_totals,
+    merge_fragments,
+    oriented_totals,
+)
+from flowloom.schemas import DEFAULT_GAP_US, FLOW_KEY
+from flowloom.session import materialise
+from flowloom.streaming.scoring import AVAILABLE_NOW, Trigger, write_batch
 
 # Merges the sessions of a busy key in each task before they are shuffled.
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
-_SUMS = ["bytes", "pkts", "win_sum", "win_n", "seq_n"]
-_TIMES = ["first_us", "last_us", "first_seq", "syn", "synack", "ack"]
-_SIDES = [f"{name}_{d}" for d in "fr" for name in _SUMS + _TIMES]
-_OUT = (
-    "a string, a_port int, b string, b_port int, proto int, flow_us long, last_us long, "
-    "flow_id long, pkts long, payload_sum long, first_fwd boolean, first_orient boolean, "
-    + ", ".join(f"{c} long" for c in _SIDES)
-    + ", gap_sq_f string, gap_sq_r string"
-)
-_OUT_NAMES = [c.split(" ")[0] for c in _OUT.split(", ")]
-_STATE = "flow string, waiting binary"
-_TYPES = {"fwd": bool, "orient": bool, "tcp_window": float, "tcp_seq": float, "tcp_flags": float}
-_FLAGS = {"syn": SYN, "synack": SYN_OR_ACK, "ack": ACK}
+_PACKET = [
+    "pkt_id",
+    "ts_us",
+    "ip_version",
+    *FLOW_KEY,
+    "pkt_len",
+    "payload_len",
+    "tcp_window",
+    "tcp_seq",
+    "tcp_flags",
+]
 
 
 def stream_sessions(packets: DataFrame, gap_us: int = DEFAULT_GAP_US, delay: str = "10 seconds") -> DataFrame:
@@ -56,137 +56,62 @@ def stream_sessions(packets: DataFrame, gap_us: int = DEFAULT_GAP_US, delay: str
     )
 
 
-def _open_flow(row) -> dict:
-    flow = {name: 0 if name[:-2] in _SUMS else None for name in _SIDES}
-    return flow | {
-        "flow_us": int(row.ts_us),
-        "flow_id": int(row.pkt_id),
-        "first_fwd": bool(row.fwd),
-        "first_orient": bool(row.orient),
-        "pkts": 0,
-        "payload_sum": 0,
-        "gap_sq_f": 0,
-        "gap_sq_r": 0,
-    }
-
-
-def _earliest(flow: dict, name: str, values: np.ndarray) -> None:
-    if flow[name] is None and len(values):
-        flow[name] = int(values[0])
-
-
-def _absorb(flow: dict, part: pd.DataFrame) -> None:
-    """Add packets, in time order, to an open flow."""
-    flow["pkts"] += len(part)
-    flow["last_us"] = int(part.ts_us.iloc[-1])
-    flow["payload_sum"] += int(part.payload_len.sum())
-    for d, side in (("f", part[part.fwd]), ("r", part[~part.fwd])):
-        if side.empty:
-            continue
-        times = side.ts_us.to_numpy()
-        last = flow[f"last_us_{d}"]
-        gaps = np.diff(times if last is None else np.concatenate([[last], times])).tolist()
-        flow[f"gap_sq_{d}"] += sum(g * g for g in gaps)
-        _earliest(flow, f"first_us_{d}", times)
-        flow[f"last_us_{d}"] = int(times[-1])
-        flow[f"bytes_{d}"] += int(side.pkt_len.sum())
-        flow[f"pkts_{d}"] += len(side)
-        windows, seqs, flags = side.tcp_window.dropna(), side.tcp_seq.dropna(), side.tcp_flags
-        flow[f"win_sum_{d}"] += int(windows.sum())
-        flow[f"win_n_{d}"] += len(windows)
-        flow[f"seq_n_{d}"] += len(seqs)
-        _earliest(flow, f"first_seq_{d}", seqs.to_numpy())
-        bits = flags.fillna(0).to_numpy().astype(np.int64)
-        for name, mask in _FLAGS.items():
-            _earliest(flow, f"{name}_{d}", times[(bits & mask) != 0])
-
-
-def _advance(key: tuple, flow: dict | None, rows: pd.DataFrame, gap_us: int) -> tuple[dict | None, list[dict]]:
-    """Run ordered packets through the open flow; return the flow still open and the closed ones."""
-    if rows.empty:
-        return flow, []
-    closed = []
-    times = rows.ts_us.to_numpy()
-    cuts = (np.flatnonzero(np.diff(times) > gap_us) + 1).tolist()
-    for start, stop in zip([0, *cuts], [*cuts, len(rows)]):
-        part = rows.iloc[start:stop]
-        if flow is not None and times[start] - flow["last_us"] > gap_us:
-            closed.append(flow)
-            flow = None
-        if flow is None:
-            flow = _open_flow(part.iloc[0])
-        _absorb(flow, part)
-    return flow, closed
-
-
-def _pack(rows: pd.DataFrame) -> bytes:
-    buffer = io.BytesIO()
-    rows.to_feather(buffer)
-    return buffer.getvalue()
-
-
-def stream_totals(
+def complete_slices(packets: DataFrame, slice_us: int, delay: str) -> DataFrame:
+    """Hold packets back until the watermark passes the end of their time slice.
+
+    Every packet is its own group, so state spreads evenly however busy one flow key is;
+    a packet delivered twice counts once.  Later packets are dropped and counted by the
+    engine (S7).
+    """
+    return (
+        with_flow_key(ipv4_only(packets))
+        .withWatermark("ts", delay)
+        .groupBy(F.window("ts", f"{slice_us} microseconds"), *_PACKET)
+        .agg(F.count("*").alias("deliveries"))
+        .select(*_PACKET)
+    )
+
+
+def flows_stream(
     packets: DataFrame,
+    out: str,
+    state: str,
+    checkpoint: str,
     gap_us: int = DEFAULT_GAP_US,
     mode: str = OBSERVED,
     delay: str = "10 seconds",
-) -> DataFrame:
-    """The columns of ``flow_totals`` for a stream; equal to the batch result.
-
-    Packets wait until the watermark passes them and are then taken in time order, so
-    arrival order inside the delay does not matter.  State per key is one set of running
-    sums plus the packets of the last ``delay``.
+    slice_us: int | None = None,
+    trigger: Trigger = AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Write ``flow_totals`` rows to ``out`` as flows close; equal to the batch result.
+
+    Slices complete in time order.  A micro-batch reduces its packets to fragments, merges
+    them with the flows left open, writes those that no later packet can reach and keeps
+    the rest, one row per open flow, for the next micro-batch.  State alternates between
+    two folders and outputs are replaced by batch id, so a replay repeats the same result.
     """
+    slice_us = slice_us or default_slice_us(gap_us)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fragments = fragment_totals(batch, gap_us, mode, slice_us)
+        squares = [c for c in fragments.columns if c.startswith("gap_sq_")]
+        fragments = fragments.withColumns({c: F.col(c).cast("decimal(38,0)") for c in squares})
+        if batch_id > 0:
+            earlier = batch.sparkSession.read.parquet(f"{state}/slot={(batch_id - 1) % 2}")
+            fragments = fragments.unionByName(earlier)
+        flows = materialise(merge_fragments(fragments, gap_us, mode, slice_us))
+        newest = flows.agg(F.max("slice_us")).first()[0]
+        # Later slices start here or after; null when the batch brought no packets.
+        horizon = F.lit(None if newest is None else newest + slice_us).cast("long")
+        closed = F.coalesce(F.col("last_us") + gap_us < horizon, F.lit(False))
+        write_batch(oriented_totals(flows.where(closed), mode), out, batch_id)
+        still_open = flows.where(~closed).withColumn("slice_us", F.lit(None).cast("long"))
+        still_open.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flow, parts = None, []
-        if state.exists:
-            text, waiting = state.get
-            flow = json.loads(text) if text else None
-            if waiting:
-                parts.append(pd.read_feather(io.BytesIO(bytes(waiting))))
-        parts += [batch.astype(_TYPES) for batch in batches]  # this key's share of one micro-batch
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        closed = []
-        rows = pd.concat(parts, ignore_index=True) if parts else None
-        if rows is not None:
-            rows = rows.sort_values(["ts_us", "pkt_id"], ignore_index=True)
-            due = rows if state.hasTimedOut else rows[rows.ts_us <= watermark_us]
-            flow, closed = _advance(key, flow, due, gap_us)
-            rows = rows.iloc[len(due) :].reset_index(drop=True)
-        waits = rows is not None and not rows.empty
-        if flow is not None and not waits and (state.hasTimedOut or watermark_us >= flow["last_us"] + gap_us):
-            closed.append(flow)
-            flow = None
-        if flow is None and not waits:
-            state.remove()
-        else:
-            state.update((json.dumps(flow) if flow else "", _pack(rows) if waits else b""))
-            newest = int(rows.ts_us.iloc[-1]) if waits else flow["last_us"]
-            state.setTimeoutTimestamp(max(math.ceil((newest + gap_us) / 1000), watermark_us // 1000 + 1))
-        if closed:
-            names = dict(zip(KEY, key))
-            out = [{**f, **names, "gap_sq_f": str(f["gap_sq_f"]), "gap_sq_r": str(f["gap_sq_r"])} for f in closed]
-            frame = pd.DataFrame(out, columns=_OUT_NAMES)
-            for name in _SIDES:
-                frame[name] = frame[name].astype("Int64")
-            yield frame
-
-    keyed = _keyed(packets, mode).withWatermark("ts", delay).select(
-        *KEY,
-        "ts",
-        "ts_us",
-        "pkt_id",
-        "fwd",
-        "orient",
-        "pkt_len",
-        F.least("payload_len", F.lit(MAX_PAYLOAD)).alias("payload_len"),
-        F.col("tcp_window").cast("long"),
-        F.col("tcp_seq").cast("long"),
-        "tcp_flags",
-    )
-    flows = keyed.groupBy(*KEY).applyInPandasWithState(
-        step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return (
+        complete_slices(packets, slice_us, delay)
+        .writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
     )
-    flows = flows.withColumns({f"gap_sq_{d}": F.col(f"gap_sq_{d}").cast("decimal(38,0)") for d in "fr"})
-    return oriented_totals(flows, BIDIRECTIONAL if mode == BIDIRECTIONAL else OBSERVED)

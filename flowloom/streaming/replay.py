@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A packet far behind any real one: it moves the watermark past every open flow.
+# Two packets far behind any real one, in 2100 and 2200.  The second moves the watermark past
+# the first, whose slice then shows that no real flow can go on.
 CLOSING_SRC = "closing-marker"
-CLOSING_TS_US = 4_102_444_800_000_000
+CLOSING_TS_US = [4_102_444_800_000_000, 7_258_118_400_000_000]
 
 
 def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: int = 4) -> int:
@@ -34,21 +35,17 @@ def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: i
     return widest
 
 
-def add_closing_packet(packets: DataFrame, path: str) -> None:
-    """Append one packet dated 2100, read after everything else."""
-    row = {
-        "pkt_id": F.lit(-1),
-        "ts_us": F.lit(CLOSING_TS_US),
-        "ts": F.timestamp_micros(F.lit(CLOSING_TS_US)),
+def add_closing_packets(packets: DataFrame, path: str) -> None:
+    """Append the closing packets, read after everything else."""
+    times = packets.sparkSession.createDataFrame([(t,) for t in CLOSING_TS_US], "at long")
+    fixed = {
+        "pkt_id": -F.col("at"),
+        "ts_us": F.col("at"),
+        "ts": F.timestamp_micros("at"),
         "ip_version": F.lit(4),
         "src": F.lit(CLOSING_SRC),
         "dst": F.lit(CLOSING_SRC),
     }
-    spark = packets.sparkSession
-    marker = spark.range(1).select(
-        *[
-            row.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name)
-            for f in packets.schema.fields
-        ]
-    )
-    marker.write.mode("append").parquet(path)
+    times.select(
+        *[fixed.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in packets.schema]
+    ).coalesce(1).write.mode("append").parquet(path)

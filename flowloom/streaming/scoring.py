@@ -17,7 +17,7 @@ Trigger = dict[str, object]
 AVAILABLE_NOW: Trigger = {"availableNow": True}
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> str:
+def write_batch(df: DataFrame, path: str, batch_id: int) -> str:
     """One folder per micro-batch, replaced when the batch is replayed."""
     folder = f"{path}/batch_id={batch_id}"
     df.write.mode("overwrite").parquet(folder)
@@ -40,8 +40,8 @@ def score_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         screened = screen_records(batch)
-        _write_batch(score(screened), results, batch_id)
-        _write_batch(dead_letters(screened), dead, batch_id)
+        write_batch(score(screened), results, batch_id)
+        write_batch(dead_letters(screened), dead, batch_id)
 
     return (
         lines.writeStream.foreachBatch(handle)
@@ -71,7 +71,7 @@ def first_anomalies_stream(
         used = 0
         if batch_id > 0 and table_exists(spark, path):
             used = spark.read.parquet(path).where(F.col("batch_id") < batch_id).count()
-        _write_batch(handle(anomalies(batch).orderBy(*order).limit(max(0, n - used))), path, batch_id)
+        write_batch(handle(anomalies(batch).orderBy(*order).limit(max(0, n - used))), path, batch_id)
 
     return (
         labelled.writeStream.foreachBatch(gate)
