@@ -13,6 +13,5 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     expression, which then runs twice and makes plans grow.  Filters stay above a
     generator, so the columns come out of a generator of exactly one row.
     """
-    kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
+    return df.drop(*columns).select("*", F.inline(F.array(row)))

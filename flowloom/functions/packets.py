@@ -24,25 +24,12 @@ def ipv4_only(packets: DataFrame) -> DataFrame:
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Directional 5-tuple (P1): non-IP rows go, ports count for TCP and UDP only."""
-    has_ports = F.col("proto").isin(TCP, UDP)
-    return packets.where(
-        F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("proto").isNotNull()
-    ).withColumns(
-        {
-            "sport": F.when(has_ports, F.col("sport")).otherwise(0),
-            "dport": F.when(has_ports, F.col("dport")).otherwise(0),
-        }
+    return packets.where("src IS NOT NULL AND dst IS NOT NULL AND proto IS NOT NULL").withColumns(
+        {port: F.expr(f"if(proto IN ({TCP}, {UDP}), {port}, 0)") for port in ("sport", "dport")}
     )
 
 
 def with_tcp_fields(packets: DataFrame) -> DataFrame:
     """TCP-only fields (P13): null for other protocols, payload counts as 0."""
-    is_tcp = F.col("proto") == TCP
-    return packets.withColumns(
-        {
-            "payload_len": F.when(is_tcp, F.col("payload_len")).otherwise(0).cast("long"),
-            "tcp_window": F.when(is_tcp, F.col("tcp_window")),
-            "tcp_seq": F.when(is_tcp, F.col("tcp_seq")),
-            "tcp_flags": F.when(is_tcp, F.col("tcp_flags")),
-        }
-    )
+    fields = {c: F.expr(f"if(proto = {TCP}, {c}, NULL)") for c in ("tcp_window", "tcp_seq", "tcp_flags")}
+    return packets.withColumns(fields | {"payload_len": F.expr(f"if(proto = {TCP}, payload_len, 0L)")})

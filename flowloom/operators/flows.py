@@ -18,16 +18,13 @@ partitioning or row order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.packets import (
     ACK,
     SYN,
     SYN_OR_ACK,
-    any_flag,
     ipv4_only,
     with_flow_key,
     with_tcp_fields,
@@ -41,6 +38,10 @@ MAX_SLICE_US = 3_000_000_000
 
 KEY = ["a", "a_port", "b", "b_port", "proto"]
 SLICE = [*KEY, "slice_us"]
+HANDSHAKE = {"syn": SYN, "synack": SYN_OR_ACK, "ack": ACK}
+
+SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def default_slice_us(gap_us: int) -> int:
@@ -48,12 +49,16 @@ def default_slice_us(gap_us: int) -> int:
     return max(1, min(16 * gap_us, MAX_SLICE_US))
 
 
-def _directions(mode: str) -> dict[str, Column]:
+def _over(keys: list[str], order: str, rows: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} {rows})"
+
+
+def _directions(mode: str) -> dict[str, str]:
     """Packet directions relative to the grouping key; 'f' leaves endpoint a."""
     if mode == OBSERVED:
-        return {"f": F.lit(True)}
+        return {"f": "true"}
     if mode == BIDIRECTIONAL:
-        return {"f": F.col("fwd"), "r": ~F.col("fwd")}
+        return {"f": "fwd", "r": "NOT fwd"}
     raise ValueError(f"unknown flow mode: {mode!r}")
 
 
@@ -61,24 +66,20 @@ def _keyed(packets: DataFrame, mode: str) -> DataFrame:
     """Add the grouping key, ``fwd`` (address order) and ``orient`` (endpoint order).
 
     Observed mode groups by the directional 5-tuple.  Bidirectional mode groups both
-    directions under the ordered pair of endpoints.
+    directions under the ordered pair of endpoints.  Direction compares addresses only,
+    so traffic of a host with itself is all forward.
     """
     p = with_tcp_fields(with_flow_key(ipv4_only(packets)))
     if mode == OBSERVED:
-        orient = F.lit(True)
-        fwd = F.lit(True)
+        p = p.selectExpr("*", "true AS orient", "true AS fwd")
     else:
-        here, there = F.struct("src", "sport"), F.struct("dst", "dport")
-        orient = here <= there
-        # Direction compares addresses only, so traffic of a host with itself is all forward.
-        fwd = F.col("src") <= F.col("dst")
-    return p.withColumns({"fwd": fwd, "orient": orient}).withColumns(
-        {
-            "a": F.when(F.col("orient"), F.col("src")).otherwise(F.col("dst")),
-            "a_port": F.when(F.col("orient"), F.col("sport")).otherwise(F.col("dport")),
-            "b": F.when(F.col("orient"), F.col("dst")).otherwise(F.col("src")),
-            "b_port": F.when(F.col("orient"), F.col("dport")).otherwise(F.col("sport")),
-        }
+        p = p.selectExpr("*", "struct(src, sport) <= struct(dst, dport) AS orient", "src <= dst AS fwd")
+    return p.selectExpr(
+        "*",
+        "if(orient, src, dst) AS a",
+        "if(orient, sport, dport) AS a_port",
+        "if(orient, dst, src) AS b",
+        "if(orient, dport, sport) AS b_port",
     )
 
 
@@ -86,102 +87,90 @@ def _sliced(packets: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFr
     """Step 1: mark fragments inside each (key, slice)."""
     if not 0 < slice_us <= MAX_SLICE_US:
         raise ValueError(f"slice_us must lie between 1 and {MAX_SLICE_US}")
-    order = Window.partitionBy(*SLICE).orderBy("ts_us", "pkt_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ts = F.col("ts_us")
-    p = (
+    order = "ts_us, pkt_id"
+    so_far, before = _over(SLICE, order, SO_FAR), _over(SLICE, order, BEFORE)
+    looks_back = []
+    for d, cond in _directions(mode).items():
+        earlier = "prev_us" if mode == OBSERVED else f"last(if({cond}, ts_us, NULL), true) {before}"
+        looks_back += [
+            f"{earlier} AS before_{d}",
+            f"last(if({cond} AND tcp_seq IS NOT NULL, ts_us, NULL), true) {before} AS tcp_before_{d}",
+        ]
+    return (
         _keyed(packets, mode)
-        .withColumn("slice_us", ts - F.pmod(ts, F.lit(slice_us)))
-        .withColumn("prev_us", F.lag("ts_us").over(order))
-        .withColumn("opens", F.col("prev_us").isNull() | (ts - F.col("prev_us") > gap_us))
-        .withColumn("frag_us", F.max(F.when(F.col("opens"), ts)).over(so_far))
+        .selectExpr("*", f"ts_us - pmod(ts_us, {slice_us}L) AS slice_us")
+        .selectExpr("*", f"lag(ts_us) {_over(SLICE, order)} AS prev_us")
+        .selectExpr("*", f"prev_us IS NULL OR ts_us - prev_us > {gap_us}L AS opens")
+        .selectExpr("*", f"max(if(opens, ts_us, NULL)) {so_far} AS frag_us", *looks_back)
     )
-    for d, cond in _directions(mode).items():
-        if mode == OBSERVED:
-            earlier = F.col("prev_us")
-        else:
-            earlier = F.last(F.when(cond, ts), ignorenulls=True).over(before)
-        tcp = F.last(F.when(cond & F.col("tcp_seq").isNotNull(), ts), ignorenulls=True).over(before)
-        p = p.withColumns({f"before_{d}": earlier, f"tcp_before_{d}": tcp})
-    return p
 
 
-def _in_fragment(name: str) -> Column:
+def _within(name: str) -> str:
     """A looked-back time, null when it belongs to an earlier fragment."""
-    return F.when(F.col(name) >= F.col("frag_us"), F.col(name))
+    return f"if({name} >= frag_us, {name}, NULL)"
 
 
-def _gap(d: str, cond: Column) -> Column:
-    return F.when(cond, F.col("ts_us") - _in_fragment(f"before_{d}"))
+def _gap(d: str, cond: str) -> str:
+    return f"if({cond}, ts_us - {_within(f'before_{d}')}, NULL)"
 
 
-def _on_open(column: str) -> Column:
-    return F.max(F.when(F.col("opens"), F.col(column)))
+def _on_open(column: str, name: str | None = None) -> str:
+    return f"max(if(opens, {column}, NULL)) AS {name or column}"
 
 
 def _fragments(sliced: DataFrame, mode: str) -> DataFrame:
     """Reduce every fragment to integers; same partitioning, so no shuffle."""
+    directions = _directions(mode)
+    gaps = [f"{_gap(d, cond)} AS gap_{d}" for d, cond in directions.items()]
     aggs = [
-        F.count("*").alias("pkts"),
-        F.max("ts_us").alias("last_us"),
-        _on_open("pkt_id").alias("first_pkt"),
-        F.sum(F.least(F.col("payload_len"), F.lit(MAX_PAYLOAD))).alias("payload_sum"),
+        "count(*) AS pkts",
+        "max(ts_us) AS last_us",
+        _on_open("pkt_id", "first_pkt"),
+        f"sum(least(payload_len, {MAX_PAYLOAD}L)) AS payload_sum",
     ]
     if mode == BIDIRECTIONAL:
-        aggs += [_on_open("fwd").alias("first_fwd"), _on_open("orient").alias("first_orient")]
-    for d, cond in _directions(mode).items():
-        ts = F.when(cond, F.col("ts_us"))
-        gap = _gap(d, cond)
-        first_tcp = cond & _in_fragment(f"tcp_before_{d}").isNull()
+        aggs += [_on_open("fwd", "first_fwd"), _on_open("orient", "first_orient")]
+    for d, cond in directions.items():
+        first_tcp = f"{cond} AND {_within(f'tcp_before_{d}')} IS NULL"
         aggs += [
-            F.sum(F.when(cond, F.col("pkt_len")).otherwise(0)).alias(f"bytes_{d}"),
-            F.count(ts).alias(f"pkts_{d}"),
-            F.min(ts).alias(f"first_us_{d}"),
-            F.max(ts).alias(f"last_us_{d}"),
-            F.sum(gap * gap).alias(f"gap_sq_{d}"),
-            F.sum(F.when(cond, F.col("tcp_window"))).alias(f"win_sum_{d}"),
-            F.count(F.when(cond, F.col("tcp_window"))).alias(f"win_n_{d}"),
-            F.count(F.when(cond, F.col("tcp_seq"))).alias(f"seq_n_{d}"),
-            F.max(F.when(first_tcp, F.col("tcp_seq"))).alias(f"first_seq_{d}"),
+            f"sum(if({cond}, pkt_len, 0L)) AS bytes_{d}",
+            f"count(if({cond}, 1, NULL)) AS pkts_{d}",
+            f"min(if({cond}, ts_us, NULL)) AS first_us_{d}",
+            f"max(if({cond}, ts_us, NULL)) AS last_us_{d}",
+            f"sum(gap_{d} * gap_{d}) AS gap_sq_{d}",
+            f"sum(if({cond}, tcp_window, NULL)) AS win_sum_{d}",
+            f"count(if({cond}, tcp_window, NULL)) AS win_n_{d}",
+            f"count(if({cond}, tcp_seq, NULL)) AS seq_n_{d}",
+            f"max(if({first_tcp}, tcp_seq, NULL)) AS first_seq_{d}",
         ]
         if mode == BIDIRECTIONAL:
             aggs += [
-                F.min(F.when(cond & any_flag(F.col("tcp_flags"), bits), F.col("ts_us"))).alias(
-                    f"{name}_{d}"
-                )
-                for name, bits in (("syn", SYN), ("synack", SYN_OR_ACK), ("ack", ACK))
+                f"min(if({cond} AND tcp_flags & {bits} != 0, ts_us, NULL)) AS {name}_{d}"
+                for name, bits in HANDSHAKE.items()
             ]
-    return sliced.groupBy(*SLICE, "frag_us").agg(*aggs)
+    return sliced.selectExpr("*", *gaps).groupBy(*SLICE, "frag_us").agg(*map(F.expr, aggs))
 
 
-def _stitched(fragments: DataFrame, gap_us: int, slice_us: int) -> tuple[DataFrame, Callable, Callable]:
-    """Step 2: continue flows across slice borders.
+def _stitched(fragments: DataFrame, gap_us: int, slice_us: int, columns: list[str]) -> DataFrame:
+    """Step 2: continue flows across slice borders, giving every fragment its ``flow_us``.
 
-    ``lane`` is null for border fragments (gathered per key) and the slice itself for
-    the rest.  Returns the fragments with ``flow_us`` plus the window frames used.
+    ``lane`` is null for border fragments, and for flows still open from an earlier batch,
+    which have no slice; these meet per key.  For all others it is the slice itself.
+    ``columns`` may use ``{before}`` and ``{so_far}``, the frames over earlier fragments.
     """
-    border = (F.col("frag_us") - F.col("slice_us") < gap_us) | (
-        F.col("slice_us") + slice_us - F.col("last_us") <= gap_us
-    )
-    # A flow still open from an earlier batch has no slice: border and lane are null.
-    order = Window.partitionBy(*KEY, "lane").orderBy("frag_us")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = (
-        fragments.withColumn("lane", F.when(~border, F.col("slice_us")))
-        .withColumn("prev_us", F.lag("last_us").over(order))
-        .withColumn(
-            "opens", F.col("prev_us").isNull() | (F.col("frag_us") - F.col("prev_us") > gap_us)
+    keys = [*KEY, "lane"]
+    frames = {"before": _over(keys, "frag_us", BEFORE), "so_far": _over(keys, "frag_us", SO_FAR)}
+    inner = f"frag_us - slice_us >= {gap_us}L AND slice_us + {slice_us}L - last_us > {gap_us}L"
+    return (
+        fragments.selectExpr("*", f"if({inner}, slice_us, NULL) AS lane")
+        .selectExpr("*", f"lag(last_us) {_over(keys, 'frag_us')} AS prev_us")
+        .selectExpr("*", f"prev_us IS NULL OR frag_us - prev_us > {gap_us}L AS opens")
+        .selectExpr(
+            "*",
+            f"max(if(opens, frag_us, NULL)) {frames['so_far']} AS flow_us",
+            *[c.format(**frames) for c in columns],
         )
-        .withColumn("flow_us", F.max(F.when(F.col("opens"), F.col("frag_us"))).over(so_far))
     )
-    return df, before, so_far
-
-
-def _pick(first: str, same: Column, other: Column | None) -> Column:
-    """Value seen from the flow's first packet: ``same`` when that packet ran forward."""
-    return same if other is None else F.when(F.col(first), same).otherwise(other)
 
 
 def flow_totals(
@@ -211,100 +200,83 @@ def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int)
     A merged flow can therefore be merged again with later fragments; ``slice_us`` is the
     last slice it reached.
     """
-    df, before, _ = _stitched(fragments, gap_us, slice_us)
-    directions = list(_directions(mode))
+    directions = _directions(mode)
+    looks_back = []
     for d in directions:
-        last = F.last(f"last_us_{d}", ignorenulls=True).over(before)
-        seen = F.last(
-            F.when(F.col(f"first_seq_{d}").isNotNull(), F.col("frag_us")), ignorenulls=True
-        ).over(before)
-        df = df.withColumns({f"prev_{d}": last, f"seen_{d}": seen})
-
+        looks_back += [
+            f"last(last_us_{d}, true) {{before}} AS prev_{d}",
+            f"last(if(first_seq_{d} IS NOT NULL, frag_us, NULL), true) {{before}} AS seen_{d}",
+        ]
     aggs = [
-        F.sum("pkts").alias("pkts"),
-        F.max("last_us").alias("last_us"),
-        _on_open("first_pkt").alias("first_pkt"),
-        F.sum("payload_sum").alias("payload_sum"),
-        F.max("slice_us").alias("slice_us"),
+        "sum(pkts) AS pkts",
+        "max(last_us) AS last_us",
+        _on_open("first_pkt"),
+        "sum(payload_sum) AS payload_sum",
+        "max(slice_us) AS slice_us",
     ]
     if mode == BIDIRECTIONAL:
-        aggs += [_on_open("first_fwd").alias("first_fwd"), _on_open("first_orient").alias("first_orient")]
+        aggs += [_on_open("first_fwd"), _on_open("first_orient")]
     for d in directions:
-        bridge = F.when(
-            F.col(f"prev_{d}") >= F.col("flow_us"), F.col(f"first_us_{d}") - F.col(f"prev_{d}")
-        ).cast("decimal(18,0)")
-        inside = F.coalesce(F.col(f"gap_sq_{d}"), F.lit(0)).cast("decimal(38,0)")
-        unseen = F.col(f"seen_{d}").isNull() | (F.col(f"seen_{d}") < F.col("flow_us"))
+        bridge = f"CAST(if(prev_{d} >= flow_us, first_us_{d} - prev_{d}, 0L) AS DECIMAL(18,0))"
         aggs += [
-            F.sum(f"bytes_{d}").alias(f"bytes_{d}"),
-            F.sum(f"pkts_{d}").alias(f"pkts_{d}"),
-            F.min(f"first_us_{d}").alias(f"first_us_{d}"),
-            F.max(f"last_us_{d}").alias(f"last_us_{d}"),
-            F.sum(inside + F.coalesce(bridge * bridge, F.lit(0).cast("decimal(38,0)"))).alias(
-                f"gap_sq_{d}"
-            ),
-            F.sum(f"win_sum_{d}").alias(f"win_sum_{d}"),
-            F.sum(f"win_n_{d}").alias(f"win_n_{d}"),
-            F.sum(f"seq_n_{d}").alias(f"seq_n_{d}"),
-            F.max(F.when(unseen, F.col(f"first_seq_{d}"))).alias(f"first_seq_{d}"),
+            f"sum(bytes_{d}) AS bytes_{d}",
+            f"sum(pkts_{d}) AS pkts_{d}",
+            f"min(first_us_{d}) AS first_us_{d}",
+            f"max(last_us_{d}) AS last_us_{d}",
+            f"sum(CAST(coalesce(gap_sq_{d}, 0) AS DECIMAL(38,0)) + coalesce({bridge} * {bridge}, 0)) AS gap_sq_{d}",
+            f"sum(win_sum_{d}) AS win_sum_{d}",
+            f"sum(win_n_{d}) AS win_n_{d}",
+            f"sum(seq_n_{d}) AS seq_n_{d}",
+            f"max(if(seen_{d} IS NULL OR seen_{d} < flow_us, first_seq_{d}, NULL)) AS first_seq_{d}",
         ]
         if mode == BIDIRECTIONAL:
-            aggs += [F.min(f"{n}_{d}").alias(f"{n}_{d}") for n in ("syn", "synack", "ack")]
-    flows = df.groupBy(*KEY, "lane", "flow_us").agg(*aggs).drop("lane")
+            aggs += [f"min({name}_{d}) AS {name}_{d}" for name in HANDSHAKE]
+    flows = _stitched(fragments, gap_us, slice_us, looks_back)
+    flows = flows.groupBy(*KEY, "lane", "flow_us").agg(*map(F.expr, aggs)).drop("lane")
     return flows.withColumnRenamed("flow_us", "frag_us")
 
 
 def oriented_totals(flows: DataFrame, mode: str) -> DataFrame:
     """Turn per-direction totals into initiator / responder totals."""
+    one_way = mode == OBSERVED
 
-    def side(name: str, of_source: bool) -> Column:
-        if mode == OBSERVED:
-            return F.col(f"{name}_f") if of_source else F.lit(None).cast("long")
-        f, r = F.col(f"{name}_f"), F.col(f"{name}_r")
-        return _pick("first_fwd", f, r) if of_source else _pick("first_fwd", r, f)
+    def side(name: str, of_source: bool) -> str:
+        if one_way:
+            return f"{name}_f" if of_source else "CAST(NULL AS BIGINT)"
+        same, other = ("f", "r") if of_source else ("r", "f")
+        return f"if(first_fwd, {name}_{same}, {name}_{other})"
 
-    def endpoint(same: str, other: str) -> Column:
-        return F.col(same) if mode == OBSERVED else _pick("first_orient", F.col(same), F.col(other))
+    def endpoint(same: str, other: str) -> str:
+        return same if one_way else f"if(first_orient, {same}, {other})"
 
-    zero = F.lit(0).cast("long")
     columns = [
-        endpoint("a", "b").alias("src"),
-        endpoint("a_port", "b_port").alias("sport"),
-        endpoint("b", "a").alias("dst"),
-        endpoint("b_port", "a_port").alias("dport"),
+        f"{endpoint('a', 'b')} AS src",
+        f"{endpoint('a_port', 'b_port')} AS sport",
+        f"{endpoint('b', 'a')} AS dst",
+        f"{endpoint('b_port', 'a_port')} AS dport",
         "proto",
-        F.col("first_pkt").alias("flow_id"),
-        F.col("frag_us").alias("first_us"),
+        "first_pkt AS flow_id",
+        "frag_us AS first_us",
         "last_us",
         "pkts",
         "payload_sum",
     ]
     for prefix, of_source in (("s", True), ("d", False)):
-        pkts = F.coalesce(side("pkts", of_source), zero)
         columns += [
-            F.coalesce(side("bytes", of_source), zero).alias(f"{prefix}bytes"),
-            pkts.alias(f"{prefix}_pkts"),
-            F.greatest(pkts - 1, zero).alias(f"{prefix}_gap_n"),
-            F.coalesce(side("last_us", of_source) - side("first_us", of_source), zero).alias(
-                f"{prefix}_gap_sum"
-            ),
-            F.coalesce(side("gap_sq", of_source).cast("decimal(38,0)"), zero.cast("decimal(38,0)")).alias(
-                f"{prefix}_gap_sq"
-            ),
-            F.coalesce(side("win_sum", of_source), zero).alias(f"{prefix}_win_sum"),
-            F.coalesce(side("win_n", of_source), zero).alias(f"{prefix}_win_n"),
-            F.coalesce(side("seq_n", of_source), zero).alias(f"{prefix}_seq_n"),
-            side("first_seq", of_source).alias(f"{prefix}_first_seq"),
+            f"coalesce({side('bytes', of_source)}, 0L) AS {prefix}bytes",
+            f"coalesce({side('pkts', of_source)}, 0L) AS {prefix}_pkts",
+            f"greatest(coalesce({side('pkts', of_source)}, 0L) - 1L, 0L) AS {prefix}_gap_n",
+            f"coalesce({side('last_us', of_source)} - {side('first_us', of_source)}, 0L) AS {prefix}_gap_sum",
+            f"coalesce(CAST({side('gap_sq', of_source)} AS DECIMAL(38,0)), CAST(0 AS DECIMAL(38,0))) AS {prefix}_gap_sq",
+            f"coalesce({side('win_sum', of_source)}, 0L) AS {prefix}_win_sum",
+            f"coalesce({side('win_n', of_source)}, 0L) AS {prefix}_win_n",
+            f"coalesce({side('seq_n', of_source)}, 0L) AS {prefix}_seq_n",
+            f"{side('first_seq', of_source)} AS {prefix}_first_seq",
         ]
-    if mode == BIDIRECTIONAL:
-        columns += [
-            side("syn", True).alias("syn_us"),
-            side("synack", False).alias("synack_us"),
-            side("ack", False).alias("ack_us"),
-        ]
-    else:
-        columns += [F.lit(None).cast("long").alias(f"{n}_us") for n in ("syn", "synack", "ack")]
-    return flows.select(*columns)
+    for name in HANDSHAKE:
+        value = "CAST(NULL AS BIGINT)" if one_way else side(name, name == "syn")
+        columns.append(f"{value} AS {name}_us")
+    return flows.selectExpr(*columns)
 
 
 def packet_flows(
@@ -320,100 +292,56 @@ def packet_flows(
     """
     slice_us = slice_us or default_slice_us(gap_us)
     directions = _directions(mode)
-    order = Window.partitionBy(*SLICE).orderBy("ts_us", "pkt_id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
     sliced = _sliced(packets, gap_us, mode, slice_us)
-    marked = sliced.withColumn("n", F.row_number().over(order).cast("long")).withColumns(
-        {f"n_{d}": F.count(F.when(cond, 1)).over(so_far) for d, cond in directions.items()}
-    )
-    first = {"frag_pkt": F.col("pkt_id"), "frag_fwd": F.col("fwd"), "frag_n": F.col("n") - 1}
+    over, so_far = _over(SLICE, "ts_us, pkt_id"), _over(SLICE, "ts_us, pkt_id", SO_FAR)
+    first = {"frag_pkt": "pkt_id", "frag_fwd": "fwd", "frag_n": "n - 1"}
+    first |= {f"frag_n_{d}": f"n_{d} - CAST({cond} AS BIGINT)" for d, cond in directions.items()}
+    marked = sliced.selectExpr(
+        "*",
+        f"CAST(row_number() {over} AS BIGINT) AS n",
+        *[f"count(if({cond}, 1, NULL)) {so_far} AS n_{d}" for d, cond in directions.items()],
+    ).selectExpr("*", *[f"last(if(opens, {v}, NULL), true) {so_far} AS {c}" for c, v in first.items()])
+
+    aggs = ["count(*) AS pkts", "max(ts_us) AS last_us", _on_open("pkt_id", "first_pkt"), _on_open("fwd", "first_fwd")]
     for d, cond in directions.items():
-        first[f"frag_n_{d}"] = F.col(f"n_{d}") - cond.cast("long")
-    marked = marked.withColumns(
-        {
-            name: F.last(F.when(F.col("opens"), value), ignorenulls=True).over(so_far)
-            for name, value in first.items()
-        }
-    )
-
-    aggs = [
-        F.count("*").alias("pkts"),
-        F.max("ts_us").alias("last_us"),
-        _on_open("pkt_id").alias("first_pkt"),
-        _on_open("fwd").alias("first_fwd"),
-    ]
-    for d, cond in directions.items():
-        ts = F.when(cond, F.col("ts_us"))
-        aggs += [F.count(ts).alias(f"pkts_{d}"), F.max(ts).alias(f"last_us_{d}")]
-    fragments = sliced.groupBy(*SLICE, "frag_us").agg(*aggs)
-    stitched, before, so_far2 = _stitched(fragments, gap_us, slice_us)
+        aggs += [f"count(if({cond}, 1, NULL)) AS pkts_{d}", f"max(if({cond}, ts_us, NULL)) AS last_us_{d}"]
+    fragments = sliced.groupBy(*SLICE, "frag_us").agg(*map(F.expr, aggs))
 
     # Only border fragments can belong to a flow that began earlier.
-    lookback = {"flow_pkt": F.col("first_pkt"), "flow_fwd": F.col("first_fwd")}
     counts = {"skip": "pkts", **{f"skip_{d}": f"pkts_{d}" for d in directions}}
-    stitched = stitched.withColumns(
-        {
-            **{s: F.coalesce(F.sum(c).over(before), F.lit(0)) for s, c in counts.items()},
-            **{
-                f"prev_{d}": F.last(f"last_us_{d}", ignorenulls=True).over(before)
-                for d in directions
-            },
-        }
-    )
-    lookback.update({f"open_{s}": F.col(s) for s in counts})
-    stitched = stitched.withColumns(
-        {
-            name: F.last(F.when(F.col("opens"), value), ignorenulls=True).over(so_far2)
-            for name, value in lookback.items()
-        }
-    )
-    entry = F.struct(
-        "frag_us",
-        "flow_us",
-        "flow_pkt",
-        "flow_fwd",
-        *[(F.col(s) - F.col(f"open_{s}")).alias(s) for s in counts],
-        *[
-            F.when(F.col(f"prev_{d}") >= F.col("flow_us"), F.col(f"prev_{d}")).alias(f"prev_{d}")
-            for d in directions
-        ],
+    looks_back = [f"coalesce(sum({c}) {{before}}, 0L) AS {s}" for s, c in counts.items()]
+    looks_back += [f"last(last_us_{d}, true) {{before}} AS prev_{d}" for d in directions]
+    opening = {"flow_pkt": "first_pkt", "flow_fwd": "first_fwd", **{f"open_{s}": s for s in counts}}
+    along = _over([*KEY, "lane"], "frag_us", SO_FAR)
+    stitched = _stitched(fragments, gap_us, slice_us, looks_back).selectExpr(
+        "*", *[f"last(if(opens, {v}, NULL), true) {along} AS {c}" for c, v in opening.items()]
     )
+    entry = ["frag_us", "flow_us", "flow_pkt", "flow_fwd"]
+    entry += [f"{s} - open_{s} AS {s}" for s in counts]
+    entry += [f"if(prev_{d} >= flow_us, prev_{d}, NULL) AS prev_{d}" for d in directions]
     # At most two border fragments exist per slice, so this list has at most two entries.
     borders = (
-        stitched.where(F.col("lane").isNull() & ~(F.col("opens")))
+        stitched.where("lane IS NULL AND NOT opens")
         .groupBy(*SLICE)
-        .agg(F.collect_list(entry).alias("borders"))
+        .agg(F.expr(f"collect_list(struct({', '.join(entry)})) AS borders"))
     )
-    joined = marked.join(borders, SLICE, "left").withColumn(
-        "hit",
-        F.get(F.filter("borders", lambda e: e["frag_us"] == F.col("frag_us")), F.lit(0)),
+    joined = marked.join(borders, SLICE, "left").selectExpr(
+        "*", "get(filter(borders, e -> e.frag_us = frag_us), 0) AS hit"
     )
-
-    def from_hit(name: str, otherwise: Column) -> Column:
-        return F.coalesce(F.col(f"hit.{name}"), otherwise)
-
-    flow_fwd = from_hit("flow_fwd", F.col("frag_fwd"))
-    gaps, positions = [], []
+    positions, gaps = [], []
     for d, cond in directions.items():
-        earlier = F.coalesce(_in_fragment(f"before_{d}"), F.col(f"hit.prev_{d}"))
-        gaps.append(F.when(cond, F.col("ts_us") - earlier))
-        positions.append(
-            F.when(
-                cond,
-                F.col(f"n_{d}") - F.col(f"frag_n_{d}") + from_hit(f"skip_{d}", F.lit(0)),
-            )
-        )
-    return joined.select(
+        positions.append(f"if({cond}, n_{d} - frag_n_{d} + coalesce(hit.skip_{d}, 0L), NULL)")
+        gaps.append(f"if({cond}, ts_us - coalesce({_within(f'before_{d}')}, hit.prev_{d}), NULL)")
+    return joined.selectExpr(
         "pkt_id",
         "ts_us",
         *FLOW_KEY,
-        from_hit("flow_pkt", F.col("frag_pkt")).alias("flow_id"),
-        from_hit("flow_us", F.col("frag_us")).alias("flow_us"),
-        F.when(F.col("fwd") == flow_fwd, "s").otherwise("d").alias("dir"),
-        (F.col("n") - F.col("frag_n") + from_hit("skip", F.lit(0))).alias("pos"),
-        F.coalesce(*positions).alias("dir_pos"),
-        F.coalesce(*gaps).alias("gap_us"),
+        "coalesce(hit.flow_pkt, frag_pkt) AS flow_id",
+        "coalesce(hit.flow_us, frag_us) AS flow_us",
+        "if(fwd = coalesce(hit.flow_fwd, frag_fwd), 's', 'd') AS dir",
+        "n - frag_n + coalesce(hit.skip, 0L) AS pos",
+        f"coalesce({', '.join(positions)}) AS dir_pos",
+        f"coalesce({', '.join(gaps)}) AS gap_us",
         "pkt_len",
         "payload_len",
         "tcp_window",

@@ -22,24 +22,34 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# One pair of braces that closes at the end: nothing can follow the object.
+_PLAIN_OBJECT = r"^\s*\{[^{}]*\}\s*$"
+
+
 def screen_records(lines: DataFrame) -> DataFrame:
     """Add ``reason``: null for an acceptable record, else why it is refused.
 
     Blank lines are not records and disappear (P7).  The parser stops after the first
-    value, so text behind it is found by parsing the line once inside an array and once
-    inside an object: only a lone value fits both.
+    value, so text behind it must be found otherwise: a plain object has no room for any;
+    every other line is parsed once inside an array and once inside an object, and only a
+    lone value fits both.
     """
     line = F.col("line")
-    keys = F.json_object_keys(line)
-    lone = F.json_object_keys(F.concat(F.lit('{"r":'), line, F.lit("}")))
-    value = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    in_array = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))).isNotNull()
+    in_object = F.json_object_keys(F.concat(F.lit('{"r":'), line, F.lit("}"))).isNotNull()
+    repeated = F.size("keys") != F.size(F.array_distinct("keys"))
     parsed = computed_once(
-        lines.where(line.rlike(r"\S")), {"keys": keys, "value": value, "_lone": lone.isNotNull()}
+        lines.where(line.rlike(r"\S")),
+        {
+            "keys": F.json_object_keys(line),
+            "value": F.try_parse_json(line),
+            "_lone": line.rlike(_PLAIN_OBJECT) | (in_array & in_object),
+        },
     )
     return parsed.withColumn(
         "reason",
         F.when(~F.col("_lone"), MALFORMED)
-        .when(F.size("keys") != F.size(F.array_distinct("keys")), DUPLICATE_KEY)
+        .when(repeated, DUPLICATE_KEY)
         .when(F.col("value").isNull(), MALFORMED)
         .when(F.col("keys").isNull(), NOT_OBJECT)
         .when(F.size("keys") != len(FEATURES), FEATURE_COUNT),
@@ -65,7 +75,7 @@ def validate_and_fill(screened: DataFrame, keep: list[str] | None = None) -> Dat
     good = screened.where(F.col("reason").isNull())
     return good.select(
         *(keep or []),
-        *[numeric_or_zero(F.col("value"), f"$[0]['{name}']").alias(name) for name in FEATURES],
+        *[numeric_or_zero(F.col("value"), f"$['{name}']").alias(name) for name in FEATURES],
     )
 
 

@@ -21,7 +21,7 @@ class Scaler:
     def column(self, name: str) -> Column:
         """``(x - mean) / scale`` of one column, found by name."""
         i = self.names.index(name)
-        return (F.col(quoted(name)).cast("double") - F.lit(self.means[i])) / F.lit(self.scales[i])
+        return F.expr(f"(CAST({quoted(name)} AS DOUBLE) - ({self.means[i]!r}D)) / ({self.scales[i]!r}D)")
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [

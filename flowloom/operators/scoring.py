@@ -36,27 +36,20 @@ class LinearScorer:
     prefix: str = ""
 
     def __call__(self, scaled: DataFrame) -> DataFrame:
-        classes = range(len(self.biases))
+        names = [quoted(self.prefix + name) for name in FEATURES]
         margins = {
-            f"_m{c}": sum(
-                (
-                    F.lit(float(w)) * F.col(quoted(self.prefix + name))
-                    for w, name in zip(self.weights[c], FEATURES)
-                ),
-                F.lit(float(self.biases[c])),
-            )
-            for c in classes
+            f"_m{c}": " + ".join(f"({float(w)!r}D) * {name}" for w, name in zip(row, names)) + f" + ({float(bias)!r}D)"
+            for c, (row, bias) in enumerate(zip(self.weights, self.biases))
         }
         # Shifted by the largest margin, so that no exponential overflows.
-        powers = {f"_e{c}": F.exp(F.col(f"_m{c}") - F.col("_top")) for c in classes}
-        total = sum((F.col(name) for name in powers), F.lit(0.0))
+        powers = {f"_e{c}": f"exp({m} - _top)" for c, m in enumerate(margins)}
         stepwise = (
-            scaled.withColumns(margins)
-            .withColumn("_top", F.greatest(*margins))
-            .withColumns(powers)
-            .withColumn("_total", total)
+            scaled.selectExpr("*", *[f"{text} AS {name}" for name, text in margins.items()])
+            .selectExpr("*", f"greatest({', '.join(margins)}) AS _top")
+            .selectExpr("*", *[f"{text} AS {name}" for name, text in powers.items()])
+            .selectExpr("*", f"{' + '.join(powers)} AS _total")
         )
-        probs = F.array(*[F.col(name) / F.col("_total") for name in powers])
+        probs = F.expr(f"array({', '.join(f'{name} / _total' for name in powers)})")
         return computed_once(stepwise, {"probs": probs}).drop(*margins, *powers, "_top", "_total")
 
 
@@ -108,7 +101,8 @@ class BatchScorer:
 
 def label_of(index: Column) -> Column:
     """Class index -> label (J2); eleven labels travel as a literal array."""
-    return F.element_at(F.array(*[F.lit(name) for name in LABELS]), index + 1)
+    names = F.expr("array({})".format(", ".join(f"'{name}'" for name in LABELS)))
+    return F.element_at(names, index + 1)
 
 
 def argmax(probs: Column) -> Column:
@@ -122,7 +116,7 @@ def decide(scored: DataFrame, threshold: float = NORMAL_THRESHOLD) -> DataFrame:
     All-zero or missing probabilities mean that scoring failed: the label is that of
     index 0 with value 0 and ``score_status`` is ``error`` (M5).
     """
-    zeros = F.array(*[F.lit(0.0)] * len(LABELS))
+    zeros = F.expr(f"array_repeat(0.0D, {len(LABELS)})")
     scored = scored.withColumn("probs", F.coalesce("probs", zeros))
     if "score_status" not in scored.columns:
         scored = scored.withColumn("score_status", F.lit("ok"))

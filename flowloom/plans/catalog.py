@@ -103,9 +103,9 @@ def rounded(df: DataFrame) -> DataFrame:
     Half microseconds are frequent (the deviation of two gaps is half their difference);
     the nudge keeps such ties on one side.
     """
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(F.col(quoted(name)) + 1e-9, 6) if kind == "double" else F.col(quoted(name))).alias(name)
+            f"round({quoted(name)} + 1e-9D, 6) AS {quoted(name)}" if kind == "double" else quoted(name)
             for name, kind in df.dtypes
         ]
     )
@@ -174,12 +174,12 @@ def flow_flag_histogram(spark, sf):
 @query
 def flow_interarrival(spark, sf):
     flows = flow_totals(event_packets(spark, sf), EVENT_GAP_US)
-    n, total = F.col("s_gap_n"), F.col("s_gap_sum")
+    deviation = std_or_zero("s_gap_n", "s_gap_sum", "s_gap_sq")
     return rounded(
-        flows.select(
+        flows.selectExpr(
             "flow_id",
-            (mean_or_zero(total, n) / 1e6).alias("mean_gap_s"),
-            (std_or_zero(n, total, F.col("s_gap_sq")) / 1e6).alias("std_gap_s"),
+            f"{mean_or_zero('s_gap_sum', 's_gap_n')} / 1e6D AS mean_gap_s",
+            f"{deviation} / 1e6D AS std_gap_s",
         )
     )
 
@@ -200,7 +200,7 @@ def flow_handshake(spark, sf):
 @query
 def flow_ports(spark, sf):
     flows = flow_totals(event_packets(spark, sf), EVENT_GAP_US)
-    return flows.select("flow_id", port_count(F.col("sport"), F.col("dport")).cast("long").alias("ports"))
+    return flows.selectExpr("flow_id", f"CAST({port_count('sport', 'dport')} AS BIGINT) AS ports")
 
 
 @query

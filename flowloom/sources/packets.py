@@ -32,45 +32,40 @@ def packets_from_events(events: DataFrame) -> DataFrame:
 
     The rule is deterministic and row-local, so it adds no shuffle.
     """
-    user, kind = F.col("user_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("long")
-    shape = events.select(
-        F.col("event_id").alias("pkt_id"),
-        epoch_us(F.col("ts")).alias("ts_us"),
-        F.when(F.col("event_id") % 50 == 0, 6).otherwise(4).alias("ip_version"),
-        kind.isin("signup", "error").alias("rev"),
-        F.when(user % 3 == 0, 6).when(user % 3 == 1, 17).otherwise(1).alias("proto"),
-        F.concat(F.lit("10.0.0."), user).alias("a"),
-        F.concat(F.lit("192.168.1."), user % 7).alias("b"),
-        (20000 + user).cast("int").alias("user_port"),
-        F.when(user % 2 == 0, 80).otherwise(443).alias("web_port"),
-        F.floor("value").alias("size"),
-        k.alias("k"),
-        F.when(kind == "click", 2)
-        .when(kind == "view", 24)
-        .when(kind == "purchase", 17)
-        .when(kind == "signup", 18)
-        .otherwise(16)
-        .alias("flags"),
+    shape = events.select("event_id", "event_type", "user_id", "value", "props", epoch_us(F.col("ts")).alias("ts_us"))
+    shape = shape.selectExpr(
+        "event_id AS pkt_id",
+        "ts_us",
+        "if(event_id % 50 = 0, 6, 4) AS ip_version",
+        "event_type IN ('signup', 'error') AS rev",
+        "CASE user_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END AS proto",
+        "concat('10.0.0.', user_id) AS a",
+        "concat('192.168.1.', user_id % 7) AS b",
+        "CAST(20000 + user_id AS INT) AS user_port",
+        "if(user_id % 2 = 0, 80, 443) AS web_port",
+        "CAST(floor(value) AS BIGINT) AS size",
+        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 24 WHEN 'purchase' THEN 17 "
+        "WHEN 'signup' THEN 18 ELSE 16 END AS flags",
+    ).selectExpr(
+        "*",
+        "if(proto IN (6, 17), user_port, 0) AS pa",
+        "CASE proto WHEN 6 THEN web_port WHEN 17 THEN 53 ELSE 0 END AS pb",
     )
-    tcp, udp = F.col("proto") == 6, F.col("proto") == 17
-    pa = F.when(tcp | udp, F.col("user_port")).otherwise(0)
-    pb = F.when(tcp, F.col("web_port")).when(udp, 53).otherwise(0)
-    rev = F.col("rev")
-    return shape.select(
+    return shape.selectExpr(
         "pkt_id",
         "ts_us",
-        F.timestamp_micros("ts_us").alias("ts"),
+        "timestamp_micros(ts_us) AS ts",
         "ip_version",
-        F.when(rev, F.col("b")).otherwise(F.col("a")).alias("src"),
-        F.when(rev, F.col("a")).otherwise(F.col("b")).alias("dst"),
-        F.when(rev, pb).otherwise(pa).alias("sport"),
-        F.when(rev, pa).otherwise(pb).alias("dport"),
+        "if(rev, b, a) AS src",
+        "if(rev, a, b) AS dst",
+        "if(rev, pb, pa) AS sport",
+        "if(rev, pa, pb) AS dport",
         "proto",
-        (40 + F.col("size")).alias("pkt_len"),
-        F.when(tcp, F.col("size") * 10).otherwise(0).alias("payload_len"),
-        F.when(tcp, F.col("k") * 256).alias("tcp_window"),
-        F.when(tcp, F.col("pkt_id") * 1000).alias("tcp_seq"),
-        F.when(tcp, F.col("flags")).alias("tcp_flags"),
-        (64 - F.col("k") % 4).cast("int").alias("ttl"),
+        "40 + size AS pkt_len",
+        "if(proto = 6, size * 10, 0L) AS payload_len",
+        "if(proto = 6, k * 256, NULL) AS tcp_window",
+        "if(proto = 6, pkt_id * 1000, NULL) AS tcp_seq",
+        "if(proto = 6, flags, NULL) AS tcp_flags",
+        "CAST(64 - k % 4 AS INT) AS ttl",
     )
