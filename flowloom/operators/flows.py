@@ -49,6 +49,24 @@ def default_slice_us(gap_us: int) -> int:
     return max(1, min(16 * gap_us, MAX_SLICE_US))
 
 
+def fitting_slice_us(
+    packets: DataFrame, gap_us: int = DEFAULT_GAP_US, mode: str = OBSERVED, most: int = 20_000_000
+) -> int:
+    """The widest slice, from the default downwards, holding at most ``most`` packets per key.
+
+    One counting pass, pre-aggregated in each task, is enough unless some key bursts; every
+    further pass tries a sixteenth.  Results never depend on the slice, only task sizes do.
+    """
+    slice_us = default_slice_us(gap_us)
+    keyed = _keyed(packets, mode)
+    while slice_us > 1:
+        parts = keyed.selectExpr(*KEY, f"ts_us - pmod(ts_us, {slice_us}L) AS slice_us").groupBy(*SLICE).count()
+        if (parts.agg(F.max("count")).first()[0] or 0) <= most:
+            break
+        slice_us = max(1, slice_us // 16)
+    return slice_us
+
+
 def _over(keys: list[str], order: str, rows: str = "") -> str:
     return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} {rows})"
 

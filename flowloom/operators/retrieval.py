@@ -25,6 +25,7 @@ from flowloom.schemas import TOP_K
 # Query vectors up to this size are sent to every task; larger sets are shuffled in blocks.
 QUERY_BLOCK_BYTES = 32 << 20
 DOC_BLOCK_BYTES = 64 << 20
+FEW_QUERIES = 1024
 SCORE_CELLS = 4_000_000
 
 # Scores are compared in millionths, so that summation order cannot reorder ties.
@@ -93,9 +94,23 @@ class _Best:
         }
 
 
+def _bounded_rows(queries: DataFrame, block_bytes: int) -> tuple[pa.Table | None, int]:
+    """The query rows when they fit ``block_bytes``, else None; and the vector length."""
+    take = FEW_QUERIES
+    while True:
+        rows = queries.limit(take + 1).toArrow()
+        dim = len(rows.column("embedding")[0]) if rows.num_rows else 1
+        bound = max(1, block_bytes // (8 * max(1, dim)))
+        if rows.num_rows <= min(take, bound):
+            return rows, dim
+        if take >= bound:
+            return None, dim
+        take = bound  # a first look was too short: read as many as may be shipped
+
+
 def _shipped(query_rows: pa.Table, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
     """Bounded query set: every task gets it and scans its share of the corpus once."""
-    ids = query_rows.column("query_id").to_numpy().astype(np.int64)
+    ids = query_rows.column("query_id").to_numpy()
     shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(query_rows.column("embedding"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +163,11 @@ def top_k(
     """
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     corpus = corpus.select(F.col("doc_pos").cast("long"), "embedding")
-    sample = queries.select(F.size("embedding").alias("dim")).first()
-    if sample is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_pos long, score double")
-    bound = max(1, block_bytes // (8 * sample["dim"]))
-    rows = queries.limit(bound + 1).toArrow()  # at most block_bytes
-    if rows.num_rows <= bound:
+    rows, dim = _bounded_rows(queries, block_bytes)
+    if rows is not None:
         partial = _shipped(rows, corpus, k, skip_self)
     else:
-        partial = _blocked(queries, corpus, k, skip_self, sample["dim"], block_bytes)
+        partial = _blocked(queries, corpus, k, skip_self, dim, block_bytes)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_pos")
     return (
         partial.withColumn("rank", F.row_number().over(best))

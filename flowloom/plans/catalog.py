@@ -54,7 +54,7 @@ from flowloom.plans.scoring import (
     with_scaled,
 )
 from flowloom.schemas import FEATURES, FLOW_KEY, LABELS, quoted
-from flowloom.session import materialise, work_path
+from flowloom.session import broadcast_if_small, materialise, work_path
 from flowloom.sources.packets import epoch_us, stream_packets
 from flowloom.sources.records import (
     feature_line,
@@ -579,12 +579,12 @@ def topk_search(spark, sf):
 
 @query
 def retrieve_documents(spark, sf):
-    return rounded(with_documents(F.broadcast(_hits(spark, sf)), _corpus(spark, sf)))
+    return rounded(with_documents(broadcast_if_small(_hits(spark, sf)), _corpus(spark, sf)))
 
 
 @query
 def neighbour_vote_(spark, sf):
-    return neighbour_vote(with_documents(F.broadcast(_hits(spark, sf)), _corpus(spark, sf)))
+    return neighbour_vote(with_documents(broadcast_if_small(_hits(spark, sf)), _corpus(spark, sf)))
 
 
 @query
@@ -619,7 +619,7 @@ def query_string_(spark, sf):
 @query
 def prompt_text_(spark, sf):
     """Concise prompts for the class means over the document corpus."""
-    documents = with_documents(F.broadcast(_hits(spark, sf)), _corpus(spark, sf))
+    documents = with_documents(broadcast_if_small(_hits(spark, sf)), _corpus(spark, sf))
     asked = class_centroids(_vectors(spark, sf)).select(
         "query_id", F.concat(F.lit("class "), F.col("query_id").cast("string")).alias("input")
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", **conf) -> SparkSession:
@@ -55,3 +56,9 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """Store ``df`` and mark it for broadcast only when it has at most ``most_rows`` rows."""
+    stored = materialise(df)
+    return F.broadcast(stored) if stored.count() <= most_rows else stored

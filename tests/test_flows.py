@@ -3,11 +3,14 @@ import random
 
 import pytest
 from helpers import BASE, brute_features, brute_flows, frame, packet
+from pyspark.sql import functions as F
 
 from flowloom.functions.features import with_features
 from flowloom.operators.flows import (
     BIDIRECTIONAL,
     OBSERVED,
+    _sliced,
+    fitting_slice_us,
     flag_histogram,
     flow_totals,
     native_sessions,
@@ -235,5 +238,31 @@ def test_flagship_plan_has_two_exchanges_and_no_lists(spark):
     assert "collect_list" not in plan and "CartesianProduct" not in plan
 
 
+def test_a_busy_key_is_spread_over_tasks(spark):
+    """One key holds all packets, yet no shuffle partition gets a large share of them."""
+    rows = [packet(i, i * 100_000) for i in range(8000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sliced = _sliced(frame(spark, rows), GAP, OBSERVED, 4_000_000)
+        parts = sliced.select(F.spark_partition_id().alias("p"), "frag_us").groupBy("p")
+        sizes = [r["n"] for r in parts.agg(F.count("frag_us").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len(sizes) > 12 and max(sizes) < len(rows) / 5
+
+
+def test_slices_shrink_until_they_fit(spark):
+    rows = [packet(i, i * 1000) for i in range(2000)] + [packet(9000, 0, src="h9")]
+    df = frame(spark, rows)
+    assert fitting_slice_us(df, GAP) == 32_000_000
+    for most in (1500, 100):
+        slice_us = fitting_slice_us(df, GAP, most=most)
+        times = [r["ts_us"] // slice_us for r in rows if r["src"] == "h1"]
+        assert slice_us < 32_000_000 and max(times.count(t) for t in set(times)) <= most
+
+
 def test_base_is_aligned():
     assert BASE % 1_000_000 == 0
