@@ -52,7 +52,7 @@ def leading_features(n: int = 3) -> Column:
 
 
 def prompts(queries: DataFrame, documents: DataFrame, detailed: bool = True) -> DataFrame:
-    """One prompt per query from its retrieved documents, in rank order.
+    """One prompt per query from its retrieved documents, in rank order; none without documents.
 
     A query has at most k documents, so the collected list is bounded by k.
     """
@@ -67,7 +67,10 @@ def prompts(queries: DataFrame, documents: DataFrame, detailed: bool = True) ->
         queries.join(examples, "query_id", "left")
         .withColumn("documents", F.coalesce(F.size("examples"), F.lit(0)))
         .withColumn("context", F.concat_ws("\n", F.transform("examples", lambda e: e["text"])))
-        .withColumn("prompt", prompt_text(F.col("input"), F.col("context"), detailed))
+        .withColumn(
+            "prompt",
+            F.when(F.col("documents") > 0, prompt_text(F.col("input"), F.col("context"), detailed)),
+        )
         .select("query_id", "documents", "prompt")
     )
 

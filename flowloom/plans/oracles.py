@@ -469,9 +469,9 @@ FROM corpus JOIN embeddings ON vec_id = doc_pos""",
     "query_string": with_ctes(OBSERVED, f"SELECT flow_id, {FLOW_TEXT} AS text FROM features"),
     "prompt_text": with_ctes(
         FOUND + [f"ctx AS (SELECT query_id, CAST(count(*) AS INTEGER) AS documents, {EXAMPLES} AS context FROM found GROUP BY query_id)"],
-        "SELECT query_id, documents, "
+        "SELECT l.label::BIGINT AS query_id, coalesce(documents, 0) AS documents, "
         + prompt_sql(CONCISE_PROMPT, "context", "'class ' || query_id")
-        + " AS prompt FROM ctx",
+        + " AS prompt FROM lengths l LEFT JOIN ctx ON query_id = l.label",
     ),
     "explanation_status": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '[RAG ERROR]'
   WHEN doc_id % 5 = 0 THEN '[RAG] No knowledge available' WHEN doc_id % 3 = 0 THEN '[RAG] No relevant documents found'

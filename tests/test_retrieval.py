@@ -126,6 +126,7 @@ def test_prompts_list_the_examples_in_rank_order(spark):
     assert got[1]["prompt"].startswith("\nYou are a network flow classifier. Use the following")
     assert got[1]["prompt"].endswith("INPUT:\nQ1\n")
     assert (got[1]["documents"], got[3]["documents"]) == (2, 0)
+    assert got[3]["prompt"] is None
     concise = prompts(asked, documents(spark), detailed=False).where("query_id = 1").first()["prompt"]
     assert concise.endswith("INPUT:\nQ1\n\nReturn ONLY the label ('normal' or 'anomaly') with no extra text.\n")
 

@@ -2,12 +2,16 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from flowloom.operators.scaling import Scaler, drift_report, fit_scaler, scale
 from flowloom.operators.scoring import (
     BatchScorer,
     LinearScorer,
+    PipelineScorer,
     anomalies,
     argmax,
     decide,
@@ -160,3 +164,20 @@ def test_label_counts_and_anomalies(spark):
 
 def test_display_line(spark):
     assert display_line(labelled(spark, ["dos"]), []).first()["line"] == "Prediction: DOS (value=0.500000)"
+
+
+def test_mllib_pipeline_gives_probabilities(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.normal(3 * (i % 3))), float(rng.normal(-3 * (i % 3))), float(i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, x double, y double, class double")
+    model = Pipeline(
+        stages=[
+            VectorAssembler(inputCols=["x", "y"], outputCol="inputs"),
+            LogisticRegression(featuresCol="inputs", labelCol="class", family="multinomial"),
+        ]
+    ).fit(df)
+    scored = PipelineScorer(model)(df)
+    assert scored.columns == [*df.columns, "probs"]
+    out = scored.select("class", "probs", argmax(F.col("probs")).alias("best")).collect()
+    assert all(sum(r["probs"]) == pytest.approx(1.0) for r in out)
+    assert sum(r["best"] == r["class"] for r in out) > 130
