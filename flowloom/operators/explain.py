@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.text import example_text, explanation, prompt_text, query_string, without_prompt
-from flowloom.operators.retrieval import neighbour_vote, normalised, top_k, with_documents
+from flowloom.operators.retrieval import neighbour_vote, normalised, top_k
 from flowloom.operators.scoring import first_anomalies
 from flowloom.schemas import FEATURES, FIRST_ANOMALIES, TOP_K, quoted
+from flowloom.session import materialise
 
 Z = "z_{}"
 
@@ -24,15 +25,10 @@ def feature_vector(space: str = "raw") -> Column:
     return F.array(*[F.col(quoted(n)).cast("double") for n in names])
 
 
-def flow_corpus(labelled: DataFrame, space: str = "raw") -> DataFrame:
-    """Labelled flows as documents: ``(doc_pos, input, output, embedding)``."""
+def flow_vectors(labelled: DataFrame, space: str = "raw") -> DataFrame:
+    """Unit feature vectors: ``(doc_pos, embedding)``."""
     return normalised(
-        labelled.select(
-            F.col("flow_id").alias("doc_pos"),
-            query_string().alias("input"),
-            F.col("label").alias("output"),
-            feature_vector(space).alias("embedding"),
-        )
+        labelled.select(F.col("flow_id").alias("doc_pos"), feature_vector(space).alias("embedding"))
     )
 
 
@@ -117,12 +113,20 @@ def explain_anomalies(
     """
     chosen = first_anomalies(labelled, list(order), n)
     facts = chosen.select(
-        F.col("flow_id").alias("query_id"), "label", leading_features().alias("leading")
+        F.col("flow_id").alias("query_id"),
+        "label",
+        query_string().alias("input"),
+        leading_features().alias("leading"),
+    )
+    queries = flow_vectors(chosen, space).withColumnRenamed("doc_pos", "query_id")
+    corpus = flow_vectors(labelled, space)
+    # At most n * k hits: stored, so that one search serves all that follows.
+    hits = materialise(top_k(queries, corpus, k, skip_self=True))
+    documents = (
+        labelled.join(F.broadcast(hits), F.col("flow_id") == F.col("doc_pos"))
+        .withColumn("input", query_string())
+        .select("query_id", "rank", "doc_pos", "score", "input", F.col("label").alias("output"))
     )
-    queries = flow_corpus(chosen, space).withColumnRenamed("doc_pos", "query_id")
-    corpus = flow_corpus(labelled, space)
-    hits = top_k(queries.select("query_id", "embedding"), corpus, k, skip_self=True)
-    documents = with_documents(F.broadcast(hits), corpus)  # at most n * k hits
     vote = neighbour_vote(documents)
     ids = documents.groupBy("query_id").agg(
         F.concat_ws(
@@ -142,7 +146,8 @@ def explain_anomalies(
     )
     size = labelled.limit(1).count()
     return (
-        facts.join(prompts(queries.select("query_id", "input"), documents), "query_id")
+        facts.drop("input")
+        .join(prompts(facts.select("query_id", "input"), documents), "query_id")
         .join(vote, "query_id", "left")
         .join(ids, "query_id", "left")
         .withColumn("rag_output", explanation(F.lit(size), F.col("documents"), text, F.lit(False)))

@@ -61,22 +61,32 @@ def dead_letters(screened: DataFrame) -> DataFrame:
     return screened.where(F.col("reason").isNotNull()).drop("keys", "value")
 
 
-def numeric_or_zero(value: Column, path: str) -> Column:
-    """Numbers and booleans as they are, numeric text converted, anything else 0."""
-    number = F.try_variant_get(value, path, "double")
-    text = F.try_variant_get(value, path, "string")
-    # Spark reads "1d" and "1f" as numbers; a record means them as text.
-    suffixed = text.rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(suffixed, 0.0).otherwise(F.coalesce(number, F.lit(0.0)))
+def _fields(kind: str) -> str:
+    return "struct<{}>".format(", ".join(f"{quoted(name)}: {kind}" for name in FEATURES))
 
 
 def validate_and_fill(screened: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Accepted records as 18 doubles in fixed order; unknown keys go, missing ones are 0."""
+    """Accepted records as 18 doubles in fixed order.
+
+    Numbers and booleans stay, numeric text is converted, anything else is 0; unknown names
+    go, missing ones are 0.  The engine also reads "1d" and "1f" as numbers, which a record
+    means as text; the texts are looked at only in lines that could hold such a value.
+    """
     good = screened.where(F.col("reason").isNull())
-    return good.select(
-        *(keep or []),
-        *[numeric_or_zero(F.col("value"), f"$['{name}']").alias(name) for name in FEATURES],
+    value = F.col("value")
+    suspect = F.col("line").rlike(r'[0-9.][dDfF]\s*"|\\')
+    read = computed_once(
+        good,
+        {
+            "_numbers": F.try_variant_get(value, "$", _fields("double")),
+            "_texts": F.when(suspect, F.try_variant_get(value, "$", _fields("string"))),
+        },
     )
+    filled = [
+        f"if(coalesce(_texts.{f} RLIKE '[0-9.][dDfF][ ]*$', false), 0D, coalesce(_numbers.{f}, 0D)) AS {f}"
+        for f in map(quoted, FEATURES)
+    ]
+    return read.selectExpr(*(keep or []), *filled)
 
 
 def with_nonfinite_flags(df: DataFrame, columns: list[str]) -> DataFrame:

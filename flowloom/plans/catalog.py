@@ -15,7 +15,7 @@ from flowloom.functions.features import mean_or_zero, port_count, std_or_zero, w
 from flowloom.functions.packets import ACK, SYN, SYN_OR_ACK, any_flag, ipv4_only, with_flow_key, with_tcp_fields
 from flowloom.functions.text import explanation, query_string
 from flowloom.operators import keys, schema_check
-from flowloom.operators.explain import explain_anomalies, flow_corpus, prompts
+from flowloom.operators.explain import explain_anomalies, prompts
 from flowloom.operators.flows import (
     BIDIRECTIONAL,
     flag_histogram,
