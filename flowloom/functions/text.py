@@ -47,13 +47,11 @@ def query_string(decimals: int = 6) -> Column:
     """``name: value | name: value``; doubles carry a fixed number of decimals, ties go up."""
     parts = []
     for name in FEATURES:
-        value = F.col(quoted(name))
-        if name in INTEGER_FEATURES:
-            text = value.cast("long").cast("string")
-        else:
-            text = F.round(value + 1e-9, decimals).cast(f"decimal(38,{decimals})").cast("string")
-        parts.append(F.concat(F.lit(f"{name}: "), text))
-    return F.concat_ws(" | ", *parts)
+        value = f"CAST({quoted(name)} AS BIGINT)"
+        if name not in INTEGER_FEATURES:
+            value = f"CAST(round({quoted(name)} + 1e-9D, {decimals}) AS DECIMAL(38,{decimals}))"
+        parts.append(f"concat('{name}: ', {value})")
+    return F.expr(f"concat_ws(' | ', {', '.join(parts)})")
 
 
 def example_text(position: Column, text: Column, label: Column) -> Column:

@@ -22,7 +22,7 @@ def feature_vector(space: str = "raw") -> Column:
     if space not in ("raw", "scaled"):
         raise ValueError(f"unknown space: {space!r}")
     names = FEATURES if space == "raw" else [Z.format(f) for f in FEATURES]
-    return F.array(*[F.col(quoted(n)).cast("double") for n in names])
+    return F.expr("array({})".format(", ".join(f"CAST({quoted(n)} AS DOUBLE)" for n in names)))
 
 
 def flow_vectors(labelled: DataFrame, space: str = "raw") -> DataFrame:
@@ -34,17 +34,11 @@ def flow_vectors(labelled: DataFrame, space: str = "raw") -> DataFrame:
 
 def leading_features(n: int = 3) -> Column:
     """Names of the features furthest from the training mean, largest first."""
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.round(F.abs(F.col(quoted(Z.format(name)))), 6)).alias("far"),
-                F.lit(i).alias("position"),
-                F.lit(name).alias("name"),
-            )
-            for i, name in enumerate(FEATURES)
-        ]
+    entries = ", ".join(
+        f"struct(-round(abs({quoted(Z.format(name))}), 6) AS far, {i} AS position, '{name}' AS name)"
+        for i, name in enumerate(FEATURES)
     )
-    return F.transform(F.slice(F.array_sort(entries), 1, n), lambda e: e["name"])
+    return F.expr(f"transform(slice(array_sort(array({entries})), 1, {n}), e -> e.name)")
 
 
 def prompts(queries: DataFrame, documents: DataFrame, detailed: bool = True) -> DataFrame:
