@@ -52,45 +52,36 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
 def lines_from_events(events: DataFrame) -> DataFrame:
     """One record line per event, ``(row_id, line)``: integer values and, by turn, every
     kind of odd record a receiver meets."""
-    row, user = F.col("event_id"), F.col("user_id")
-    values = [((row * 7 + user * j) % 1000).cast("string") for j in range(len(FEATURES))]
+    values = [f"CAST((event_id * 7 + user_id * {j}) % 1000 AS STRING)" for j in range(len(FEATURES))]
 
-    def entry(j: int, value: Column | None = None, name: str | None = None) -> Column:
-        return F.concat(F.lit(f'"{name or FEATURES[j]}": '), values[j] if value is None else value)
+    def entry(j: int, value: str | None = None, name: str | None = None) -> str:
+        """One member; ``value`` is JSON text."""
+        text = values[j] if value is None else f"'{value}'"
+        return f"""concat('"{name or FEATURES[j]}": ', {text})"""
 
-    def record(changes: dict[int, Column] | None = None, extra: tuple[Column, ...] = (), drop: int = 0) -> Column:
+    def record(changes: dict[int, str] | None = None, extra: tuple[str, ...] = (), drop: int = 0) -> str:
         changes = changes or {}
         entries = [changes.get(j, entry(j)) for j in range(len(FEATURES) - drop)]
-        return F.concat(F.lit("{"), F.concat_ws(", ", *entries, *extra), F.lit("}"))
+        return f"concat('{{', concat_ws(', ', {', '.join([*entries, *extra])}), '}}')"
 
     last = len(FEATURES) - 1
-    plain = record()
     kinds = [
-        plain,
+        record(),
         record(drop=1),
-        record(extra=(F.lit('"extra": 1'),)),
+        record(extra=("""'"extra": 1'""",)),
         record({last: entry(last, name="other")}),
-        record({0: entry(0, F.lit('" 1.5 "'))}),
-        record(
-            {
-                0: entry(0, F.lit('"abc"')),
-                1: entry(1, F.lit("null")),
-                2: entry(2, F.lit("[1]")),
-                3: entry(3, F.lit('{"z": 1}')),
-            }
-        ),
-        record({0: entry(0, F.lit("true")), 1: entry(1, F.lit('"true"'))}),
-        record({0: entry(0, F.lit('"nan"')), 1: entry(1, F.lit('"inf"'))}),
-        F.substring(plain, 1, 40),
-        F.concat(F.lit("["), F.concat_ws(", ", *values), F.lit("]")),
+        record({0: entry(0, '" 1.5 "')}),
+        record({0: entry(0, '"abc"'), 1: entry(1, "null"), 2: entry(2, "[1]"), 3: entry(3, '{"z": 1}')}),
+        record({0: entry(0, "true"), 1: entry(1, '"true"')}),
+        record({0: entry(0, '"nan"'), 1: entry(1, '"inf"')}),
+        f"substring({record()}, 1, 40)",
+        f"concat('[', concat_ws(', ', {', '.join(values)}), ']')",
         record({last: entry(last, name="dur")}),
-        F.lit("   "),
-        record({0: entry(0, F.lit("NaN"))}),
+        "'   '",
+        record({0: entry(0, "NaN")}),
     ]
-    kind = row % len(kinds)
-    line = F.lit(None).cast("string")
-    for i in reversed(range(len(kinds))):
-        line = F.when(kind == i, kinds[i]).otherwise(line)
+    cases = " ".join(f"WHEN {i} THEN {kind}" for i, kind in enumerate(kinds))
+    line = F.expr(f"CASE event_id % {len(kinds)} {cases} END")
     return computed_once(events.select("event_id", "user_id"), {"line": line}).select(
-        row.alias("row_id"), "line"
+        F.col("event_id").alias("row_id"), "line"
     )
