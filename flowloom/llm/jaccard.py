@@ -151,10 +151,12 @@ def _prefix(n: int, n_half: int, shipped: int, parts, percent: int) -> list[int]
     if not held:
         return None
     held, key, outside = np.concatenate(held), np.concatenate(key), np.concatenate(outside)
-    if shipped - len(key) > allowed:
-        return None
     order = np.lexsort((key, held, outside))
     key, inner = key[order], int((outside == 0).sum())
+    # Shingles outside the half were dealt out by some documents only, so they prove isolation
+    # only among those: from the others this document must then share nothing in the half.
+    if shipped - len(key) > allowed and (shipped == n_half or not inner):
+        return None
     # In this order a document's unshared shingles come first in either half.
     keys = key[: max(0, min(inner, allowed + 1 - (n_half - inner)))].tolist()
     if shipped > n_half:
@@ -250,15 +252,48 @@ def _distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, first: bool) -> DataFrame:
-    """(rid, pivot, pcomp): up to PIVOTS documents of each region that is not yet connected."""
+    """(rid, pivot, pcomp, pside): some documents of each region that is not yet connected.
+
+    A plain region gives the first document of up to PIVOTS of its components, smallest first;
+    a ball and its window (sides 1 and 2) give documents of the smaller side.
+    """
     if first:
         least = members.groupBy("rid").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        return least.select("rid", "pivot", F.col("pivot").alias("pcomp"))
-    parts = members.groupBy("rid", "comp").agg(F.count("*").alias("n"), F.min("uid").alias("pivot"))
-    open_ones = parts.groupBy("rid").agg(F.count("*").alias("parts")).where("parts > 1").select("rid")
+        return least.select("rid", "pivot", F.col("pivot").alias("pcomp"), F.lit(0).alias("pside"))
+    plain = members.where("side = 0").groupBy("rid", "comp").agg(F.count("*").alias("n"), F.min("uid").alias("pivot"))
     small_first = Window.partitionBy("rid").orderBy("n", "comp")
-    ranked = parts.join(open_ones, "rid").withColumn("rank", F.row_number().over(small_first)).where(F.col("rank") <= PIVOTS)
-    return ranked.select("rid", "pivot", F.col("comp").alias("pcomp"))
+    plain = plain.withColumn("rank", F.row_number().over(small_first)).where(F.col("rank") <= PIVOTS)
+    sides = members.where("side > 0").groupBy("rid").agg(*(F.sum((F.col("side") == i).cast("int")).alias(f"n{i}") for i in (1, 2)))
+    smaller = sides.select("rid", F.when(F.col("n1") <= F.col("n2"), 1).otherwise(2).alias("side"))
+    by_id = Window.partitionBy("rid").orderBy("uid")
+    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= 4 * PIVOTS)
+    return plain.select("rid", "pivot", F.col("comp").alias("pcomp"), F.lit(0).alias("pside")).union(
+        paired.select("rid", F.col("uid").alias("pivot"), F.col("comp").alias("pcomp"), F.col("side").alias("pside"))
+    )
+
+
+def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The next regions: ``met`` has every (rid, uid, pivot) and what was measured of it."""
+    used = met.select("rid", F.col("pivot").alias("uid")).distinct()
+    left = members.join(used, ["rid", "uid"], "left_anti")
+    measured = met.where(F.col("linked").isNotNull() & (F.col("pside") == 0)).join(used, ["rid", "uid"], "left_anti")
+    # Outside every ball; members of a pivot's own component were not measured and stay here.
+    balls = measured.where("linked").select("rid", "uid").distinct()
+    plain = left.where("side = 0").join(balls, ["rid", "uid"], "left_anti")
+    # Ball and window of each pivot: only their cross pairs are open.
+    around = measured.where("linked or window").select(
+        F.xxhash64("rid", "pivot", F.lit(1)).alias("rid"), "uid", F.when(F.col("linked"), 1).otherwise(2).alias("side")
+    )
+    again = plain.select(F.xxhash64("rid").alias("rid"), "uid", "side").union(around)
+    again = again.union(left.where("side > 0").select(F.xxhash64("rid").alias("rid"), "uid", "side"))
+    again = again.join(labels.withColumnRenamed("node", "uid"), "uid", "left")
+    again = again.select("rid", "uid", F.coalesce("component", "uid").alias("comp"), "side")
+    # A ball is one component; of the window only what is not yet part of it is open.
+    ball = again.where("side = 1").groupBy("rid").agg(F.min("comp").alias("ball"))
+    kept = again.join(ball, "rid", "left").where("side < 2 or comp <> ball")
+    open_ones = kept.groupBy("rid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("side") == 2).alias("w"), F.max("side").alias("side"))
+    open_ones = open_ones.where("lo < hi and (side = 0 or w > 0)").select("rid")
+    return kept.join(open_ones, "rid").select("rid", "uid", "comp", "side")
 
 
 def jaccard_components(
@@ -282,7 +317,7 @@ def jaccard_components(
     copies = stored(near.join(first_copy, ["n", "f1", "f2"]).select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "jaccard-copies")
     members = copies.where("uid = rep").select("uid", F.explode("keys").alias("rid"))
     members = members.join(members.groupBy("rid").count().where("count > 1").select("rid"), "rid")
-    members = stored(members.select("rid", "uid", F.col("uid").alias("comp")), "jaccard-members")
+    members = stored(members.select("rid", "uid", F.col("uid").alias("comp"), F.lit(0).alias("side")), "jaccard-members")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +337,8 @@ def jaccard_components(
         pivots = stored(_pivots(members, first), "jaccard-pivots")
         if pivots.isEmpty():
             break
-        met = members.join(pivots, "rid")
-        pairs = met.where("comp <> pcomp").select("uid", "pivot").distinct()
+        met = members.join(pivots, "rid").where("side = pside or pside > 0")
+        pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
         seen = stored(
             _distances(sets, pairs).select(
                 "uid",
@@ -315,21 +350,8 @@ def jaccard_components(
         )
         links = links.union(seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
         labels = stored(components(links), "jaccard-components")
-        # A member of the pivot's own component was not measured and stays on both sides.
-        met = met.where("uid <> pivot").join(seen, ["uid", "pivot"], "left")
-        around = met.where(F.col("window") | F.col("window").isNull()).select(
-            F.xxhash64("rid", "pivot").alias("rid"), "uid"
-        )
-        used = members.join(pivots.select("rid", F.col("pivot").alias("uid")), ["rid", "uid"], "left_anti")
-        outside = (
-            used.join(met.where("linked").select("rid", "uid").distinct(), ["rid", "uid"], "left_anti")
-            .join(pivots.select("rid").distinct(), "rid", "left_semi")
-            .select(F.xxhash64("rid", F.lit(0).cast("long")).alias("rid"), "uid")
-        )
-        again = around.union(outside).join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-        again = again.select("rid", "uid", F.coalesce("component", "uid").alias("comp"))
-        open_ones = again.groupBy("rid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("rid")
-        members = stored(again.join(open_ones, "rid").select("rid", "uid", "comp"), "jaccard-members")
+        met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
+        members = stored(_recurse(members, met, labels), "jaccard-members")
         first = False
 
     out = every.select("uid", "n").join(copies.select("uid", "rep"), "uid", "left")

@@ -18,10 +18,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.linear import byte_grams, descend, gram_counts, gram_matrix, gram_sums
 from flowloom.llm.words import _LOWER, Block, blocks
 
-FEATURE_BITS = 13
-SAMPLE_ROWS = 3_200  # labelled documents that the models are fitted on, about as many per language
+FEATURE_BITS = 12
+SAMPLE_ROWS = 2_400  # labelled documents that the models are fitted on, about as many per language
 MOST_LANGUAGES = 64  # the most frequent ones are learned
 UNKNOWN = "und"
 
@@ -45,12 +46,6 @@ def held_out(ident: Column) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _grams(block: Block) -> np.ndarray:
-    data = np.concatenate([[32], _LOWER[block.data], [32, 32]]).astype(np.uint32)
-    key = data[:-2] | (data[1:-1] << np.uint32(8)) | (data[2:] << np.uint32(16))
-    return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - FEATURE_BITS)).astype(np.int32)[: len(block.data)]
-
-
 def _has_letter(block: Block, texts: pa.Array) -> np.ndarray:
     lower = _LOWER[block.data]
     plain = np.concatenate([[0], np.cumsum((lower >= 97) & (lower <= 122))])
@@ -99,29 +94,11 @@ class LanguageModel:
         return lang, score
 
 
-def _descend(x: np.ndarray, slope, columns: int, turns: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Accelerated full-batch descent on a smooth convex loss with a small ridge."""
-    w, b = np.zeros((x.shape[1], columns)), np.zeros(columns)
-    ahead_w, ahead_b, step = w, b, 2.0 / max(1e-9, float((x * x).sum(1).mean()) + 1)
-    for t in range(turns):
-        g = slope(x @ ahead_w + ahead_b) / len(x)
-        new_w, new_b = ahead_w - step * (x.T @ g + 1e-4 * ahead_w), ahead_b - step * g.sum(0)
-        ahead_w, ahead_b = new_w + t / (t + 3) * (new_w - w), new_b + t / (t + 3) * (new_b - b)
-        w, b = new_w, new_b
-    return w, b
-
-
 def fit(rows: list, classes: list[str]) -> LanguageModel:
     """Fit both levels on rows of (lang, gram ids, gram counts)."""
-    x = np.zeros((len(rows), 1 << FEATURE_BITS), np.float32)
-    for i, r in enumerate(rows):
-        counts = np.frombuffer(r["counts"], "<u4").astype(np.float32)
-        x[i, np.frombuffer(r["ids"], "<u2")] = counts / counts.sum()
+    x, scale = gram_matrix(rows, FEATURE_BITS)
     lang = np.array([r["lang"] for r in rows], object)
     classes = [c for c in classes if (lang == c).any()]
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    scale *= np.sqrt(4 / np.mean((x * scale) ** 2 @ np.ones((x.shape[1], 1), np.float32)))
-    x *= scale
     families = sorted({family_of(c) for c in classes})
     members = {f: sorted(c for c in classes if family_of(c) == f) for f in families}
     goal = np.array([[float(family_of(v) == f) for f in families] for v in lang])
@@ -130,14 +107,14 @@ def fit(rows: list, classes: list[str]) -> LanguageModel:
         p = np.exp(m - m.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True) - goal
 
-    weights, bias = _descend(x, softmax, len(families))
+    weights, bias = descend(x, softmax, len(families))
     columns, biases, pairs = [weights], [bias], []
     for f in families:
         for a, b in combinations(members[f], 2):
             mine = (lang == a) | (lang == b)
             sign = np.where(lang[mine] == a, 1.0, -1.0)[:, None]
             # Squared hinge loss.
-            w, c = _descend(x[mine], lambda m, s=sign: -s * np.maximum(0, 1 - s * m), 1)
+            w, c = descend(x[mine], lambda m, s=sign: -s * np.maximum(0, 1 - s * m), 1)
             pairs.append((a, b))
             columns.append(w)
             biases.append(c)
@@ -159,12 +136,7 @@ def train(docs: DataFrame, text_column: str, lang_column: str, sample_rows: int
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0)):
-                gram = _grams(block)
-                ids, counts = [], []
-                for a, b in zip(block.starts, block.ends, strict=True):
-                    found, n = np.unique(gram[a:b], return_counts=True)
-                    ids.append(found.astype("<u2").tobytes())
-                    counts.append(n.astype("<u4").tobytes())
+                ids, counts = gram_counts(block, byte_grams(block, FEATURE_BITS, lower=True))
                 lang = batch.column(1).take(pa.array(block.rows))
                 yield pa.RecordBatch.from_arrays([lang, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
@@ -197,12 +169,7 @@ def identify_languages(
             texts = batch.column(2)
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for block in blocks(texts) if model else ():
-                gram = _grams(block)
-                length = np.maximum(1, block.ends - block.starts)
-                sums = np.empty((len(block.rows), len(model.weights)))
-                for j, table in enumerate(model.weights):
-                    total = np.concatenate([[0.0], np.cumsum(table[gram], dtype=np.float64)])
-                    sums[:, j] = (total[block.ends] - total[block.starts]) / length
+                sums = gram_sums(block, byte_grams(block, FEATURE_BITS, lower=True), model.weights)
                 found, sure = model.predict(sums)
                 letters = _has_letter(block, texts)
                 lang[block.rows[letters]], score[block.rows[letters]] = found[letters], sure[letters]
