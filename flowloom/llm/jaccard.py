@@ -35,7 +35,7 @@ from flowloom.llm.words import blocks, mixed, shingles
 GROUP_BYTES = 16 << 20  # text per group of counted shingles
 SAMPLE = 16  # one document of so many is looked at to find very common shingles
 COMMON_SHARE = 1e-6  # of all shingles; bounds the list of common ones to a million
-PIVOTS = 4  # per region and round, after the first
+PIVOTS = 16  # per region and round, after the first
 SALT_ROWS = 512  # members compared with one pivot in one group
 
 _HALF = np.uint64(1 << 63)
@@ -266,7 +266,7 @@ def _pivots(members: DataFrame, first: bool) -> DataFrame:
     sides = members.where("side > 0").groupBy("rid").agg(*(F.sum((F.col("side") == i).cast("int")).alias(f"n{i}") for i in (1, 2)))
     smaller = sides.select("rid", F.when(F.col("n1") <= F.col("n2"), 1).otherwise(2).alias("side"))
     by_id = Window.partitionBy("rid").orderBy("uid")
-    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= 4 * PIVOTS)
+    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= PIVOTS)
     return plain.select("rid", "pivot", F.col("comp").alias("pcomp"), F.lit(0).alias("pside")).union(
         paired.select("rid", F.col("uid").alias("pivot"), F.col("comp").alias("pcomp"), F.col("side").alias("pside"))
     )
@@ -331,7 +331,6 @@ def jaccard_components(
     texts = rows.join(busy, rows["_uid"] == busy["uid"], "left_semi").select("_uid", "_text")
     sets = stored(texts.mapInArrow(encoded, "uid long, elements binary"), "jaccard-sets")
 
-    links = copies.where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b")).limit(0)
     labels, first = None, True
     while True:
         pivots = stored(_pivots(members, first), "jaccard-pivots")
@@ -348,7 +347,9 @@ def jaccard_components(
             ),
             "jaccard-distances",
         )
-        links = links.union(seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
+        links = seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+        if labels is not None:  # what is linked so far, as stars
+            links = links.union(labels.select("node", "component"))
         labels = stored(components(links), "jaccard-components")
         met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
         members = stored(_recurse(members, met, labels), "jaccard-members")
