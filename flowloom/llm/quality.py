@@ -137,23 +137,22 @@ def votes(block: Block) -> np.ndarray:
     return out.astype(np.int8)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, turns: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, turns: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """EM: the posterior of being good for each vote pattern, P(vote | class), and the share of good.
 
-    Heuristics are taken as independent given the class, abstaining included.  They start out
-    as better than chance, which settles which of the two classes is the good one.
+    Votes are taken as independent given the class; abstaining says nothing.  At the start a
+    pattern with a vote for bad is likely bad: most heuristics know one kind of bad text only,
+    and miss the others.
     """
-    one_hot = np.stack([patterns == v for v in (0, 1, -1)], 2).astype(float)
-    right, wrong, nothing = 0.55, 0.1, 0.35
-    rates = np.stack([np.tile([right, wrong, nothing], (patterns.shape[1], 1)), np.tile([wrong, right, nothing], (patterns.shape[1], 1))])
-    good, post = 0.7, np.full(len(counts), 0.7)
+    one_hot = np.stack([patterns == v for v in (0, 1)], 2).astype(float)
+    post = np.where((patterns == 0).any(1), 0.1, np.where((patterns == 1).any(1), 0.95, 0.5))
     for _ in range(turns):
-        score = np.einsum("pjv,cjv->pc", one_hot, np.log(rates)) + np.log([1 - good, good])
-        new = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
-        weight = np.stack([counts * (1 - new), counts * new])
+        weight = np.stack([counts * (1 - post), counts * post])
         seen = np.einsum("cp,pjv->cjv", weight, one_hot) + 1.0
         rates = seen / seen.sum(2, keepdims=True)
         good = float(np.clip(weight[1].sum() / counts.sum(), 0.01, 0.99))
+        score = np.einsum("pjv,cjv->pc", one_hot, np.log(rates)) + np.log([1 - good, good])
+        new = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -50, 50)))
         if np.abs(new - post).max() < 1e-7:
             break
         post = new
