@@ -44,13 +44,22 @@ Return ONLY the label ('normal' or 'anomaly') with no extra text.
 
 
 def query_string(decimals: int = 6) -> Column:
-    """``name: value | name: value``; doubles carry a fixed number of decimals, ties go up."""
+    """``name: value | name: value``; doubles carry a fixed number of decimals.
+
+    What is not a finite number reads ``nan``, ``inf`` or ``-inf``.
+    """
     parts = []
     for name in FEATURES:
-        value = f"CAST({quoted(name)} AS BIGINT)"
-        if name not in INTEGER_FEATURES:
-            value = f"CAST(round({quoted(name)} + 1e-9D, {decimals}) AS DECIMAL(38,{decimals}))"
-        parts.append(f"concat('{name}: ', {value})")
+        plain = "BIGINT" if name in INTEGER_FEATURES else f"DECIMAL(38,{decimals})"
+        column = quoted(name)
+        value = f"CAST({column} AS DOUBLE)" if name in INTEGER_FEATURES else f"round({column}, {decimals})"
+        exact = column if name in INTEGER_FEATURES else value
+        text = (
+            f"CASE WHEN isnan({value}) THEN 'nan' WHEN {value} = double('inf') THEN 'inf' "
+            f"WHEN {value} = double('-inf') THEN '-inf' "
+            f"ELSE coalesce(CAST(try_cast({exact} AS {plain}) AS STRING), CAST({value} AS STRING), 'nan') END"
+        )
+        parts.append(f"concat('{name}: ', {text})")
     return F.expr(f"concat_ws(' | ', {', '.join(parts)})")
 
 

@@ -98,52 +98,76 @@ def explain_anomalies(
     k: int = TOP_K,
     space: str = "raw",
     order: tuple[str, ...] = ("first_us", "flow_id"),
+    corpus: DataFrame | None = None,
+    encoder: Callable[..., DataFrame] | None = None,
+    generator: tuple[Callable[[], object], Callable[[object, str], str]] | None = None,
+    detailed: bool = True,
 ) -> DataFrame:
-    """Neighbours, vote, leading features and text for the first ``n`` anomalies.
+    """Retrieved documents, vote, leading features and text for the first ``n`` anomalies.
 
     ``labelled`` has ``flow_id``, ``first_us``, the features, their ``z_`` columns and
-    ``label``; give it materialised, since it is read as queries and as corpus.  The rank
-    filter runs before retrieval, so only ``n`` vectors are searched.
+    ``label``; give it stored, since it is read several times.  Without a ``corpus`` the
+    flows themselves are searched by their feature vectors.  With one (``doc_pos``,
+    ``embedding``, ``input``, ``output``) the query strings are encoded by ``encoder`` and its
+    documents are searched.  ``generator`` (``load``, ``write``) writes the text from the
+    prompt; without one the text names the neighbours' label and the leading features.
+    The rank filter runs before retrieval, so only ``n`` vectors are searched.
     """
-    chosen = first_anomalies(labelled, list(order), n)
-    facts = chosen.select(
-        F.col("flow_id").alias("query_id"),
-        "label",
-        query_string().alias("input"),
-        leading_features().alias("leading"),
+    # At most n rows, and below at most n * k: stored, so that everything after is a handful.
+    facts = materialise(
+        first_anomalies(labelled, list(order), n).select(
+            F.col("flow_id").alias("query_id"),
+            "label",
+            query_string().alias("input"),
+            leading_features().alias("leading"),
+            feature_vector(space).alias("embedding"),
+        )
     )
-    queries = flow_vectors(chosen, space).withColumnRenamed("doc_pos", "query_id")
-    corpus = flow_vectors(labelled, space)
-    # At most n * k hits: stored, so that one search serves all that follows.
-    hits = materialise(top_k(queries, corpus, k, skip_self=True))
-    documents = (
-        labelled.join(F.broadcast(hits), F.col("flow_id") == F.col("doc_pos"))
-        .withColumn("input", query_string())
-        .select("query_id", "rank", "doc_pos", "score", "input", F.col("label").alias("output"))
+    if corpus is None:
+        queries = normalised(facts.select("query_id", "embedding"))
+        source = flow_vectors(labelled, space)
+        texts = labelled.select(F.col("flow_id").alias("doc_pos"), query_string().alias("input"), F.col("label").alias("output"))
+    else:
+        if encoder is None:
+            raise ValueError("a corpus needs the encoder of its vectors")
+        queries = encoder(facts.select("query_id", "input"), "query_id", "input").select("query_id", "embedding")
+        source, texts = corpus.select("doc_pos", "embedding"), corpus.select("doc_pos", "input", "output")
+    hits = materialise(top_k(queries, source, k, skip_self=corpus is None))
+    documents = materialise(
+        texts.join(F.broadcast(hits), "doc_pos").select("query_id", "rank", "doc_pos", "score", "input", "output")
     )
-    vote = neighbour_vote(documents)
+    vote = neighbour_vote(documents.withColumn("output", F.coalesce("output", F.lit(""))))
     ids = documents.groupBy("query_id").agg(
         F.concat_ws(
             ",",
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_pos"))), lambda e: e["doc_pos"].cast("string")),
         ).alias("neighbours")
     )
-    text = F.concat(
+    asked = prompts(facts.select("query_id", "input"), documents, detailed)
+    if generator is None:
+        written = asked.withColumn("text", F.lit(None).cast("string")).withColumn("failed", F.lit(False))
+    else:
+        # Only queries with documents have a prompt to write from.
+        found = materialise(generate(asked.where(F.col("prompt").isNotNull()), *generator)).select("query_id", "text", "failed")
+        written = asked.join(found, "query_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    built_in = F.concat(
         F.lit("Suggested label: "),
         F.col("suggested"),
         F.lit(" ("),
         F.col("votes").cast("string"),
         F.lit(" of "),
         F.col("documents").cast("string"),
-        F.lit(" similar flows). Leading features: "),
+        F.lit(" similar documents). Leading features: " if corpus is not None else " similar flows). Leading features: "),
         F.concat_ws(", ", "leading"),
     )
-    size = labelled.limit(1).count()
+    text = built_in if generator is None else F.col("text")
+    size = 0 if source.isEmpty() else 1
     return (
-        facts.drop("input")
-        .join(prompts(facts.select("query_id", "input"), documents), "query_id")
+        facts.drop("input", "embedding")
+        .join(written, "query_id")
         .join(vote, "query_id", "left")
         .join(ids, "query_id", "left")
-        .withColumn("rag_output", explanation(F.lit(size), F.col("documents"), text, F.lit(False)))
+        .withColumn("rag_output", explanation(F.lit(size), F.col("documents"), text, F.col("failed")))
         .withColumn("leading", F.concat_ws(",", "leading"))
+        .drop("text", "failed")
     )

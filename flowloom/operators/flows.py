@@ -18,7 +18,7 @@ partitioning or row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.packets import (
@@ -30,11 +30,13 @@ from flowloom.functions.packets import (
     with_tcp_fields,
 )
 from flowloom.schemas import DEFAULT_GAP_US, FLOW_KEY, MAX_PAYLOAD
+from flowloom.session import plan_bytes
 
 OBSERVED, BIDIRECTIONAL = "observed", "bidirectional"
 
-# Squared gaps inside a slice sum to at most slice_us ** 2, which must fit a long.
-MAX_SLICE_US = 3_000_000_000
+MAX_LONG = (1 << 63) - 1
+MOST_PACKETS = 20_000_000  # of one key in one slice, which one task sorts
+SAMPLE = 64  # one packet of so many is counted to find bursting keys
 
 KEY = ["a", "a_port", "b", "b_port", "proto"]
 SLICE = [*KEY, "slice_us"]
@@ -46,22 +48,26 @@ BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 def default_slice_us(gap_us: int) -> int:
     """Sixteen gaps: long enough to reduce well, short enough to split a busy key."""
-    return max(1, min(16 * gap_us, MAX_SLICE_US))
+    return max(1, 16 * gap_us)
 
 
 def fitting_slice_us(
-    packets: DataFrame, gap_us: int = DEFAULT_GAP_US, mode: str = OBSERVED, most: int = 20_000_000
+    packets: DataFrame, gap_us: int = DEFAULT_GAP_US, mode: str = OBSERVED, most: int = MOST_PACKETS
 ) -> int:
-    """The widest slice, from the default downwards, holding at most ``most`` packets per key.
+    """The widest slice, from the default downwards, holding about ``most`` packets per key at most.
 
-    One counting pass, pre-aggregated in each task, is enough unless some key bursts; every
-    further pass tries a sixteenth.  Results never depend on the slice, only task sizes do.
+    A table of fewer bytes than that has no such slice and is not looked at.  Otherwise one
+    pass counts a sample of the packets, pre-aggregated in each task, and every further pass,
+    needed only where a key bursts, tries a sixteenth.  Results never depend on the slice,
+    only task sizes do.
     """
     slice_us = default_slice_us(gap_us)
-    keyed = _keyed(packets, mode)
+    if plan_bytes(packets) < most:
+        return slice_us
+    keyed = _keyed(packets, mode).where(F.pmod(F.xxhash64("pkt_id"), F.lit(SAMPLE)) == 0)
     while slice_us > 1:
         parts = keyed.selectExpr(*KEY, f"ts_us - pmod(ts_us, {slice_us}L) AS slice_us").groupBy(*SLICE).count()
-        if (parts.agg(F.max("count")).first()[0] or 0) <= most:
+        if SAMPLE * (parts.agg(F.max("count")).first()[0] or 0) <= most:
             break
         slice_us = max(1, slice_us // 16)
     return slice_us
@@ -103,8 +109,8 @@ def _keyed(packets: DataFrame, mode: str) -> DataFrame:
 
 def _sliced(packets: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
     """Step 1: mark fragments inside each (key, slice)."""
-    if not 0 < slice_us <= MAX_SLICE_US:
-        raise ValueError(f"slice_us must lie between 1 and {MAX_SLICE_US}")
+    if slice_us < 1:
+        raise ValueError("slice_us must be at least 1")
     order = "ts_us, pkt_id"
     so_far, before = _over(SLICE, order, SO_FAR), _over(SLICE, order, BEFORE)
     looks_back = []
@@ -136,10 +142,14 @@ def _on_open(column: str, name: str | None = None) -> str:
     return f"max(if(opens, {column}, NULL)) AS {name or column}"
 
 
-def _fragments(sliced: DataFrame, mode: str) -> DataFrame:
+def _fragments(sliced: DataFrame, mode: str, gap_us: int, slice_us: int) -> DataFrame:
     """Reduce every fragment to integers; same partitioning, so no shuffle."""
     directions = _directions(mode)
-    gaps = [f"{_gap(d, cond)} AS gap_{d}" for d, cond in directions.items()]
+    # Gaps of a fragment sum to at most the slice and are at most the gap each (two directions
+    # may each span the slice), which bounds the sum of their squares.
+    fits = slice_us * max(gap_us, slice_us if mode == BIDIRECTIONAL else 0) <= MAX_LONG
+    kind = "BIGINT" if fits else "DECIMAL(18,0)"
+    gaps = [f"CAST({_gap(d, cond)} AS {kind}) AS gap_{d}" for d, cond in directions.items()]
     aggs = [
         "count(*) AS pkts",
         "max(ts_us) AS last_us",
@@ -202,14 +212,14 @@ def flow_totals(
     ``s_`` columns describe the initiator's direction, ``d_`` columns the replies
     (always empty in observed mode).  ``flow_id`` is the id of the first packet.
     """
-    slice_us = slice_us or default_slice_us(gap_us)
+    slice_us = slice_us or fitting_slice_us(packets, gap_us, mode)
     fragments = fragment_totals(packets, gap_us, mode, slice_us)
     return oriented_totals(merge_fragments(fragments, gap_us, mode, slice_us), mode)
 
 
 def fragment_totals(packets: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
     """Step 1 in one go: packets -> fragments."""
-    return _fragments(_sliced(packets, gap_us, mode, slice_us), mode)
+    return _fragments(_sliced(packets, gap_us, mode, slice_us), mode, gap_us, slice_us)
 
 
 def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
@@ -308,7 +318,7 @@ def packet_flows(
     This is the long form of per-flow ordered lists (A4): one row per list entry, in
     order of ``pos``, so a flow of any length stays spread over tasks.
     """
-    slice_us = slice_us or default_slice_us(gap_us)
+    slice_us = slice_us or fitting_slice_us(packets, gap_us, mode)
     directions = _directions(mode)
     sliced = _sliced(packets, gap_us, mode, slice_us)
     over, so_far = _over(SLICE, "ts_us, pkt_id"), _over(SLICE, "ts_us, pkt_id", SO_FAR)
@@ -421,3 +431,32 @@ def native_sessions(
         )
         .select(*FLOW_KEY, "first_us", "last_us", "pkts", "bytes")
     )
+
+
+def distinct_sources(packets: DataFrame, window_us: int, slice_us: int | None = None) -> DataFrame:
+    """Per packet, the distinct sources its destination heard in the ``window_us`` up to it.
+
+    The presence of a source at a destination is a set of time intervals: flows of the pair
+    with the window as idle gap, each lasting the window beyond its last packet.  The count is
+    a running sum of starts and ends, taken inside time slices and then over slices, so a
+    busy destination is spread over its slices.
+    """
+    slice_us = slice_us or 16 * window_us
+    p = ipv4_only(packets)
+    zero = F.lit(0)
+    pairs = flow_totals(p.withColumns({"sport": zero, "dport": zero, "proto": zero}), window_us)
+    no_packet = F.lit(None).cast("long").alias("pkt_id")
+    steps = (
+        pairs.select("dst", F.col("first_us").alias("at"), F.lit(1).alias("step"), no_packet)
+        .union(pairs.select("dst", F.col("last_us") + window_us, F.lit(-1), no_packet))
+        .union(p.select("dst", "ts_us", F.lit(0), "pkt_id"))
+        .withColumn("slice", F.floor(F.col("at") / slice_us))
+    )
+    # Starts and ends come before packets of the same microsecond.
+    along = Window.partitionBy("dst", "slice").orderBy("at", F.col("pkt_id").isNotNull())
+    steps = steps.withColumn("inside", F.sum("step").over(along))
+    before = Window.partitionBy("dst").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.groupBy("dst", "slice").agg(F.sum("step").alias("total"))
+    carried = carried.select("dst", "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("ahead"))
+    found = steps.where(F.col("pkt_id").isNotNull()).join(carried, ["dst", "slice"])
+    return found.select("pkt_id", "dst", (F.col("inside") + F.col("ahead")).cast("long").alias("sources"))

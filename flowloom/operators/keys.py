@@ -7,20 +7,27 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.session import materialise
+from flowloom.session import materialise, plan_bytes
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_id", start: int = 1) -> DataFrame:
+PART_BYTES = 64 << 20
+
+
+def number_rows(
+    df: DataFrame, order: list[str], name: str = "row_id", start: int = 1, parts: int | None = None
+) -> DataFrame:
     """Consecutive ids in ``order`` without a single-task window.
 
     Rows are range-partitioned and sorted, which spreads any repeated value that the
     full order tells apart.  The result is stored once, the rows per partition are
     counted, and each partition's offset is added.  ``order`` must be a total order.
+    ``parts`` follows the input: one for every ``PART_BYTES``, or as many as shuffles use.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1_000_000, plan_bytes(df) // PART_BYTES))
     stored = materialise(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -28,9 +35,9 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_id", start: in
     )
     part = F.shiftright("_slot", _LOCAL_BITS).cast("int")
     counts = {r["part"]: r["n"] for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    sizes = [counts.get(i, 0) for i in range(parts)]
+    most = max(counts, default=-1) + 1
     offsets = spark.createDataFrame(
-        list(enumerate(accumulate(sizes, initial=start))), "part int, first long"
+        list(enumerate(accumulate((counts.get(i, 0) for i in range(most)), initial=start))), "part int, first long"
     )  # one row per partition
     local = F.col("_slot").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return (

@@ -70,11 +70,12 @@ def validate_and_fill(screened: DataFrame, keep: list[str] | None = None) -> Dat
 
     Numbers and booleans stay, numeric text is converted, anything else is 0; unknown names
     go, missing ones are 0.  The engine also reads "1d" and "1f" as numbers, which a record
-    means as text; the texts are looked at only in lines that could hold such a value.
+    means as text, and reads hexadecimal text; the texts are looked at only in lines that
+    could hold such a value.
     """
     good = screened.where(F.col("reason").isNull())
     value = F.col("value")
-    suspect = F.col("line").rlike(r'[0-9.][dDfF]\s*"|\\')
+    suspect = F.col("line").rlike(r'[0-9.][dDfF]\s*"|0[xX]|\\')
     read = computed_once(
         good,
         {
@@ -83,7 +84,7 @@ def validate_and_fill(screened: DataFrame, keep: list[str] | None = None) -> Dat
         },
     )
     filled = [
-        f"if(coalesce(_texts.{f} RLIKE '[0-9.][dDfF][ ]*$', false), 0D, coalesce(_numbers.{f}, 0D)) AS {f}"
+        f"if(coalesce(_texts.{f} RLIKE '[0-9.][dDfF][ ]*$|0[xX]', false), 0D, coalesce(_numbers.{f}, 0D)) AS {f}"
         for f in map(quoted, FEATURES)
     ]
     return read.selectExpr(*(keep or []), *filled)

@@ -7,30 +7,28 @@ emits k rows per query however many documents it read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.vectors import norm, unit
 from flowloom.schemas import TOP_K
 
-# Query vectors up to this size are sent to every task; larger sets are shuffled in blocks.
+# Query vectors are sent to the tasks in blocks of this size; each block is one pass over the corpus.
 QUERY_BLOCK_BYTES = 32 << 20
-DOC_BLOCK_BYTES = 64 << 20
-FEW_QUERIES = 1024
 SCORE_CELLS = 4_000_000
+MERGE_SALTS = 64
+# A product of matrices may differ from a plain sum by less than this for unit vectors.
+SLACK = 1e-9
 
-# Scores are compared in millionths, so that summation order cannot reorder ties.
-SCORE_UNIT = 1_000_000
-ABSENT = -(1 << 62)  # below every score, and safe to negate
 HIT_SCHEMA = "query_id long, doc_pos long, score double"
 HIT_ARROW = pa.schema([("query_id", pa.int64()), ("doc_pos", pa.int64()), ("score", pa.float64())])
 
@@ -46,106 +44,80 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _unit_matrix(column) -> np.ndarray:
+    vectors = _matrix(column)
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    if len(vectors) and not ((lengths == 0) | (np.abs(lengths - 1) < 1e-3)).all():
+        raise ValueError("vectors must be L2-normalised")
+    return vectors
+
+
 class _Best:
-    """The best k documents per query seen so far: score descending, then position."""
+    """The best k documents per query seen so far: score descending, then position.
+
+    A matrix product finds the few documents that can be among the best; their scores are
+    then summed in one fixed order, so equal vectors have equal scores wherever they lie.
+    """
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool):
         self.query_ids, self.queries, self.k, self.skip_self = query_ids, queries, k, skip_self
-        self.scores = np.full((k, len(query_ids)), ABSENT, dtype=np.int64)
-        self.docs = np.full((k, len(query_ids)), np.iinfo(np.int64).max, dtype=np.int64)
+        self.least = np.full(len(query_ids), -np.inf)
+        self.at, self.docs, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
     def add(self, docs: np.ndarray, vectors: np.ndarray) -> None:
         if len(docs) == 0 or len(self.query_ids) == 0:
             return
-        by_position = np.argsort(docs, kind="stable")
-        docs, vectors = docs[by_position], vectors[by_position]
         step = max(self.k, SCORE_CELLS // len(self.query_ids))
         for start in range(0, len(docs), step):
             self._add_block(docs[start : start + step], vectors[start : start + step])
 
     def _add_block(self, docs: np.ndarray, vectors: np.ndarray) -> None:
-        scores = vectors @ self.queries.T
-        if np.abs(scores).max(initial=0.0) > 1000:
-            raise ValueError("vectors must be L2-normalised")
-        scores = np.rint(scores * SCORE_UNIT).astype(np.int64)
+        rough = vectors @ self.queries.T
         if self.skip_self:
-            scores[docs[:, None] == self.query_ids[None, :]] = ABSENT
-        n = len(docs)
-        if n > self.k:
-            # Rows are in position order; the row number breaks ties within the block.
-            rank = np.where(scores == ABSENT, ABSENT, scores * n + np.arange(n - 1, -1, -1)[:, None])
-            rows = np.argpartition(-rank, self.k - 1, axis=0)[: self.k]
-        else:
-            rows = np.broadcast_to(np.arange(n)[:, None], scores.shape)
-        found = np.take_along_axis(scores, rows, axis=0)
-        all_scores = np.concatenate([self.scores, found])
-        all_docs = np.concatenate([self.docs, docs[rows]])
-        order = np.lexsort((all_docs, -all_scores.astype(np.float64)), axis=0)[: self.k]
-        self.scores = np.take_along_axis(all_scores, order, axis=0)
-        self.docs = np.take_along_axis(all_docs, order, axis=0)
+            rough[docs[:, None] == self.query_ids[None, :]] = -np.inf
+        least = self.least
+        if len(docs) > self.k:
+            least = np.maximum(least, np.partition(rough, len(docs) - self.k, axis=0)[len(docs) - self.k])
+        row, at = np.nonzero((rough >= least[None, :] - SLACK) & (rough > -np.inf))
+        exact = np.zeros(len(row))
+        for j in range(vectors.shape[1]):
+            exact += vectors[row, j] * self.queries[at, j]
+        at, docs = np.concatenate([self.at, at]), np.concatenate([self.docs, docs[row]])
+        scores = np.concatenate([self.scores, exact])
+        order = np.lexsort((docs, -scores, at))
+        at, docs, scores = at[order], docs[order], scores[order]
+        first = np.searchsorted(at, np.arange(len(self.query_ids) + 1))
+        kept = np.arange(len(at)) - first[at] < self.k
+        self.at, self.docs, self.scores = at[kept], docs[kept], scores[kept]
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.least[full] = scores[first[full] + self.k - 1]
 
     def rows(self) -> dict[str, np.ndarray]:
-        ids = np.broadcast_to(self.query_ids[None, :], self.scores.shape)
-        hit = self.scores != ABSENT
-        return {
-            "query_id": ids[hit],
-            "doc_pos": self.docs[hit],
-            "score": self.scores[hit] / SCORE_UNIT,
-        }
-
-
-def _bounded_rows(queries: DataFrame, block_bytes: int) -> tuple[pa.Table | None, int]:
-    """The query rows when they fit ``block_bytes``, else None; and the vector length."""
-    take = FEW_QUERIES
-    while True:
-        rows = queries.limit(take + 1).toArrow()
-        dim = len(rows.column("embedding")[0]) if rows.num_rows else 1
-        bound = max(1, block_bytes // (8 * max(1, dim)))
-        if rows.num_rows <= min(take, bound):
-            return rows, dim
-        if take >= bound:
-            return None, dim
-        take = bound  # a first look was too short: read as many as may be shipped
-
-
-def _shipped(query_rows: pa.Table, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Bounded query set: every task gets it and scans its share of the corpus once."""
+        return {"query_id": self.query_ids[self.at], "doc_pos": self.docs, "score": self.scores}
+
+
+def _one_pass(query_rows: pa.Table, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """One bounded block of queries: every task gets it and scans its share of the corpus once."""
     ids = query_rows.column("query_id").to_numpy()
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(query_rows.column("embedding"))))
+    queries = _unit_matrix(query_rows.column("embedding"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*shared.value, k, skip_self)
+        best = _Best(ids, queries, k, skip_self)
         for batch in batches:
-            best.add(batch.column("doc_pos").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding")))
+            best.add(batch.column("doc_pos").to_numpy(zero_copy_only=False), _unit_matrix(batch.column("embedding")))
         yield pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
 
     return corpus.mapInArrow(scan, HIT_SCHEMA)
 
 
-def _blocked(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, dim: int, block_bytes: int) -> DataFrame:
-    """Unbounded query set: bounded query blocks meet bounded corpus blocks in a grid."""
-    blocks = max(1, -(-queries.count() * dim * 8 // block_bytes))
-    shards = max(1, -(-corpus.count() * dim * 8 // DOC_BLOCK_BYTES))
-
-    def spread(id_column: str, n: int):
-        return F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumns({"block": spread("query_id", blocks), "shard": every(shards)})
-    right = corpus.withColumns({"shard": spread("doc_pos", shards), "block": every(blocks)})
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        best = _Best(q.column("query_id").to_numpy().astype(np.int64), _matrix(q.column("embedding")), k, skip_self)
-        best.add(c.column("doc_pos").to_numpy(), _matrix(c.column("embedding")))
-        return pa.Table.from_pydict(best.rows(), schema=HIT_ARROW)
-
-    return (
-        left.groupBy("block", "shard")
-        .cogroup(right.groupBy("block", "shard"))
-        .applyInArrow(cell, HIT_SCHEMA)
-    )
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
+    """The queries in blocks of about ``block_bytes``, one at a time on the driver."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // block_bytes))
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if rows.num_rows:
+            yield rows
 
 
 def top_k(
@@ -163,14 +135,20 @@ def top_k(
     """
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     corpus = corpus.select(F.col("doc_pos").cast("long"), "embedding")
-    rows, dim = _bounded_rows(queries, block_bytes)
-    if rows is not None:
-        partial = _shipped(rows, corpus, k, skip_self)
-    else:
-        partial = _blocked(queries, corpus, k, skip_self, dim, block_bytes)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_pos")
+    passes = [_one_pass(block, corpus, k, skip_self) for block in _query_blocks(queries, block_bytes)]
+    if not passes:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_pos long, score double")
+    partial = reduce(DataFrame.union, passes)
+    order = [F.desc("score"), F.col("doc_pos")]
+    # Every task has k rows per query, so they are merged in two steps.
+    salt = F.pmod(F.xxhash64("doc_pos"), F.lit(MERGE_SALTS))
+    some = Window.partitionBy("query_id", "salt").orderBy(*order)
+    best = Window.partitionBy("query_id").orderBy(*order)
     return (
-        partial.withColumn("rank", F.row_number().over(best))
+        partial.withColumn("salt", salt)
+        .withColumn("rank", F.row_number().over(some))
+        .where(F.col("rank") <= k)
+        .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "doc_pos", "score")
     )
@@ -214,22 +192,50 @@ def class_centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
     return normalised(means.select(F.col(label).cast("long").alias("query_id"), "embedding"))
 
 
-def fit_corpus_encoder(corpus: DataFrame, dim: int = 256) -> PipelineModel:
-    """Text encoder: words -> hashed counts -> inverse document frequency -> unit length (M6)."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="input", outputCol="_words", pattern=r"\W+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0),
-        ]
-    ).fit(corpus)
+@dataclass(frozen=True)
+class CorpusEncoder:
+    """Text encoder: words -> hashed counts -> inverse document frequency -> unit length (M6).
+
+    Words are runs of letters and digits of any script, lower-cased.  A word's bucket is the
+    number in the first eight hex digits of its MD5 hash, modulo the dimension.  Words that
+    share a bucket cannot be told apart: with few buckets similar texts still meet, but so do
+    unrelated ones, so give a large vocabulary a large dimension.
+    """
+
+    idf: tuple[float, ...]
+
+    @property
+    def dim(self) -> int:
+        return len(self.idf)
+
+    def __call__(self, texts: DataFrame, key: str = "doc_pos", text: str = "input") -> DataFrame:
+        """Add ``embedding`` by ``key``, which must be unique; a text without words has zeros."""
+        weights = F.array(*map(F.lit, self.idf))
+        counts = texts.select(key, F.explode(word_buckets(F.col(text), self.dim)).alias("i")).groupBy(key, "i").count()
+        entry = F.struct("i", (F.col("count") * F.get(weights, F.col("i"))).alias("w"))
+        rows = counts.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # at most ``dim``
+        total = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
+        dense = "transform(sequence(0, {}), j -> coalesce(CAST(spread[j] AS DOUBLE) / length, 0D))".format(self.dim - 1)
+        rows = rows.select(key, F.map_from_entries("entries").alias("spread"), F.sqrt(total).alias("length"))
+        rows = rows.select(key, F.when(F.col("length") > 0, F.expr(dense)).alias("embedding"))
+        zeros = F.expr(f"array_repeat(0D, {self.dim})")
+        return texts.join(rows, key, "left").withColumn("embedding", F.coalesce("embedding", zeros))
 
 
-def encode_corpus(corpus: DataFrame, encoder: PipelineModel) -> DataFrame:
+def word_buckets(text: Column, dim: int) -> Column:
+    """The bucket of every word of a text."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+
+def fit_corpus_encoder(corpus: DataFrame, dim: int = 256, text: str = "input") -> CorpusEncoder:
+    """Weights ln((documents + 1) / (documents with the bucket + 1)), in one aggregation."""
+    buckets = corpus.select(F.explode_outer(F.array_distinct(word_buckets(F.col(text), dim))).alias("i"))
+    seen = {r["i"]: r["count"] for r in buckets.groupBy("i").count().collect()}  # at most ``dim`` + 1 rows
+    documents = corpus.count()
+    return CorpusEncoder(tuple(math.log((documents + 1) / (seen.get(i, 0) + 1)) for i in range(dim)))
+
+
+def encode_corpus(corpus: DataFrame, encoder: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``embedding`` to every row that has an ``input`` text."""
-    return (
-        encoder.transform(corpus)
-        .withColumn("embedding", vector_to_array("_unit"))
-        .drop("_words", "_counts", "_weighted", "_unit")
-    )
+    return encoder(corpus)

@@ -12,11 +12,12 @@ from flowloom.schemas import quoted
 
 @dataclass(frozen=True)
 class Scaler:
-    """Mean and scale per named column, in fit order."""
+    """Mean and scale per named column, in fit order, and how many values the fit left out."""
 
     names: tuple[str, ...]
     means: tuple[float, ...]
     scales: tuple[float, ...]
+    left_out: tuple[int, ...] = ()
 
     def column(self, name: str) -> Column:
         """``(x - mean) / scale`` of one column, found by name."""
@@ -42,17 +43,24 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
-    """Mean and population deviation of every column in one pass; a constant gets scale 1."""
-    cols = [F.col(quoted(c)).cast("double") for c in columns]
+    """Mean and population deviation of every column in one pass; a constant gets scale 1.
+
+    Missing and non-finite values are left out and counted per column; a column without any
+    finite value cannot be fitted.
+    """
+    values = [F.col(quoted(c)).cast("double") for c in columns]
+    cols = [F.when(F.abs(c) < float("inf"), c) for c in values]
     row = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.count_if(c.isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
     ).first()
     n = len(columns)
-    if row[0] is None:
-        raise ValueError("cannot fit a scaler on an empty table")
-    scales = tuple(1.0 if s == 0 else float(s) for s in row[n:])
-    return Scaler(tuple(columns), tuple(float(m) for m in row[:n]), scales)
+    empty = [name for name, mean in zip(columns, row[:n]) if mean is None]
+    if empty:
+        raise ValueError(f"cannot fit a scaler without finite values: {', '.join(empty)}")
+    scales = tuple(1.0 if s == 0 else float(s) for s in row[n : 2 * n])
+    return Scaler(tuple(columns), tuple(float(m) for m in row[:n]), scales, tuple(row[2 * n :]))
 
 
 def scale(df: DataFrame, scaler: Scaler | None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -70,7 +71,7 @@ class PipelineScorer:
 class BatchScorer:
     """A user model: ``load`` runs once per task, ``predict`` maps an (n, 18) array to (n, 11).
 
-    A row whose prediction fails gets all-zero probabilities.
+    A row whose prediction fails or has another shape gets all-zero probabilities.
     """
 
     load: Callable[[], object]
@@ -80,21 +81,27 @@ class BatchScorer:
         schema = T.StructType([*scaled.schema.fields, T.StructField("probs", T.ArrayType(T.DoubleType()))])
         load, predict, width = self.load, self.predict, len(LABELS)
 
-        def one(model, row) -> list[float]:
+        def several(model, rows: np.ndarray) -> np.ndarray:
+            probs = np.asarray(predict(model, rows), dtype=float)
+            if probs.shape != (len(rows), width):
+                raise ValueError(f"expected {len(rows)} x {width} probabilities, got {probs.shape}")
+            return probs
+
+        def one(model, row: np.ndarray) -> np.ndarray:
             try:
-                return list(map(float, predict(model, row)[0]))
+                return several(model, row)[0]
             except Exception:
-                return [0.0] * width
+                return np.zeros(width)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
             for batch in batches:
                 rows = batch[FEATURES].to_numpy(float)
                 try:
-                    probs = [list(map(float, p)) for p in predict(model, rows)]
+                    probs = several(model, rows)
                 except Exception:
                     probs = [one(model, rows[i : i + 1]) for i in range(len(rows))]
-                yield batch.assign(probs=probs)
+                yield batch.assign(probs=list(probs))
 
         return scaled.mapInPandas(run, schema)
 
@@ -113,11 +120,14 @@ def argmax(probs: Column) -> Column:
 def decide(scored: DataFrame, threshold: float = NORMAL_THRESHOLD) -> DataFrame:
     """P(normal) at or above the threshold wins, else the most probable class (M4).
 
-    All-zero or missing probabilities mean that scoring failed: the label is that of
-    index 0 with value 0 and ``score_status`` is ``error`` (M5).
+    All-zero or missing probabilities, any that is not a finite number, and a wrong number
+    of them mean that scoring failed: the label is that of index 0 with value 0 and
+    ``score_status`` is ``error`` (M5).
     """
-    zeros = F.expr(f"array_repeat(0.0D, {len(LABELS)})")
-    scored = scored.withColumn("probs", F.coalesce("probs", zeros))
+    # NaN sorts above every number, so the two ends of the array show whatever is not finite.
+    usable = f"size(probs) = {len(LABELS)} AND abs(array_max(probs)) < double('inf') AND abs(array_min(probs)) < double('inf')"
+    usable += " AND NOT exists(probs, p -> p IS NULL)"
+    scored = scored.withColumn("probs", F.expr(f"if({usable}, probs, array_repeat(0.0D, {len(LABELS)}))"))
     if "score_status" not in scored.columns:
         scored = scored.withColumn("score_status", F.lit("ok"))
     probs = F.col("probs")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from flowloom.operators import keys, schema_check
 from flowloom.operators.explain import explain_anomalies, prompts
 from flowloom.operators.flows import (
     BIDIRECTIONAL,
+    distinct_sources,
     flag_histogram,
     flow_totals,
     native_sessions,
@@ -50,6 +51,7 @@ from flowloom.plans.scoring import (
     PREFIX,
     demo_scorer,
     fit_and_label,
+    label_rows,
     record_scorer,
     with_scaled,
 )
@@ -59,6 +61,7 @@ from flowloom.sources.packets import epoch_us, stream_packets
 from flowloom.sources.records import (
     feature_line,
     lines_from_events,
+    bad_corpus_lines,
     read_corpus,
     read_lines,
     write_corpus,
@@ -69,12 +72,13 @@ from flowloom.sources.results import (
     append_scaled,
     load_table,
     read_results_csv,
+    result_rows,
     save_table,
     stored_rows,
     write_anomalies,
     write_results_csv,
 )
-from flowloom.streaming.flows import flows_stream, stream_sessions
+from flowloom.streaming.flows import SESSION_SETTINGS, flows_stream, stream_sessions
 from flowloom.streaming.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
 from flowloom.streaming.scoring import (
     append_stream,
@@ -213,6 +217,11 @@ def flow_features_bidirectional(spark, sf):
     return rounded(flow_features(event_packets(spark, sf), mode=BIDIRECTIONAL))
 
 
+@query
+def distinct_sources_window(spark, sf):
+    return distinct_sources(event_packets(spark, sf), EVENT_GAP_US)
+
+
 @query
 def feature_duplicates(spark, sf):
     features = rounded(flow_features(event_packets(spark, sf)))
@@ -253,13 +262,17 @@ def validate_fill(spark, sf):
     return filled.select("row_id", *finite, "has_nan", "has_inf")
 
 
-@query
-def nonfinite_check(spark, sf):
+def _ratios(spark, sf):
+    """Line items with a ratio that is NaN or infinite where the discount is 0."""
     ratio = F.when(
         F.col("l_discount") == 0, F.when(F.col("l_tax") == 0, float("nan")).otherwise(float("inf"))
     ).otherwise(F.try_divide("l_tax", "l_discount"))
-    lines = table(spark, sf, "lineitem").withColumn("ratio", ratio)
-    return with_nonfinite_flags(lines, ["l_quantity", "ratio"]).select(
+    return table(spark, sf, "lineitem").withColumn("ratio", ratio)
+
+
+@query
+def nonfinite_check(spark, sf):
+    return with_nonfinite_flags(_ratios(spark, sf), ["l_quantity", "ratio"]).select(
         "l_orderkey", "l_linenumber", "has_nan", "has_inf"
     )
 
@@ -344,23 +357,47 @@ def class_probabilities_batch(spark, sf):
 
 @query
 def class_probabilities_mllib(spark, sf):
-    """A multinomial model trained on the labelled flows, then applied to them."""
-    labelled = materialise(
-        _labelled(spark, sf).withColumn("class", argmax(F.col("probs")).cast("double"))
-    )
-    inputs = [PREFIX + f for f in FEATURES]
-    renamed = labelled.select(
-        "flow_id", "class", *[F.col(quoted(c)).alias(c.replace(" ", "_")) for c in inputs]
-    )
+    """A multinomial model of feature masses, trained on the labelled flows and applied to them."""
+    labelled = materialise(_labelled(spark, sf).withColumn("best", label_of(argmax(F.col("probs")))))
+    renamed = labelled.select("flow_id", "best", *[F.col(quoted(f)).cast("double").alias(f.replace(" ", "_")) for f in FEATURES])
     model = Pipeline(
         stages=[
-            VectorAssembler(inputCols=[c.replace(" ", "_") for c in inputs], outputCol="inputs"),
-            LogisticRegression(featuresCol="inputs", labelCol="class", maxIter=5, family="multinomial"),
+            StringIndexer(inputCol="best", outputCol="class", stringOrderType="alphabetAsc"),
+            VectorAssembler(inputCols=[f.replace(" ", "_") for f in FEATURES], outputCol="inputs"),
+            NaiveBayes(featuresCol="inputs", labelCol="class", smoothing=1.0, modelType="multinomial"),
         ]
     ).fit(renamed)
     return rounded(_long_probs(PipelineScorer(model)(renamed)))
 
 
+@query
+def nonfinite_records(spark, sf):
+    """Every accepted record scored and stored, those with ``nan`` and ``inf`` among them."""
+    filled = materialise(validate_and_fill(_screened(spark, sf), ["row_id"]))
+    labelled = label_rows(filled, fit_scaler(filled, FEATURES))
+    kept = result_rows(labelled).select("row_id", F.col("sbytes").alias("stored_sbytes"))
+    text = query_string().alias("text")
+    shown = labelled.select("row_id", "prediction", "label", "score_status", text)
+    return rounded(shown.join(kept, "row_id"))
+
+
+@query
+def scaler_fit_nonfinite(spark, sf):
+    """A column with NaN and infinite values, fitted on the finite ones."""
+    scaler = fit_scaler(_ratios(spark, sf), ["l_quantity", "ratio"])
+    out = scaler.to_frame(spark)
+    left = F.element_at(F.array(*map(F.lit, scaler.left_out)), F.col("position") + 1)
+    return rounded(out.withColumn("left_out", left.cast("long")))
+
+
+@query
+def unscaled_scores(spark, sf):
+    """Without a scaler the rows are scored as they are and say so."""
+    features = flow_features(event_packets(spark, sf))
+    small = features.withColumns({f: F.col(quoted(f)) / F.lit(1e6) for f in FEATURES})
+    return rounded(label_rows(small, None).select("flow_id", "prediction", "label", "score_status"))
+
+
 @query
 def argmax_label(spark, sf):
     best = argmax(F.col("probs"))
@@ -596,8 +633,10 @@ def corpus_roundtrip(spark, sf):
 
 @query
 def corpus_index(spark, sf):
+    """Every document with its vector, built, stored and loaded again."""
+    corpus = _corpus(spark, sf)
     path = work_path(spark, "corpus-index")
-    save_table(_vectors(spark, sf).join(_corpus(spark, sf), "doc_pos"), path)
+    save_table(encode_corpus(corpus, fit_corpus_encoder(corpus)), path)
     return load_table(spark, path).select("doc_pos", F.size("embedding").alias("dim"), "input", "output")
 
 
@@ -608,12 +647,38 @@ def corpus_vectors(spark, sf):
     return rounded(encoded.select("doc_pos", "embedding").select("doc_pos", F.posexplode("embedding").alias("i", "x")).where("x != 0"))
 
 
+@query
+def corpus_lines_placed(spark, sf):
+    """A corpus whose lines carry no position, some of them broken: good and bad lines together.
+
+    Positions depend on the order of lines in the files, so they are checked to be 0, 1, 2, ...
+    """
+    path = work_path(spark, "corpus-lines")
+    doc = F.to_json(F.struct(F.col("input"), F.col("output")))
+    n = F.col("doc_pos")
+    line = F.when(n % 7 == 3, F.concat(F.lit("{"), doc)).when(n % 7 == 5, F.lit('{"output": "no text"}')).otherwise(doc)
+    _corpus(spark, sf).where("input IS NOT NULL").select(line.alias("value")).write.text(path)
+    good = read_corpus(spark, path).select("doc_pos", "input", "output")
+    rank = good.agg(F.count_distinct("doc_pos").alias("places"), F.count("*").alias("rows"))
+    bad = bad_corpus_lines(spark, path).groupBy("reason").agg(F.count("*").alias("rows"))
+    good = rank.select(F.when(F.col("places") == F.col("rows"), "placed").alias("reason"), "rows")
+    return bad.union(good)
+
+
+@query
+def search_all_vectors(spark, sf):
+    """Every vector searched for its five nearest others, in blocks of queries."""
+    vectors = _vectors(spark, sf)
+    queries = vectors.select(F.col("doc_pos").alias("query_id"), "embedding")
+    return rounded(top_k(queries, vectors, skip_self=True, block_bytes=64 << 10))
+
+
 # --- explanations ------------------------------------------------------------
 
 
 @query
 def query_string_(spark, sf):
-    return flow_features(event_packets(spark, sf)).select("flow_id", query_string().alias("text"))
+    return rounded(flow_features(event_packets(spark, sf))).select("flow_id", query_string().alias("text"))
 
 
 @query
@@ -635,12 +700,39 @@ def explanation_status(spark, sf):
 
 
 @query
-def explain_anomaly(spark, sf):
-    labelled = materialise(
-        _labelled(spark, sf).select(
-            "flow_id", "first_us", *FEATURE_COLUMNS, *[quoted(PREFIX + f) for f in FEATURES], "label"
-        )
+def _explainable(spark, sf):
+    """Labelled flows, stored; features are rounded for the texts, scaled ones are not."""
+    labelled = _labelled(spark, sf)
+    shown = rounded(labelled.select("flow_id", "first_us", "label", "prediction", *FEATURE_COLUMNS))
+    return materialise(shown.join(labelled.select("flow_id", *[quoted(PREFIX + f) for f in FEATURES]), "flow_id"))
+
+
+@query
+def explained_results(spark, sf):
+    """The whole path: anomaly, query string, its vector, corpus documents, generated text, stored row."""
+    labelled = _explainable(spark, sf)
+    corpus = _corpus(spark, sf)
+    encoder = fit_corpus_encoder(corpus)
+    encoded = materialise(encode_corpus(corpus, encoder))
+
+    def write(_, prompt: str) -> str:
+        """Fails for some prompts, stays silent for others."""
+        if len(prompt) % 4 == 0:
+            raise RuntimeError("no answer")
+        return prompt + (" \n" if len(prompt) % 4 == 1 else f"\n answer of {len(prompt)} characters ")
+
+    found = explain_anomalies(
+        labelled, n=12, corpus=encoded, encoder=encoder, generator=(lambda: None, write), detailed=False
     )
+    explained = labelled.join(found.select(F.col("query_id").alias("flow_id"), "rag_output"), "flow_id")
+    predictions = explained.select(F.col("flow_id").alias("row_id"), "prediction", "label", "rag_output")
+    updated = keys.apply_predictions(_stored(labelled), predictions)
+    return rounded(updated.select("row_id", "sbytes", "prediction", "label", "rag_output"))
+
+
+@query
+def explain_anomaly(spark, sf):
+    labelled = _explainable(spark, sf)
     return explain_anomalies(labelled, space="scaled").select(
         "query_id", "label", "documents", "neighbours", "suggested", "votes", "leading", "prompt", "rag_output"
     )
@@ -660,7 +752,7 @@ def _packet_stream(spark, sf):
 
 def _collect(spark, stream):
     out = work_path(spark, "stream-out")
-    append_stream(stream, out, work_path(spark, "stream-checkpoint")).awaitTermination()
+    append_stream(stream, out, work_path(spark, "stream-checkpoint"), conf=SESSION_SETTINGS).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -682,7 +774,7 @@ def stream_flow_features(spark, sf):
     return rounded(with_features(totals.where(F.col("src") != CLOSING_SRC), FLOW_COLUMNS))
 
 
-def _record_stream(spark, sf):
+def _flow_stream(spark, sf):
     """Feature records with their flow id and start, staged in time order, plus a scaler."""
     features = materialise(flow_features(event_packets(spark, sf)))
     path = work_path(spark, "records")
@@ -694,21 +786,36 @@ def _record_stream(spark, sf):
 
 
 def _scored_stream(spark, sf):
-    lines, scaler = _record_stream(spark, sf)
+    """Records of every kind, bad ones too, scored as they arrive: the paths of results and dead letters."""
+    screened = _screened(spark, sf)
+    scaler = fit_scaler(validate_and_fill(screened), FEATURES)
+    path = work_path(spark, "lines")
+    lines = lines_from_events(table(spark, sf, "events"))
+    stage_in_time_order(lines, path, "row_id")
+    stream = spark.readStream.schema("row_id long, line string").option("maxFilesPerTrigger", 16).parquet(path)
     results, dead = work_path(spark, "scored"), work_path(spark, "dead")
-    score_stream(lines, record_scorer(scaler), results, dead, work_path(spark, "checkpoint")).awaitTermination()
+    score_stream(stream, record_scorer(scaler), results, dead, work_path(spark, "checkpoint")).awaitTermination()
     return results, dead
 
 
 @query
 def stream_scoring(spark, sf):
     results, _ = _scored_stream(spark, sf)
-    return rounded(spark.read.parquet(results).select("flow_id", "prediction", "label"))
+    scored = spark.read.parquet(results)
+    stored = result_rows(scored).select("row_id", F.col("sbytes").alias("stored_sbytes"))
+    shown = scored.select("row_id", "prediction", "label", "score_status", query_string().alias("text"))
+    return rounded(shown.join(stored, "row_id"))
+
+
+@query
+def stream_dead_letter(spark, sf):
+    _, dead = _scored_stream(spark, sf)
+    return spark.read.parquet(dead).select("row_id", "reason")
 
 
 def _labelled_stream(spark, sf):
     """Score records inside the stream, keeping its order columns."""
-    lines, scaler = _record_stream(spark, sf)
+    lines, scaler = _flow_stream(spark, sf)
     return record_scorer(scaler)(screen_records(lines)).select("flow_id", "first_us", "prediction", "label")
 
 

@@ -316,6 +316,14 @@ ORACLES |= {
             for i, c in enumerate(NUMBERS)
         ),
     ),
+    "scaler_fit_nonfinite": with_ctes(
+        ["""v AS (SELECT l_quantity, CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS ratio FROM lineitem)"""],
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, CAST({i} AS INTEGER) AS position, (round(avg({c}) + 1e-9, 6) + 0.0) AS mean,
+  (round(stddev_pop({c}) + 1e-9, 6) + 0.0) AS scale, count(*) - count({c}) AS left_out FROM v"""
+            for i, c in enumerate(["l_quantity", "ratio"])
+        ),
+    ),
     "scaler_apply": with_ctes(
         LINE_STATS,
         "SELECT l_orderkey, l_linenumber, "
@@ -351,9 +359,6 @@ ORACLES |= {
     "stream_first_n": FIRST,
     "label_counts": COUNTS,
     "stream_label_counts": COUNTS,
-    "stream_scoring": with_ctes(
-        SCORED, "SELECT flow_id, (round(prediction + 1e-9, 6) + 0.0) AS prediction, label FROM labelled"
-    ),
     "result_append": with_ctes(
         OBSERVED,
         f"""SELECT flow_id AS row_id, {rounded_features()}, CAST(NULL AS DOUBLE) AS prediction,
@@ -412,14 +417,35 @@ CORPUS = [
     CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END AS output
   FROM documents LEFT JOIN labels USING (doc_id))"""
 ]
+# Words to buckets, weights and unit vectors; lists keep the order of sums fixed.
+DIM = 256
+
+
+def encoded_ctes(name: str, source: str, key: str) -> list[str]:
+    """``name``: (key, i, x) for the texts of ``source`` (key, input), weighted by ``idf``."""
+    return [
+        f"""{name}_words AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower(input), '[^\\p{{L}}\\p{{N}}]+'),
+    lambda w: w <> '')) AS w FROM {source})""",
+        f"""{name}_counts AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM} AS i, count(*) AS n
+  FROM {name}_words GROUP BY ALL)""",
+    ]
+
+
+ENCODED = CORPUS + encoded_ctes("doc", "corpus", "doc_pos") + [
+    f"""idf AS (SELECT i, ln(((SELECT count(*) FROM corpus) + 1) / (count(doc_pos) + 1)) AS v
+  FROM range({DIM}) r(i) LEFT JOIN doc_counts USING (i) GROUP BY i)""",
+    "weights AS (SELECT doc_pos, i, n * v AS w FROM doc_counts JOIN idf USING (i))",
+    "sizes AS (SELECT doc_pos, sqrt(list_sum(list(w * w ORDER BY i))) AS len FROM weights GROUP BY doc_pos)",
+    "vectors AS (SELECT doc_pos, i, w / len AS x FROM weights JOIN sizes USING (doc_pos) WHERE len > 0)",
+]
 HITS = [
     """coords AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
   FROM embeddings)""",
     "means AS (SELECT label, i, avg(x) AS x FROM coords GROUP BY label, i)",
     "lengths AS (SELECT label, sqrt(sum(x * x)) AS len FROM means GROUP BY label)",
-    """scores AS (SELECT m.label::BIGINT AS query_id, c.vec_id AS doc_pos, round(sum(m.x / l.len * c.x), 6) AS score
+    """scores AS (SELECT m.label::BIGINT AS query_id, c.vec_id AS doc_pos, sum(m.x / l.len * c.x) AS score
   FROM means m JOIN lengths l USING (label) JOIN coords c ON c.i = m.i GROUP BY ALL)""",
-    """hits AS (SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_pos, score FROM scores
+    """hits AS (SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_pos, (round(score + 1e-9, 6) + 0.0) AS score FROM scores
   WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_pos) QUALIFY row_number() OVER w <= 5)""",
 ]
 FOUND = HITS + CORPUS + [
@@ -461,11 +487,20 @@ SELECT doc_pos, CAST(i AS INTEGER) AS i, CASE WHEN len > 0 THEN (round(x / len +
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, output) = 1""",
     ),
     "corpus_roundtrip": with_ctes(CORPUS, "SELECT doc_pos, input, output FROM corpus"),
-    "corpus_index": with_ctes(
-        CORPUS,
-        """SELECT doc_pos, CAST(len(embedding) AS INTEGER) AS dim, input, output
-FROM corpus JOIN embeddings ON vec_id = doc_pos""",
+    "corpus_index": with_ctes(CORPUS, f"SELECT doc_pos, CAST({DIM} AS INTEGER) AS dim, input, output FROM corpus"),
+    "corpus_vectors": with_ctes(
+        ENCODED, "SELECT doc_pos, CAST(i AS INTEGER) AS i, (round(x + 1e-9, 6) + 0.0) AS x FROM vectors WHERE x <> 0"
     ),
+    "corpus_lines_placed": with_ctes(
+        CORPUS,
+        """SELECT CASE doc_pos % 7 WHEN 3 THEN 'malformed' WHEN 5 THEN 'no_input' ELSE 'placed' END AS reason,
+  count(*) AS rows FROM corpus WHERE input IS NOT NULL GROUP BY 1""",
+    ),
+    "search_all_vectors": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_pos,
+    list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_pos, (round(score + 1e-9, 6) + 0.0) AS score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_pos) QUALIFY row_number() OVER w <= 5""",
     "query_string": with_ctes(OBSERVED, f"SELECT flow_id, {FLOW_TEXT} AS text FROM features"),
     "prompt_text": with_ctes(
         FOUND + [f"ctx AS (SELECT query_id, CAST(count(*) AS INTEGER) AS documents, {EXAMPLES} AS context FROM found GROUP BY query_id)"],
@@ -485,9 +520,9 @@ LENGTH = "sqrt(" + " + ".join(f"z{j} * z{j}" for j in range(N)) + ")"
 EXPLAIN = SCORED + [
     f"vectors AS (SELECT *, {FLOW_TEXT} AS input, {LENGTH} AS len FROM labelled)",
     "asked AS (SELECT * FROM vectors WHERE label <> 'normal' ORDER BY first_us, flow_id LIMIT 3)",
-    "pairs AS (SELECT a.flow_id AS query_id, v.flow_id AS doc_pos, v.input, v.label AS output, round(("
-    + " + ".join(f"a.z{j} * v.z{j}" for j in range(N))
-    + ") / (a.len * v.len), 6) AS score FROM asked a JOIN vectors v ON a.flow_id <> v.flow_id)",
+    "pairs AS (SELECT a.flow_id AS query_id, v.flow_id AS doc_pos, v.input, v.label AS output, ("
+    + " + ".join(f"(a.z{j} / a.len) * (v.z{j} / v.len)" for j in range(N))
+    + ") AS score FROM asked a JOIN vectors v ON a.flow_id <> v.flow_id)",
     """found AS (SELECT *, row_number() OVER w AS rank FROM pairs
   WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_pos) QUALIFY row_number() OVER w <= 5)""",
     f"""ctx AS (SELECT query_id, CAST(count(*) AS INTEGER) AS documents, {EXAMPLES} AS context,
@@ -514,3 +549,113 @@ ORACLES["explain_anomaly"] = with_ctes(
 FROM asked a JOIN ctx ON ctx.query_id = a.flow_id JOIN votes ON votes.query_id = a.flow_id
 JOIN leads ON leads.query_id = a.flow_id""",
 )
+
+# --- the whole path, from anomaly to stored explanation ----------------------------
+
+PATH = SCORED + ENCODED + [
+    f"asked AS (SELECT *, flow_id AS query_id, {FLOW_TEXT} AS input FROM labelled WHERE label <> 'normal' ORDER BY first_us, flow_id LIMIT 12)",
+    *encoded_ctes("ask", "asked", "query_id"),
+    "ask_weights AS (SELECT query_id, i, n * v AS w FROM ask_counts JOIN idf USING (i))",
+    "ask_sizes AS (SELECT query_id, sqrt(list_sum(list(w * w ORDER BY i))) AS len FROM ask_weights GROUP BY query_id)",
+    "ask_vectors AS (SELECT query_id, i, w / len AS x FROM ask_weights JOIN ask_sizes USING (query_id))",
+    f"grid AS (SELECT query_id, doc_pos, i FROM asked, corpus, range({DIM}) r(i))",
+    """pairs AS (SELECT query_id, doc_pos, list_sum(list(coalesce(a.x, 0) * coalesce(d.x, 0) ORDER BY i)) AS score
+  FROM grid LEFT JOIN ask_vectors a USING (query_id, i) LEFT JOIN vectors d USING (doc_pos, i) GROUP BY ALL)""",
+    """found AS (SELECT query_id, doc_pos, input, coalesce(output, '') AS output, row_number() OVER w AS rank
+  FROM pairs JOIN corpus USING (doc_pos)
+  WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_pos) QUALIFY row_number() OVER w <= 5)""",
+    f"ctx AS (SELECT query_id, {EXAMPLES} AS context FROM found GROUP BY query_id)",
+    "prompted AS (SELECT query_id, "
+    + prompt_sql(CONCISE_PROMPT, "context", "input")
+    + " AS prompt FROM asked JOIN ctx USING (query_id))",
+    """said AS (SELECT query_id, CASE length(prompt) % 4 WHEN 0 THEN '[RAG ERROR]' WHEN 1 THEN '[RAG] Model returned empty output'
+    ELSE 'answer of ' || length(prompt) || ' characters' END AS rag_output FROM prompted)""",
+]
+ORACLES["explained_results"] = with_ctes(
+    PATH,
+    """SELECT l.flow_id AS row_id, l.sbytes, CASE WHEN query_id IS NOT NULL THEN (round(l.prediction + 1e-9, 6) + 0.0) END AS prediction,
+  CASE WHEN query_id IS NOT NULL THEN l.label END AS label, rag_output
+FROM labelled l LEFT JOIN said ON query_id = l.flow_id""",
+)
+
+# --- a multinomial model, in closed form -------------------------------------------
+
+MASSES = [f"sum({q(f)}::DOUBLE) AS t{j}" for j, f in enumerate(FEATURES)]
+ORACLES["class_probabilities_mllib"] = with_ctes(
+    SCORED
+    + [
+        "per_class AS (SELECT class_label, count(*) AS n, " + ", ".join(MASSES) + " FROM labelled GROUP BY class_label)",
+        "totals AS (SELECT *, row_number() OVER (ORDER BY class_label) - 1 AS c, sum(n) OVER () AS rows, count(*) OVER () AS classes, "
+        + " + ".join(f"t{j}" for j in range(N))
+        + " AS mass FROM per_class)",
+        "raw AS (SELECT flow_id, c, ln(n + 1) - ln(rows + classes) + "
+        + " + ".join(f"{q(f)} * (ln(t{j} + 1) - ln(mass + {N}))" for j, f in enumerate(FEATURES))
+        + " AS s FROM labelled, totals)",
+        "shifted AS (SELECT *, exp(s - max(s) OVER (PARTITION BY flow_id)) AS e FROM raw)",
+    ],
+    """SELECT flow_id, CAST(c AS INTEGER) AS class, (round(e / sum(e) OVER (PARTITION BY flow_id) + 1e-9, 6) + 0.0) AS prob
+FROM shifted""",
+)
+
+# --- records with NaN and infinity --------------------------------------------------
+
+
+def _value(j: int) -> str:
+    """A record's value; null where it is not finite."""
+    return f"({_filled(j)})"
+
+
+ACCEPTED = RECORDS + [
+    "f AS (SELECT row_id, kind, " + ", ".join(f"{_value(j)} AS f{j}" for j in range(N)) + " FROM r WHERE reason IS NULL)",
+    "st AS (SELECT " + ", ".join(f"avg(f{j}) AS m{j}, stddev_pop(f{j}) AS s{j}" for j in range(N)) + " FROM f)",
+    "z AS (SELECT f.*, " + ", ".join(f"(f{j} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS z{j}" for j in range(N)) + " FROM f, st)",
+]
+
+
+def decided_ctes(source: str, names: list[str]) -> list[str]:
+    """Margins, probabilities and decision over the feature columns ``names`` of ``source``."""
+    classes = range(len(LABELS))
+    return [
+        "g AS (SELECT *, "
+        + ", ".join(
+            " + ".join(f"({((c * 7 + j * 3) % 11 - 5) / 10}) * {x}" for j, x in enumerate(names)) + f" + {(c % 4) / 10} AS g{c}"
+            for c in classes
+        )
+        + f" FROM {source})",
+        "tg AS (SELECT *, greatest(" + ", ".join(f"g{c}" for c in classes) + ") AS top FROM g)",
+        "ex AS (SELECT *, " + ", ".join(f"exp(g{c} - top) AS e{c}" for c in classes) + " FROM tg)",
+        "pr AS (SELECT *, " + ", ".join(f"e{c} / (" + " + ".join(f"e{i}" for i in classes) + f") AS p{c}" for c in classes) + " FROM ex)",
+        "be AS (SELECT *, greatest(" + ", ".join(f"p{c}" for c in classes) + ") AS p_max FROM pr)",
+        "dec AS (SELECT *, CASE WHEN p7 >= 0.15 THEN p7 ELSE p_max END AS prediction, CASE WHEN p7 >= 0.15 THEN 'normal' "
+        + " ".join(f"WHEN p{c} = p_max THEN '{name}'" for c, name in enumerate(LABELS))
+        + " END AS label FROM be)",
+    ]
+
+
+ODD_TEXT = {0: "nan", 1: "inf"}
+RECORD_TEXT = " || ' | ' || ".join(
+    f"'{f}: ' || "
+    + (f"CASE WHEN kind = 7 THEN '{ODD_TEXT[j]}' ELSE " if j in ODD_TEXT else "")
+    + (f"f{j}::BIGINT::VARCHAR" if f in INTEGER_FEATURES else f"round(f{j}, 6)::DECIMAL(38,6)::VARCHAR")
+    + (" END" if j in ODD_TEXT else "")
+    for j, f in enumerate(FEATURES)
+)
+ORACLES["nonfinite_records"] = with_ctes(
+    ACCEPTED + decided_ctes("z", [f"z{j}" for j in range(N)]),
+    f"""SELECT row_id, CASE WHEN kind = 7 THEN 0.0 ELSE (round(prediction + 1e-9, 6) + 0.0) END AS prediction,
+  CASE WHEN kind = 7 THEN 'analysis' ELSE label END AS label, CASE WHEN kind = 7 THEN 'error' ELSE 'ok' END AS score_status,
+  {RECORD_TEXT} AS text, f1::BIGINT AS stored_sbytes FROM dec""",
+)
+ORACLES["stream_scoring"] = ORACLES["nonfinite_records"]
+ORACLES["stream_dead_letter"] = ORACLES["record_dead_letter"]
+ORACLES["distinct_sources_window"] = with_ctes(
+    PACKETS + ["p AS (SELECT * FROM packets WHERE ip_version = 4)"],
+    f"""SELECT a.pkt_id, a.dst, count(DISTINCT b.src) AS sources FROM p a JOIN p b
+  ON a.dst = b.dst AND b.ts_us > a.ts_us - {GAP} AND b.ts_us <= a.ts_us GROUP BY a.pkt_id, a.dst""",
+)
+ORACLES["unscaled_scores"] = with_ctes(
+    OBSERVED
+    + ["u AS (SELECT flow_id, " + ", ".join(f"{q(f)} / 1e6 AS u{j}" for j, f in enumerate(FEATURES)) + " FROM features)"]
+    + decided_ctes("u", [f"u{j}" for j in range(N)]),
+    "SELECT flow_id, (round(prediction + 1e-9, 6) + 0.0) AS prediction, label, 'unscaled' AS score_status FROM dec",
+)

@@ -31,10 +31,15 @@ def with_scaled(features: DataFrame, scaler: Scaler) -> DataFrame:
 
 def label_rows(
     features: DataFrame,
-    scaler: Scaler,
+    scaler: Scaler | None,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Scale, score and decide; nothing here shuffles."""
+    """Scale, score and decide; nothing here shuffles.
+
+    Without a scaler the features are scored as they are, and ``score_status`` is ``unscaled``.
+    """
+    if scaler is None:
+        return decide((scorer or demo_scorer(""))(features.withColumn("score_status", F.lit("unscaled"))))
     return decide((scorer or demo_scorer())(with_scaled(features, scaler)))
 
 
@@ -47,7 +52,7 @@ def fit_and_label(features: DataFrame) -> DataFrame:
     return label_rows(stored, fit_scaler(stored, FEATURES))
 
 
-def record_scorer(scaler: Scaler) -> Callable[[DataFrame], DataFrame]:
+def record_scorer(scaler: Scaler | None) -> Callable[[DataFrame], DataFrame]:
     """Screened JSON records -> labelled feature rows, for tables and micro-batches alike."""
 
     def score(screened: DataFrame) -> DataFrame:

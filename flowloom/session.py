@@ -48,17 +48,21 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once so that several jobs can read it.
+    """Write an intermediate result once, as Parquet, so that several jobs can read it.
 
-    A reliable checkpoint survives the loss of any executor.
+    A shared file survives the loss of any executor, and reading it back prunes columns.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = work_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """Store ``df`` and mark it for broadcast only when it has at most ``most_rows`` rows."""
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Store ``df`` and mark it for broadcast only when its plan statistics stay below ``most_bytes``."""
     stored = materialise(df)
-    return F.broadcast(stored) if stored.count() <= most_rows else stored
+    return F.broadcast(stored) if plan_bytes(stored) <= most_bytes else stored
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -44,7 +44,7 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         "CAST(20000 + user_id AS INT) AS user_port",
         "if(user_id % 2 = 0, 80, 443) AS web_port",
         "CAST(floor(value) AS BIGINT) AS size",
-        "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+        "try_cast(get_json_object(props, '$.k') AS BIGINT) AS k",
         "CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 24 WHEN 'purchase' THEN 17 "
         "WHEN 'signup' THEN 18 ELSE 16 END AS flags",
     ).selectExpr(

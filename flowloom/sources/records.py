@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.once import computed_once
+from flowloom.operators.keys import number_rows
 from flowloom.schemas import FEATURES, quoted
 
 
@@ -32,14 +33,39 @@ def write_feature_lines(features: DataFrame, path: str) -> None:
     features.select(feature_line().alias("value")).write.mode("overwrite").text(path)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with ``doc_pos``, ``input`` and optional ``output``; blank lines are skipped.
+def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every non-blank corpus line: ``line``, ``doc_pos``, ``input``, ``output`` and ``reason``.
 
-    A file has no line numbers that survive splitting, so the position is a field.
+    ``reason`` is null for a document and says otherwise why the line is none.  A line without
+    ``doc_pos`` takes its place among all lines, in the order of files and of lines in them.
     """
-    doc = F.from_json("line", "doc_pos long, input string, output string").alias("doc")
-    lines = read_lines(spark, path).where(F.col("line").rlike(r"\S"))
-    return lines.select(doc).select("doc.*")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order"),  # rises within a block of a file
+    )
+    doc = F.from_json("line", "doc_pos long, input string, output string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.where(F.col("line").rlike(r"\S")).withColumn("doc", doc)
+    reason = F.when(F.col("doc").isNull() | F.col("doc._bad").isNotNull(), "malformed").when(
+        F.col("doc.input").isNull(), "no_input"
+    )
+    parsed = parsed.select("line", "_file", "_start", "_order", "doc.doc_pos", "doc.input", "doc.output", reason.alias("reason"))
+    columns = ["line", "doc_pos", "input", "output", "reason"]
+    if parsed.where("reason IS NULL AND doc_pos IS NULL").isEmpty():
+        return parsed.select(*columns)
+    placed = number_rows(parsed, ["_file", "_start", "_order"], "_place", start=0)
+    return placed.withColumn("doc_pos", F.coalesce("doc_pos", "_place")).select(*columns)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a JSON lines corpus; ``bad_corpus_lines`` has the other lines."""
+    return corpus_lines(spark, path).where("reason IS NULL").select("doc_pos", "input", "output")
+
+
+def bad_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that hold no document, with the reason; with the documents they make up the file."""
+    return corpus_lines(spark, path).where("reason IS NOT NULL").select("line", "reason")
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.schemas import FEATURES, RESULT_CSV_SCHEMA, RESULT_SCHEMA, quoted
+from flowloom.session import materialise
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Is there a Parquet table at ``path``? (SNK6)"""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 
@@ -32,12 +36,19 @@ def save_table(df: DataFrame, path: str) -> str:
 
 
 def stored_rows(features: DataFrame) -> DataFrame:
-    """Feature rows with empty prediction columns, in the result schema (SNK2)."""
-    types = {f.name: f.dataType for f in RESULT_SCHEMA}
-    return features.select(
-        F.col("row_id").cast("long"),
-        *[F.col(quoted(name)).cast(types[name]).alias(name) for name in FEATURES],
-        *[F.lit(None).cast(types[n]).alias(n) for n in ("prediction", "label", "rag_output")],
+    """Feature rows with empty prediction columns, in the result schema (SNK2).
+
+    A value that an integer feature cannot hold (not finite, or out of range) is stored as null.
+    """
+    empty = [F.lit(None).alias(n) for n in ("prediction", "label", "rag_output")]
+    return result_rows(features.drop("prediction", "label", "rag_output").select("*", *empty))
+
+
+def result_rows(labelled: DataFrame) -> DataFrame:
+    """Labelled rows in the result schema, for tables and streams alike; see ``stored_rows``."""
+    columns = labelled if "rag_output" in labelled.columns else labelled.withColumn("rag_output", F.lit(None))
+    return columns.select(
+        *[F.col(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA]
     )
 
 
@@ -59,7 +70,9 @@ def append_scaled(scaled: DataFrame, path: str) -> None:
 
 def write_anomalies(labelled: DataFrame, path: str) -> None:
     """Anomalies in their own table, one folder per label (SNK5)."""
-    labelled.where(F.col("label") != "normal").write.mode("overwrite").partitionBy("label").parquet(path)
+    found = labelled.where(F.col("label") != "normal")
+    # Rows of a label are brought together by size, so that a task does not write a file per label.
+    found.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(path)
 
 
 def write_results_csv(results: DataFrame, path: str) -> None:
@@ -70,12 +83,26 @@ def write_results_csv(results: DataFrame, path: str) -> None:
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read result CSV by position, so older header names and short headers are fine (SRC4)."""
-    return (
-        spark.read.schema(RESULT_CSV_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    """Read result CSV by position, so older header names and short headers are fine (SRC4).
+
+    Rows that do not parse are left out; ``bad_results_csv`` has them.
+    """
+    rows = _csv_rows(spark, path)
+    return rows.where(F.col(_BAD).isNull()).drop(_BAD)
+
+
+def bad_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a result CSV that do not parse, column ``record``; with the others all of them."""
+    rows = _csv_rows(spark, path)
+    return rows.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("record"))
+
+
+_BAD = "_bad_record"
+
+
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All records, stored: the reader knows one as bad only once it has parsed every column."""
+    schema = T.StructType([*RESULT_CSV_SCHEMA.fields, T.StructField(_BAD, T.StringType())])
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+    reader = reader.option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", _BAD)
+    return materialise(reader.csv(path))

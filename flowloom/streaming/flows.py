@@ -21,10 +21,14 @@ from flowloom.operators.flows import (
 )
 from flowloom.schemas import DEFAULT_GAP_US, FLOW_KEY
 from flowloom.session import materialise
-from flowloom.streaming.scoring import AVAILABLE_NOW, Trigger, write_batch
+from flowloom.streaming.scoring import AVAILABLE_NOW, Trigger, settings, write_batch
 
-# Merges the sessions of a busy key in each task before they are shuffled.
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+# Settings to start session streams with: merge a busy key's sessions in each task before the
+# shuffle, and keep state on disk rather than in memory.
+SESSION_SETTINGS = {
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 _PACKET = [
     "pkt_id",
@@ -40,8 +44,10 @@ _PACKET = [
 
 
 def stream_sessions(packets: DataFrame, gap_us: int = DEFAULT_GAP_US, delay: str = "10 seconds") -> DataFrame:
-    """Flow bounds and sizes, emitted once the watermark passes the flow's end."""
-    packets.sparkSession.conf.set(LOCAL_MERGE, "true")
+    """Flow bounds and sizes, emitted once the watermark passes the flow's end.
+
+    Start the query under ``settings(spark, SESSION_SETTINGS)``.
+    """
     return (
         with_flow_key(ipv4_only(packets))
         .withWatermark("ts", delay)
@@ -108,10 +114,11 @@ def flows_stream(
         still_open = flows.where(~closed).withColumn("slice_us", F.lit(None).cast("long"))
         still_open.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
 
-    return (
-        complete_slices(packets, slice_us, delay)
-        .writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+    with settings(packets.sparkSession, SESSION_SETTINGS):
+        return (
+            complete_slices(packets, slice_us, delay)
+            .writeStream.foreachBatch(step)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators.records import dead_letters, screen_records
 from flowloom.operators.scoring import anomalies
 from flowloom.schemas import FIRST_ANOMALIES
-from flowloom.sources.results import table_exists
+from flowloom.sources.results import load_table
 
 Trigger = dict[str, object]
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold while a query starts, which keeps its own copy of them."""
+    before = {name: spark.conf.get(name, None) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 AVAILABLE_NOW: Trigger = {"availableNow": True}
 
 
@@ -39,9 +55,13 @@ def score_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        screened = screen_records(batch)
-        write_batch(score(screened), results, batch_id)
-        write_batch(dead_letters(screened), dead, batch_id)
+        # Both outputs read the screened batch; it is parsed once.
+        screened = screen_records(batch).persist()
+        try:
+            write_batch(score(screened), results, batch_id)
+            write_batch(dead_letters(screened), dead, batch_id)
+        finally:
+            screened.unpersist()
 
     return (
         lines.writeStream.foreachBatch(handle)
@@ -62,16 +82,24 @@ def first_anomalies_stream(
 ) -> StreamingQuery:
     """Pass on only the first ``n`` anomalies of the whole stream.
 
-    The rows already passed on are the state.  A replayed batch counts only earlier
-    batches, and replaces its own folder, so it yields the same rows again.
+    The state is one row, how many have passed, in two folders that batches take in turn: a
+    replayed batch reads what the batch before it left, and replaces its own folders, so it
+    yields the same rows again.
     """
+    state = f"{path.rstrip('/')}-passed"
 
     def gate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         used = 0
-        if batch_id > 0 and table_exists(spark, path):
-            used = spark.read.parquet(path).where(F.col("batch_id") < batch_id).count()
-        write_batch(handle(anomalies(batch).orderBy(*order).limit(max(0, n - used))), path, batch_id)
+        if batch_id > 0:
+            used = load_table(spark, f"{state}/slot={(batch_id - 1) % 2}").first()["passed"]
+        found = anomalies(batch).orderBy(*order).limit(max(0, n - used)).persist()  # at most n rows
+        try:
+            passed = used + found.count()
+            write_batch(handle(found), path, batch_id)
+        finally:
+            found.unpersist()
+        spark.range(1).select(F.lit(passed).alias("passed")).write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
 
     return (
         labelled.writeStream.foreachBatch(gate)
@@ -87,7 +115,7 @@ def label_counts_stream(
     """Rows per label so far, replaced after every micro-batch."""
 
     def store(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)  # one row per label
+        batch.repartition(1).write.mode("overwrite").parquet(path)  # one row per label
 
     return (
         labelled.groupBy("label")
@@ -100,12 +128,15 @@ def label_counts_stream(
     )
 
 
-def append_stream(df: DataFrame, path: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW) -> StreamingQuery:
-    """Append a stream to a Parquet table."""
-    return (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
+def append_stream(
+    df: DataFrame, path: str, checkpoint: str, trigger: Trigger = AVAILABLE_NOW, conf: dict[str, str] | None = None
+) -> StreamingQuery:
+    """Append a stream to a Parquet table, started under the settings ``conf``."""
+    with settings(df.sparkSession, conf or {}):
+        return (
+            df.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from flowloom.schemas import FEATURES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"class_probabilities_mllib", "corpus_vectors"}
+ROWS_ONLY: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
