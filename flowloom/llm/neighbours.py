@@ -6,8 +6,8 @@ other where one of the two is new to the list; nodes keep the best.  Turns end w
 change.  A query walks the graph: it expands the best nodes of its pool that it has not
 expanded yet, until the best ``EXPAND`` are all expanded.
 
-Graph and walk use half-precision copies of the vectors; what is returned is scored anew in
-double precision on the original vectors.
+Graph and walk use copies of the vectors with a scale and a byte per component; what is
+returned is scored anew in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -22,23 +22,31 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import stored
 from flowloom.llm.vector_dedup import usable
 
-DEGREE = 48  # neighbours kept by a node
-REVERSE = 32  # nodes of which it is a neighbour that join in a turn, chosen by hash
+DEGREE = 40  # neighbours kept by a node
+REVERSE = 24  # nodes of which it is a neighbour that join in a turn, chosen by hash
 EMIT = 6  # best partners that a node gets from one joined list
 CELL = 1_024  # vectors compared with each other in one group of the first graph
 CELLS_PER_VECTOR = 6
 MOST_CELLS = 16_384
 TURNS = 12
-SETTLED = 0.002  # share of list entries that a turn must change to be followed by another
+SETTLED = 0.05  # share of list entries that a turn must change to be followed by another
 EXPAND = 32
 POOL = 64
 
 _GRAPH = "id long, vec binary, near array<long>, score array<float>, fresh array<boolean>"
 
 
-def _halves(column: pa.Array) -> np.ndarray:
-    raw = b"".join(x.as_buffer() for x in column)
-    return np.frombuffer(raw, "<f2").reshape(len(column), -1).astype(np.float32)
+def _packed(vectors: np.ndarray, top: float) -> pa.Array:
+    """Vectors, divided by ``top``, as a four-byte scale and a signed byte per component each."""
+    most = np.abs(vectors).max(1, keepdims=True)
+    steps = np.rint(vectors / most * 127).astype(np.int8)
+    scale = (most / top / 127).astype("<f4")
+    return pa.array([a.tobytes() + b.tobytes() for a, b in zip(scale, steps, strict=True)], pa.binary())
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in column), np.int8).reshape(len(column), -1)
+    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -58,7 +66,7 @@ def _best(score: np.ndarray, most: int) -> np.ndarray:
 def _cell_pairs(table: pa.Table) -> pa.Table:
     """The best partners of every vector of one block of a cell."""
     ids = table.column("id").to_numpy()
-    x = _halves(table.column("vec").combine_chunks())
+    x = _vectors(table.column("vec").combine_chunks())
     out: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(ids), 1_024):
         score = x[at : at + 1_024] @ x.T
@@ -82,7 +90,7 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ids = flat.field("member").to_numpy(zero_copy_only=False)
         all_fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
         all_worst = flat.field("worst").to_numpy(zero_copy_only=False)
-        vectors = _halves(flat.field("vec"))
+        vectors = _vectors(flat.field("vec"))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a < 2:
                 continue
@@ -133,13 +141,13 @@ def _first_graph(nodes: DataFrame, count: int) -> DataFrame:
     each = min(CELLS_PER_VECTOR, cells)
     blocks = max(1, -(-count * each // (cells * CELL)))
     sample = nodes.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(cells).select("vec").toArrow()
-    pivots = _halves(sample.column("vec").combine_chunks())
+    pivots = _vectors(sample.column("vec").combine_chunks())
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                cell = _best(_halves(part.column(1)) @ pivots.T, each).astype(np.int32)
+                cell = _best(_vectors(part.column(1)) @ pivots.T, each).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(list(cell), pa.int32())], names=["id", "vec", "cell"])
 
     dealt = nodes.mapInArrow(placed, "id long, vec binary, cell array<int>")
@@ -183,7 +191,7 @@ def neighbour_graph(nodes: DataFrame, count: int) -> DataFrame:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Score the nodes that a query met, merge them into its pool, and name the next to expand."""
     for batch in batches:
-        query = _halves(batch.column("vec"))
+        query = _vectors(batch.column("vec"))
         pool, value, nexts, past = [], [], [], []
         for i in range(batch.num_rows):
             ids, score = batch.column("pool")[i].values.to_numpy(), batch.column("value")[i].values.to_numpy()
@@ -192,7 +200,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if met is not None and len(met):
                 found = met.field("cand").to_numpy()
                 ids = np.concatenate([ids, found])
-                score = np.concatenate([score, _halves(met.field("vec")) @ query[i]]).astype(np.float32)
+                score = np.concatenate([score, _vectors(met.field("vec")) @ query[i]]).astype(np.float32)
                 _, first = np.unique(ids, return_index=True)
                 first = first[np.lexsort((ids[first], -score[first]))][:POOL]
                 ids, score = ids[first], score[first]
@@ -250,13 +258,12 @@ def nearest_neighbours(
     rows = stored(rows, "ann-vectors")
     top = float(most["top"])
 
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            raw = (x / top).astype("<f2")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(x, top)], names=["id", "vec"])
 
-    nodes = stored(rows.mapInArrow(halved, "id long, vec binary"), "ann-nodes")
+    nodes = stored(rows.mapInArrow(packed, "id long, vec binary"), "ann-nodes")
     graph = neighbour_graph(nodes, most["count"])
     asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", F.col("near").alias("pool"), F.col("score").alias("value"))
     found = greedy_search(graph, asked).select("query", F.explode("pool").alias("id"))
