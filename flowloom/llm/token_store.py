@@ -34,7 +34,7 @@ RANK_STEP = 512
 TEXT_BYTES = 16 << 20  # of text per file, about
 FILE_TOKENS = 6_000_000  # a task begins a new file beyond this
 
-_HEAD = struct.Struct("<4sIIQQ")
+_HEAD = "<4sIIQQ"
 _MANIFEST = "part int, number int, path string, n_docs long, n_tokens long"
 
 
@@ -57,7 +57,7 @@ def _unpack(raw: np.ndarray, bits: int, count: int) -> np.ndarray:
 
 def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, chunk_bits: tuple[int, ...] = CHUNK_BITS) -> bytes:
     """One file: documents with their first token (and the total at the end), and all ids."""
-    out = [_HEAD.pack(b"DACS", 1, len(chunk_bits), len(doc_ids), len(ids))]
+    out = [struct.pack(_HEAD, b"DACS", 1, len(chunk_bits), len(doc_ids), len(ids))]
     out += [np.asarray(doc_ids, "<i8").tobytes(), np.asarray(starts, "<u8").tobytes()]
     left = np.asarray(ids, np.uint32)
     for level, bits in enumerate(chunk_bits):
@@ -79,10 +79,10 @@ class TokenFile:
 
     def __init__(self, raw):
         self.raw = np.frombuffer(raw, np.uint8)
-        magic, version, levels, docs, self.n_tokens = _HEAD.unpack_from(raw, 0)
+        magic, version, levels, docs, self.n_tokens = struct.unpack_from(_HEAD, raw, 0)
         if magic != b"DACS" or version != 1:
             raise ValueError("not a token file")
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
         self.doc_ids = np.frombuffer(raw, "<i8", docs, at)
         at += 8 * docs
         self.starts = np.frombuffer(raw, "<u8", docs + 1, at).astype(np.int64)
