@@ -60,7 +60,7 @@ def test_equals_plain_version(spark, monkeypatch, tmp_path):
         want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert got == want
-    assert len(list((tmp_path / "tokens").glob("*.dac"))) > 4
+    assert len(list((tmp_path / "tokens").glob("*.dac"))) >= 4
     assert not list((tmp_path / "tokens").glob(".*"))
 
 
