@@ -40,7 +40,7 @@ SALT_ROWS = 512  # members compared with one pivot in one group
 
 _HALF = np.uint64(1 << 63)
 _DEALT = "bucket int, docs binary, counts binary, low binary, high binary, meta binary"
-_BACK = "uid long, n int, n_half int, shipped int, f1 long, f2 long, bucket int, shared binary"
+_BACK = "home int, bucket int, docs binary, counts binary, shared binary, meta binary"
 
 
 def _allowed(n, percent: int):
@@ -68,7 +68,7 @@ def _deal(block, uids, groups: int, common: np.ndarray, shingle: int, percent: i
     low = (code & np.uint64(0xFFFFFFFF)).astype("<u4")
     high = ((code >> np.uint64(32)) & np.uint64(0x7F)).astype("<u1") | (outside[order].astype("<u1") << 7)
     cut = np.searchsorted(value, np.arange(groups + 1))
-    home = (mixed(uids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    home = _home(uids, groups)
     meta = np.stack([uids, n, n_half, shipped, f1.astype(np.int64), f2.astype(np.int64)], 1).astype("<i8")
     columns: list[list] = [[] for _ in range(6)]
     for g in range(groups):
@@ -95,16 +95,17 @@ def _deal(block, uids, groups: int, common: np.ndarray, shingle: int, percent: i
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _count_group(table: pa.Table) -> pa.Table:
-    """Count the shingles of one group; report the shared ones to their documents."""
+def _home(uids: np.ndarray, groups: int) -> np.ndarray:
+    return (mixed(uids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _count_group(table: pa.Table, groups: int) -> pa.Table:
+    """Count the shingles of one group; report the shared ones to the homes of their documents."""
     bucket = table.column(0)[0].as_py()
-    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-    uid = np.concatenate([np.cumsum(x) for x in read("docs", "<i8")])
-    counts = np.concatenate(read("counts", "<u4")).astype(np.int64)
-    low, high = np.concatenate(read("low", "<u4")), np.concatenate(read("high", "<u1"))
-    meta = np.concatenate(read("meta", "<i8")).reshape(-1, 6)
-    owner = np.repeat(uid, counts)
-    key = (high.astype(np.uint64) << np.uint64(32)) | low
+    read = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+    uid = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), "<i8")) for x in table.column("docs")])
+    owner = np.repeat(uid, read("counts", "<u4").astype(np.int64))
+    key = (read("high", "<u1").astype(np.uint64) << np.uint64(32)) | read("low", "<u4")
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
@@ -112,45 +113,61 @@ def _count_group(table: pa.Table) -> pa.Table:
     held = np.empty(len(key), np.int64)
     held[order] = np.repeat(size, size)
     some = np.flatnonzero(held > 1)
-    some = some[np.argsort(owner[some], kind="stable")]
-    at = np.flatnonzero(np.concatenate([[True], owner[some][1:] != owner[some][:-1], [True]])) if len(some) else np.zeros(1, np.int64)
-    held16 = np.minimum(held[some], 65535).astype("<u2")
-    low, high = low[some].astype("<u4"), high[some].astype("<u1")
-    shared = [
-        held16[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)
+    home = _home(owner[some], groups)
+    order = np.lexsort((owner[some], home))
+    some, home = some[order], home[order]
+    cut = np.searchsorted(home, np.arange(groups + 1))
+    held, key = np.minimum(held[some], 65535).astype("<u2"), key[some].astype("<u8")
+    meta = read("meta", "<i8").tobytes()
+    columns: list[list] = [[] for _ in range(6)]
+    for g in range(groups):
+        part = slice(cut[g], cut[g + 1])
+        own = meta if g == bucket else b""
+        if part.start == part.stop and not own:
+            continue
+        docs, counts = np.unique(owner[some[part]], return_counts=True)
+        raw = key[part].view("u1").reshape(-1, 8)[:, :5].tobytes() + held[part].tobytes()
+        delta = np.diff(docs, prepend=0).astype("<i8").tobytes()
+        for column, x in zip(columns, (g, bucket, delta, counts.astype("<u4").tobytes(), raw, own), strict=True):
+            column.append(x)
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _BACK.split(", ")])
+
+
+def _gather_home(table: pa.Table, percent: int) -> pa.Table:
+    """The documents of one home: sizes, fingerprints and region keys (null: isolated)."""
+    owner, key, held, meta = [], [], [], []
+    for i in range(table.num_rows):
+        raw = lambda name: table.column(name)[i].as_buffer()  # noqa: E731, B023
+        counts = np.frombuffer(raw("counts"), "<u4").astype(np.int64)
+        owner.append(np.repeat(np.cumsum(np.frombuffer(raw("docs"), "<i8")), counts))
+        c = int(counts.sum())
+        wide = np.zeros((c, 8), "u1")
+        wide[:, :5] = np.frombuffer(raw("shared"), "u1", 5 * c).reshape(-1, 5)
+        key.append(wide.view("<i8").ravel() + (table.column("bucket")[i].as_py() << 40))
+        held.append(np.frombuffer(raw("shared"), "<u2", c, 5 * c))
+        meta.append(np.frombuffer(raw("meta"), "<i8").reshape(-1, 6))
+    owner, key, held, meta = (np.concatenate(x) for x in (owner, key, held, meta))
+    meta = meta[np.argsort(meta[:, 0])]
+    order = np.argsort(owner, kind="stable")
+    key, held = key[order], held[order]
+    first = np.searchsorted(owner[order], meta[:, 0], side="left")
+    last = np.searchsorted(owner[order], meta[:, 0], side="right")
+    keys = [
+        _prefix(int(n), int(n_half), int(shipped), key[a:b], held[a:b], percent)
+        for n, n_half, shipped, a, b in zip(*meta[:, 1:4].T, first, last, strict=True)
     ]
-    found, no = len(shared), len(meta)
-    nulls = lambda kind: pa.nulls(found, kind)
-    column = lambda j, kind: pa.concat_arrays([pa.array(meta[:, j].astype(kind)), nulls(pa.from_numpy_dtype(kind))])
-    return pa.table(
-        [
-            pa.array(np.concatenate([meta[:, 0], owner[some][at[:-1]]])),
-            column(1, np.int32),
-            column(2, np.int32),
-            column(3, np.int32),
-            column(4, np.int64),
-            column(5, np.int64),
-            pa.array(np.full(no + found, bucket, np.int32)),
-            pa.array([None] * no + shared, pa.binary()),
-        ],
-        names=[x.split()[0] for x in _BACK.split(", ")],
-    )
+    names = ["uid", "n", "f1", "f2", "keys"]
+    columns = [pa.array(meta[:, 0]), pa.array(meta[:, 1].astype(np.int32)), pa.array(meta[:, 4]), pa.array(meta[:, 5])]
+    return pa.table([*columns, pa.array(keys, pa.list_(pa.int64()))], names=names)
 
 
-def _prefix(n: int, n_half: int, shipped: int, parts, percent: int) -> list[int] | None:
-    """The region keys of one document; None if its own shingles isolate it."""
+def _prefix(n: int, n_half: int, shipped: int, key: np.ndarray, held: np.ndarray, percent: int) -> list[int] | None:
+    """The region keys of one document from its shared shingles; None if its own ones isolate it."""
     allowed = _allowed(n, percent)
-    held, key, outside = [], [], []
-    for part in parts or ():
-        raw, bucket = part["shared"], part["bucket"]
-        c = len(raw) // 7
-        high = np.frombuffer(raw, "<u1", c, 6 * c)
-        held.append(np.frombuffer(raw, "<u2", c))
-        key.append((np.frombuffer(raw, "<u4", c, 2 * c).astype(np.int64) | (high.astype(np.int64) << 32)) + (int(bucket) << 40))
-        outside.append(high >> 7)
-    if not held:
+    if not len(key):
         return None
-    held, key, outside = np.concatenate(held), np.concatenate(key), np.concatenate(outside)
+    outside = (key >> 39) & 1
     order = np.lexsort((key, held, outside))
     key, inner = key[order], int((outside == 0).sum())
     # Shingles outside the half were dealt out by some documents only, so they prove isolation
@@ -197,25 +214,10 @@ def _regions(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
             for block in blocks(batch.column(1), np.argsort(uids, kind="stable")):
                 yield from _deal(block, uids[block.rows], groups, common, shingle, percent)
 
-    back = rows.select("_uid", "_text").mapInArrow(dealt, _DEALT).groupBy("bucket").applyInArrow(_count_group, _BACK)
-    one = back.groupBy("uid").agg(
-        *(F.max(c).alias(c) for c in ("n", "n_half", "shipped", "f1", "f2")),
-        F.collect_list(F.when(F.col("shared").isNotNull(), F.struct("bucket", "shared"))).alias("parts"),
-    )  # bounded by the shingles of one document
-
-    def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.to_pydict()
-            keys = [
-                _prefix(n, n_half, shipped, parts, percent)
-                for n, n_half, shipped, parts in zip(data["n"], data["n_half"], data["shipped"], data["parts"], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("n"), batch.column("f1"), batch.column("f2"), pa.array(keys, pa.list_(pa.int64()))],
-                names=["uid", "n", "f1", "f2", "keys"],
-            )
-
-    return one.mapInArrow(assembled, "uid long, n int, f1 long, f2 long, keys array<bigint>")
+    counted_groups = rows.select("_uid", "_text").mapInArrow(dealt, _DEALT).groupBy("bucket")
+    back = counted_groups.applyInArrow(lambda table: _count_group(table, groups), _BACK)
+    schema = "uid long, n int, f1 long, f2 long, keys array<bigint>"
+    return back.groupBy("home").applyInArrow(lambda table: _gather_home(table, percent), schema)
 
 
 def _distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -272,6 +274,16 @@ def _pivots(members: DataFrame, first: bool) -> DataFrame:
     )
 
 
+def _signature() -> list:
+    """Aggregates that tell regions with other members apart."""
+    return [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("uid", "side", F.lit(i))).alias(f"x{i}") for i in (1, 2))]
+
+
+def _once(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """The members of ``regions`` (rid and signature), one of those with the same members."""
+    return members.join(regions.groupBy("n", "x1", "x2").agg(F.min("rid").alias("rid")).select("rid"), "rid")
+
+
 def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
     """The next regions: ``met`` has every (rid, uid, pivot) and what was measured of it."""
     used = met.select("rid", F.col("pivot").alias("uid")).distinct()
@@ -291,9 +303,9 @@ def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame
     # A ball is one component; of the window only what is not yet part of it is open.
     ball = again.where("side = 1").groupBy("rid").agg(F.min("comp").alias("ball"))
     kept = again.join(ball, "rid", "left").where("side < 2 or comp <> ball")
-    open_ones = kept.groupBy("rid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("side") == 2).alias("w"), F.max("side").alias("side"))
-    open_ones = open_ones.where("lo < hi and (side = 0 or w > 0)").select("rid")
-    return kept.join(open_ones, "rid").select("rid", "uid", "comp", "side")
+    ends = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("side") == 2).alias("w"), F.max("side").alias("most")]
+    open_ones = kept.groupBy("rid").agg(*ends, *_signature()).where("lo < hi and (most = 0 or w > 0)")
+    return _once(kept, open_ones).select("rid", "uid", "comp", "side")
 
 
 def jaccard_components(
@@ -315,9 +327,9 @@ def jaccard_components(
     near = every.where(F.col("keys").isNotNull() & (F.col("n") > 0))
     first_copy = near.groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"))
     copies = stored(near.join(first_copy, ["n", "f1", "f2"]).select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "jaccard-copies")
-    members = copies.where("uid = rep").select("uid", F.explode("keys").alias("rid"))
-    members = members.join(members.groupBy("rid").count().where("count > 1").select("rid"), "rid")
-    members = stored(members.select("rid", "uid", F.col("uid").alias("comp"), F.lit(0).alias("side")), "jaccard-members")
+    members = copies.where("uid = rep").select(F.explode("keys").alias("rid"), "uid", F.col("uid").alias("comp"), F.lit(0).alias("side"))
+    members = _once(members, members.groupBy("rid").agg(*_signature()).where("n > 1"))
+    members = stored(members.select("rid", "uid", "comp", "side"), "jaccard-members")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,10 +344,8 @@ def jaccard_components(
     sets = stored(texts.mapInArrow(encoded, "uid long, elements binary"), "jaccard-sets")
 
     labels, first = None, True
-    while True:
+    while not members.isEmpty():
         pivots = stored(_pivots(members, first), "jaccard-pivots")
-        if pivots.isEmpty():
-            break
         met = members.join(pivots, "rid").where("side = pside or pside > 0")
         pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
         seen = stored(
@@ -350,7 +360,7 @@ def jaccard_components(
         links = seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
         if labels is not None:  # what is linked so far, as stars
             links = links.union(labels.select("node", "component"))
-        labels = stored(components(links), "jaccard-components")
+        labels = components(links)
         met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
         members = stored(_recurse(members, met, labels), "jaccard-members")
         first = False
