@@ -6,7 +6,9 @@ seen.  A text is split only where the tokenizer itself always splits:
 * a tokenizer that drops white space and tokenizes words alone: at blanks and line feeds;
 * a byte-level one with the usual pattern: into ``blank + solid characters`` and white space.
 
-Texts with other kinds of white space, and other tokenizers, are encoded as a whole.
+Texts with other kinds of white space, and other tokenizers, are encoded as a whole; in bytes
+mode a text with two white spaces in a row is split by that pattern without being remembered
+word by word.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from array import array
 
 from flowloom.llm.common import worker_cache
 
-MOST_WORDS = 600_000  # remembered by a worker
+MOST_WORDS = 1_000_000  # remembered by a worker
 
 _SOLID = re.compile(r" ?[^\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+")
+_TWO_SPACES = re.compile(r"[\t\n\x0b\x0c\r ]{2}")
 _OTHER_SPACE = re.compile("[\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
@@ -43,7 +46,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         self.mode = self._mode(config)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _mode(config: dict) -> str:
@@ -58,26 +61,70 @@ class WordEncoder:
         return "whole"
 
     def _split(self, text: str) -> list[str]:
+        """Look-up keys of a text; in bytes mode a key stands for itself after a blank, see ``_pieces``."""
         if self.mode == "words":
             return text.replace("\n", " ").split(" ")
-        if self.mode == "bytes" and not _OTHER_SPACE.search(text):
-            return _SOLID.findall(text)
+        if self.mode == "bytes":
+            if text and not _TWO_SPACES.search(text) and not _OTHER_SPACE.search(text):
+                keys = text.replace("\n", " \n").split(" ")
+                keys[0] = "\0" + keys[0]
+                return keys
+            return ["\0" + text] if text else []
         return [text]
 
+    def _pieces(self, key: str) -> list[str]:
+        """The pieces of text that a key stands for, each tokenized on its own."""
+        if self.mode != "bytes":
+            return [key] if key else []
+        if key[:1] == "\0":  # the beginning of a text, or all of one
+            text = key[1:]
+            return [text] if _OTHER_SPACE.search(text) else _SOLID.findall(text)
+        if key[:1] == "\n":  # a line feed, with what follows it
+            return ["\n", *_SOLID.findall(key[1:])]
+        return _SOLID.findall(" " + key)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [self._split(t) for t in texts]
         known = self.known
         if len(known) > MOST_WORDS:
             known.clear()
-            known[""] = b""
-        new = list(set().union(*split) - known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = array("I", found.ids).tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        found = [list(map(known.get, s)) for s in split]
+        holes, new = [], set()
+        for keys, ids in zip(split, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                holes.append((ids, at, keys[at]))
+                new.add(keys[at])
+        self._learn(new)
+        for ids, at, key in holes:
+            ids[at] = known[key]
+        return [b"".join(ids) for ids in found]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember new keys; letters before a full stop or comma, and other case, share one look-up."""
+        known, parts, todo = self.known, [], set()
+        for key in new:
+            own = []
+            for piece in self._pieces(key):
+                if self.mode != "whole" and piece[-1] in ".," and piece[:-1].lstrip(" ").isalpha():
+                    own += [piece[:-1], piece[-1]]
+                else:
+                    own.append(piece)
+            if self.mode == "words":
+                own = [p.lower() if p.isascii() else p for p in own]
+            own = ["\1" + p for p in own]  # pieces have keys of their own
+            parts.append((key, own))
+            todo.update(own)
+        todo = [p for p in todo if p not in known]
+        for at in range(0, len(todo), 20_000):
+            some = todo[at : at + 20_000]
+            coded = self.tokenizer.encode_batch_fast([p[1:] for p in some], add_special_tokens=False)
+            for piece, ids in zip(some, coded, strict=True):
+                known[piece] = array("I", ids.ids).tobytes()
+        for key, own in parts:
+            known[key] = b"".join([known[p] for p in own])
 
 
 def encoder(path: str) -> WordEncoder:
