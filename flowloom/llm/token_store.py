@@ -42,16 +42,28 @@ def _padded(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % 8)
 
 
+_STEP = 1 << 15  # values packed at a time, so that their bits stay in the cache
+
+
 def _pack(chunks: np.ndarray, bits: int) -> bytes:
-    flags = ((chunks[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)
-    return _padded(np.packbits(flags, axis=None, bitorder="little").tobytes())
+    wide = 16 if bits <= 16 else 32
+    out = []
+    for at in range(0, len(chunks), _STEP):  # _STEP values fill whole bytes at any width
+        part = chunks[at : at + _STEP].astype(f"<u{wide // 8}")
+        flags = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, wide)[:, :bits]
+        out.append(np.packbits(flags, axis=None, bitorder="little").tobytes())
+    return _padded(b"".join(out))
 
 
 def _unpack(raw: np.ndarray, bits: int, count: int) -> np.ndarray:
-    flags = np.unpackbits(raw, count=count * bits, bitorder="little").reshape(count, bits)
-    value = np.zeros(count, np.uint32)
-    for j in range(bits):
-        value |= flags[:, j].astype(np.uint32) << np.uint32(j)
+    wide = 16 if bits <= 16 else 32
+    value = np.empty(count, np.uint32)
+    flags = np.zeros((_STEP, wide), np.uint8)
+    for at in range(0, count, _STEP):
+        n = min(_STEP, count - at)
+        part = raw[at * bits // 8 : -(-(at + n) * bits // 8)]
+        flags[:n, :bits] = np.unpackbits(part, count=n * bits, bitorder="little").reshape(n, bits)
+        value[at : at + n] = np.packbits(flags[:n], axis=None, bitorder="little").view(f"<u{wide // 8}")
     return value
 
 
