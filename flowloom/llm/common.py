@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """While a loop runs many jobs, the driver keeps only the beginning of each plan's text."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "2000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import keyed, shuffle_partitions, stored
+from flowloom.llm.common import keyed, short_plans, shuffle_partitions, stored
 from flowloom.llm.components import components
 from flowloom.llm.words import blocks, mixed, shingles
 
@@ -308,6 +308,32 @@ def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame
     return _once(kept, open_ones).select("rid", "uid", "comp", "side")
 
 
+def _connect(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of everything linked, by rounds over the open regions; None without any."""
+    labels, first = None, True
+    while not members.isEmpty():
+        pivots = stored(_pivots(members, first), "jaccard-pivots")
+        met = members.join(pivots, "rid").where("side = pside or pside > 0")
+        pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
+        seen = stored(
+            _distances(sets, pairs).select(
+                "uid",
+                "pivot",
+                (100 * F.col("inter") >= percent * F.col("total")).alias("linked"),
+                (100 * (F.col("total") - F.col("inter")) <= 2 * (100 - percent) * F.col("total")).alias("window"),
+            ),
+            "jaccard-distances",
+        )
+        links = seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+        if labels is not None:  # what is linked so far, as stars
+            links = links.union(labels.select("node", "component"))
+        labels = components(links)
+        met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
+        members = stored(_recurse(members, met, labels), "jaccard-members")
+        first = False
+    return labels
+
+
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -343,28 +369,8 @@ def jaccard_components(
     texts = rows.join(busy, rows["_uid"] == busy["uid"], "left_semi").select("_uid", "_text")
     sets = stored(texts.mapInArrow(encoded, "uid long, elements binary"), "jaccard-sets")
 
-    labels, first = None, True
-    while not members.isEmpty():
-        pivots = stored(_pivots(members, first), "jaccard-pivots")
-        met = members.join(pivots, "rid").where("side = pside or pside > 0")
-        pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
-        seen = stored(
-            _distances(sets, pairs).select(
-                "uid",
-                "pivot",
-                (100 * F.col("inter") >= percent * F.col("total")).alias("linked"),
-                (100 * (F.col("total") - F.col("inter")) <= 2 * (100 - percent) * F.col("total")).alias("window"),
-            ),
-            "jaccard-distances",
-        )
-        links = seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
-        if labels is not None:  # what is linked so far, as stars
-            links = links.union(labels.select("node", "component"))
-        labels = components(links)
-        met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
-        members = stored(_recurse(members, met, labels), "jaccard-members")
-        first = False
-
+    with short_plans(docs.sparkSession):
+        labels = _connect(members, sets, percent)
     out = every.select("uid", "n").join(copies.select("uid", "rep"), "uid", "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
