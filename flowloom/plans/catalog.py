@@ -699,7 +699,6 @@ def explanation_status(spark, sf):
     return documents.select("doc_id", explanation(n % 5, n % 3, text, n % 11 == 0).alias("rag_output"))
 
 
-@query
 def _explainable(spark, sf):
     """Labelled flows, stored; features are rounded for the texts, scaled ones are not."""
     labelled = _labelled(spark, sf)
