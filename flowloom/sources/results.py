@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.schemas import FEATURES, RESULT_CSV_SCHEMA, RESULT_SCHEMA, quoted
-from flowloom.session import materialise
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -85,24 +87,27 @@ def write_results_csv(results: DataFrame, path: str) -> None:
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read result CSV by position, so older header names and short headers are fine (SRC4).
 
-    Rows that do not parse are left out; ``bad_results_csv`` has them.
+    Records with a number that does not parse are left out; ``bad_results_csv`` has them.
     """
-    rows = _csv_rows(spark, path)
-    return rows.where(F.col(_BAD).isNull()).drop(_BAD)
+    return _csv_rows(spark, path).where(~_unreadable()).select(
+        *[F.col(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in RESULT_CSV_SCHEMA]
+    )
 
 
 def bad_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a result CSV that do not parse, column ``record``; with the others all of them."""
-    rows = _csv_rows(spark, path)
-    return rows.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("record"))
-
-
-_BAD = "_bad_record"
+    """The records that ``read_results_csv`` leaves out, as text; with the others they are all."""
+    whole = F.to_csv(F.struct(*map(quoted, RESULT_CSV_SCHEMA.names)))
+    return _csv_rows(spark, path).where(_unreadable()).select(whole.alias("record"))
 
 
 def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All records, stored: the reader knows one as bad only once it has parsed every column."""
-    schema = T.StructType([*RESULT_CSV_SCHEMA.fields, T.StructField(_BAD, T.StringType())])
+    """All records, every field as text; fields that a record lacks are null."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in RESULT_CSV_SCHEMA.names])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-    reader = reader.option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", _BAD)
-    return materialise(reader.csv(path))
+    return reader.option("multiLine", True).option("escape", '"').csv(path)
+
+
+def _unreadable() -> Column:
+    """Does a numeric field hold text that is no number?"""
+    numbers = [F.col(quoted(f.name)) for f in RESULT_CSV_SCHEMA if f.dataType != T.StringType()]
+    return reduce(or_, [c.isNotNull() & c.try_cast("double").isNull() for c in numbers])
