@@ -27,15 +27,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def short_plans(spark: SparkSession) -> Iterator[None]:
-    """While a loop runs many jobs, the driver keeps only the beginning of each plan's text."""
-    name = "spark.sql.maxPlanStringLength"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "2000")
+def light_driver(spark: SparkSession) -> Iterator[None]:
+    """Settings for a loop of many jobs, so that the driver's memory does not follow their number.
+
+    Tables are joined by shuffles only, since each broadcast holds a page of driver memory
+    until it is cleaned up, and of each plan only the beginning of its text is kept.
+    """
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.maxPlanStringLength": "2000",
+    }
+    before = {name: spark.conf.get(name, None) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

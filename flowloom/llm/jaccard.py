@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import keyed, short_plans, shuffle_partitions, stored
+from flowloom.llm.common import keyed, light_driver, shuffle_partitions, stored
 from flowloom.llm.components import components
 from flowloom.llm.words import blocks, mixed, shingles
 
@@ -369,7 +369,7 @@ def jaccard_components(
     texts = rows.join(busy, rows["_uid"] == busy["uid"], "left_semi").select("_uid", "_text")
     sets = stored(texts.mapInArrow(encoded, "uid long, elements binary"), "jaccard-sets")
 
-    with short_plans(docs.sparkSession):
+    with light_driver(docs.sparkSession):
         labels = _connect(members, sets, percent)
     out = every.select("uid", "n").join(copies.select("uid", "rep"), "uid", "left")
     if labels is not None:
