@@ -22,7 +22,7 @@ from flowloom.llm.linear import byte_grams, descend, gram_counts, gram_matrix, g
 from flowloom.llm.words import _LOWER, Block, blocks
 
 FEATURE_BITS = 12
-SAMPLE_ROWS = 2_400  # labelled documents that the models are fitted on, about as many per language
+SAMPLE_ROWS = 1_600  # labelled documents that the models are fitted on, about as many per language
 MOST_LANGUAGES = 64  # the most frequent ones are learned
 UNKNOWN = "und"
 

@@ -43,7 +43,7 @@ def gram_matrix(rows: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
         x[i, np.frombuffer(r["ids"], "<u2")] = counts / max(1.0, counts.sum())
     scale = 1 / np.sqrt(x.mean(0) + 1e-6)
     x *= scale
-    more = np.float32(2 / np.sqrt(max(1e-12, float((x * x).sum(1).mean()))))
+    more = np.float32(2 / np.sqrt(max(1e-12, float(np.einsum("ij,ij->", x, x)) / len(x))))
     x *= more
     return x, scale * more
 
@@ -54,7 +54,7 @@ def descend(x: np.ndarray, slope, columns: int, turns: int = 80) -> tuple[np.nda
     ``slope`` gives the derivative of the loss of each row by its scores.
     """
     w, b = np.zeros((x.shape[1], columns), np.float32), np.zeros(columns, np.float32)
-    ahead_w, ahead_b, step = w, b, np.float32(2.0 / (float((x * x).sum(1).mean()) + 1))
+    ahead_w, ahead_b, step = w, b, np.float32(2.0 / (float(np.einsum("ij,ij->", x, x)) / len(x) + 1))
     for t in range(turns):
         g = (slope(x @ ahead_w + ahead_b) / len(x)).astype(np.float32)
         new_w, new_b = ahead_w - step * (x.T @ g + np.float32(1e-4) * ahead_w), ahead_b - step * g.sum(0)
