@@ -24,7 +24,7 @@ from flowloom.llm.components import components
 
 PIVOTS_PER_ROOT = 4  # pivots = 4 * sqrt(vectors), which keeps lists and pivot tables alike in size
 MOST_PIVOTS = 16_384
-PREFIX = 8
+PREFIX = 12
 SHARED = 2
 BLOCK = 1_024
 
