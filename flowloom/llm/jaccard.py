@@ -35,7 +35,7 @@ from flowloom.llm.words import blocks, mixed, shingles
 GROUP_BYTES = 16 << 20  # text per group of counted shingles
 SAMPLE = 16  # one document of so many is looked at to find very common shingles
 COMMON_SHARE = 1e-6  # of all shingles; bounds the list of common ones to a million
-PIVOTS = 16  # per region and round, after the first
+PIVOTS = 16  # per region in the second round, four times as many in each one after it
 SALT_ROWS = 512  # members compared with one pivot in one group
 
 _HALF = np.uint64(1 << 63)
@@ -253,22 +253,24 @@ def _distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sent.mapInArrow(compared, "uid long, pivot long, inter long, total long")
 
 
-def _pivots(members: DataFrame, first: bool) -> DataFrame:
+def _pivots(members: DataFrame, turn: int) -> DataFrame:
     """(rid, pivot, pcomp, pside): some documents of each region that is not yet connected.
 
-    A plain region gives the first document of up to PIVOTS of its components, smallest first;
-    a ball and its window (sides 1 and 2) give documents of the smaller side.
+    A plain region gives the first document of some of its components, smallest first; a ball
+    and its window (sides 1 and 2) give documents of the smaller side.  Rounds leave ever fewer
+    regions open, so their number of pivots grows and the number of rounds stays logarithmic.
     """
-    if first:
+    most = PIVOTS * 4 ** (turn - 1)
+    if turn == 0:
         least = members.groupBy("rid").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
         return least.select("rid", "pivot", F.col("pivot").alias("pcomp"), F.lit(0).alias("pside"))
     plain = members.where("side = 0").groupBy("rid", "comp").agg(F.count("*").alias("n"), F.min("uid").alias("pivot"))
     small_first = Window.partitionBy("rid").orderBy("n", "comp")
-    plain = plain.withColumn("rank", F.row_number().over(small_first)).where(F.col("rank") <= PIVOTS)
+    plain = plain.withColumn("rank", F.row_number().over(small_first)).where(F.col("rank") <= most)
     sides = members.where("side > 0").groupBy("rid").agg(*(F.sum((F.col("side") == i).cast("int")).alias(f"n{i}") for i in (1, 2)))
     smaller = sides.select("rid", F.when(F.col("n1") <= F.col("n2"), 1).otherwise(2).alias("side"))
     by_id = Window.partitionBy("rid").orderBy("uid")
-    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= PIVOTS)
+    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= most)
     return plain.select("rid", "pivot", F.col("comp").alias("pcomp"), F.lit(0).alias("pside")).union(
         paired.select("rid", F.col("uid").alias("pivot"), F.col("comp").alias("pcomp"), F.col("side").alias("pside"))
     )
@@ -310,9 +312,9 @@ def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame
 
 def _connect(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of everything linked, by rounds over the open regions; None without any."""
-    labels, first = None, True
+    labels, turn = None, 0
     while not members.isEmpty():
-        pivots = stored(_pivots(members, first), "jaccard-pivots")
+        pivots = stored(_pivots(members, turn), "jaccard-pivots")
         met = members.join(pivots, "rid").where("side = pside or pside > 0")
         pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
         seen = stored(
@@ -330,7 +332,7 @@ def _connect(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         labels = components(links)
         met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
         members = stored(_recurse(members, met, labels), "jaccard-members")
-        first = False
+        turn += 1
     return labels
 
 
