@@ -8,6 +8,9 @@ expanded yet, until the best ``EXPAND`` are all expanded.
 
 Graph and walk use copies of the vectors with a scale and a byte per component; what is
 returned is scored anew in double precision on the original vectors.
+
+Equal vectors are one node with their smallest ids, which join the found nodes again before the
+last ranking.  Queries with equal vectors share one walk and one ranking.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import stored
@@ -32,6 +35,7 @@ TURNS = 12
 SETTLED = 0.05  # share of list entries that a turn must change to be followed by another
 EXPAND = 32
 POOL = 64
+SALTS = 64  # a group of equal vectors is first reduced in so many parts
 
 _GRAPH = "id long, vec binary, near array<long>, score array<float>, fresh array<boolean>"
 
@@ -56,15 +60,21 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _best(score: np.ndarray, most: int) -> np.ndarray:
-    """Column places of the best scores of each row."""
+    """Column places of the best scores of each row, the first of equal ones."""
     most = min(most, score.shape[1])
     if most == score.shape[1]:
         return np.argsort(-score, axis=1, kind="stable")
-    return np.argpartition(-score, most - 1, axis=1)[:, :most]
+    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
+    least = np.take_along_axis(score, top, 1).min(1, keepdims=True)
+    tied = np.flatnonzero((score >= least).sum(1) > most)
+    if len(tied):
+        top[tied] = np.argsort(-score[tied], axis=1, kind="stable")[:, :most]
+    return top
 
 
 def _cell_pairs(table: pa.Table) -> pa.Table:
     """The best partners of every vector of one block of a cell."""
+    table = table.sort_by("id")
     ids = table.column("id").to_numpy()
     x = _vectors(table.column("vec").combine_chunks())
     out: list[list[np.ndarray]] = [[], [], []]
@@ -81,7 +91,7 @@ def _cell_pairs(table: pa.Table) -> pa.Table:
 
 
 def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the members of each centre's list; new pairs that beat a member's worst go out."""
+    """Compare the members of each centre's list; new pairs that rank before a member's last go out."""
     for batch in batches:
         members = batch.column(0)
         out: list[list[np.ndarray]] = [[], [], []]
@@ -90,17 +100,19 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ids = flat.field("member").to_numpy(zero_copy_only=False)
         all_fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
         all_worst = flat.field("worst").to_numpy(zero_copy_only=False)
+        all_last = flat.field("last").to_numpy(zero_copy_only=False)
         vectors = _vectors(flat.field("vec"))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a < 2:
                 continue
-            ids, fresh, worst, x = all_ids[a:b], all_fresh[a:b].astype(bool), all_worst[a:b], vectors[a:b]
+            at = a + np.argsort(all_ids[a:b])
+            ids, fresh, worst, last, x = all_ids[at], all_fresh[at].astype(bool), all_worst[at], all_last[at], vectors[at]
             score = x @ x.T
             score[~(fresh[:, None] | fresh[None, :])] = -np.inf
             np.fill_diagonal(score, -np.inf)
             top = _best(score, EMIT)
             got = np.take_along_axis(score, top, 1)
-            better = got > worst[:, None]
+            better = (got > worst[:, None]) | ((got == worst[:, None]) & np.isfinite(got) & (ids[top] < last[:, None]))
             for part, value in zip(out, (np.repeat(ids, top.shape[1])[better.ravel()], ids[top][better], got[better]), strict=True):
                 part.append(value)
         columns = [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(out, (np.int64, np.int64, np.float32), strict=True)]
@@ -179,9 +191,11 @@ def neighbour_graph(nodes: DataFrame, count: int) -> DataFrame:
         back = back.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= REVERSE).drop("n")
         joined = links.union(back).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
         worst = F.when(F.size("near") < DEGREE, F.lit(float("-inf"))).otherwise(F.array_min("score")).cast("float")
-        known = graph.select(F.col("id").alias("member"), "vec", worst.alias("worst"))
+        last = F.when(F.size("near") < DEGREE, F.lit(None)).otherwise(F.element_at("near", -1))
+        last = F.coalesce(last, F.lit((1 << 63) - 1)).alias("last")
+        known = graph.select(F.col("id").alias("member"), "vec", worst.alias("worst"), last)
         lists = joined.join(known, "member").groupBy("centre").agg(
-            F.collect_list(F.struct("member", "fresh", "worst", "vec")).alias("members")
+            F.collect_list(F.struct("member", "fresh", "worst", "last", "vec")).alias("members")
         )  # at most DEGREE + REVERSE members
         pairs = lists.select("members").mapInArrow(_local_join, "id long, other long, score float")
         graph = _merged(graph, pairs)
@@ -234,6 +248,19 @@ def greedy_search(graph: DataFrame, queries: DataFrame) -> DataFrame:
         )
 
 
+def _salt(id_column: str) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(SALTS)).alias("salt")
+
+
+def _distinct(rows: DataFrame, most: int) -> DataFrame:
+    """Every distinct vector of (id, x) once, as (id, x, ids): its smallest id and its ``most`` smallest."""
+    some = Window.partitionBy("x", "salt").orderBy("id")
+    few = rows.select("id", "x", _salt("id")).withColumn("n", F.row_number().over(some)).where(F.col("n") <= most)
+    ids = F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids")  # of at most ``most`` * SALTS
+    whole = few.groupBy("x").agg(ids)
+    return stored(whole.select(F.col("ids")[0].alias("id"), "x", "ids"), "ann-distinct")
+
+
 def nearest_neighbours(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", every: int = 20, k: int = 20
 ) -> DataFrame:
@@ -263,15 +290,28 @@ def nearest_neighbours(
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), _packed(x, top)], names=["id", "vec"])
 
-    nodes = stored(rows.mapInArrow(packed, "id long, vec binary"), "ann-nodes")
-    graph = neighbour_graph(nodes, most["count"])
-    asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", F.col("near").alias("pool"), F.col("score").alias("value"))
-    found = greedy_search(graph, asked).select("query", F.explode("pool").alias("id"))
+    whole = _distinct(rows, k + 1)
+    nodes = stored(whole.select("id", "x").mapInArrow(packed, "id long, vec binary"), "ann-nodes")
+    graph = neighbour_graph(nodes, nodes.count())
+    asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "x", _salt("id"))
+    homes = asked.select("x", "salt").distinct().join(whole.select("x", F.col("id").alias("node")), "x")  # at most SALTS for a node
+    homes = stored(homes, "ann-homes")
+    asked = asked.join(homes, ["x", "salt"]).select("query_id", "node", "salt")
+    homes = homes.select("node", "salt")
+    walking = graph.join(homes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    walking = walking.select(F.col("id").alias("query"), "vec", F.col("near").alias("pool"), F.col("score").alias("value"))
+    found = greedy_search(graph, walking).select(F.col("query").alias("node"), F.explode(F.concat("pool", F.array("query"))).alias("id"))
     scored = (
-        found.join(rows, "id")
-        .join(rows.select(F.col("id").alias("query"), F.col("x").alias("y")), "query")
-        .select("query", "id", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("score"))
+        found.join(whole, "id")
+        .join(whole.select(F.col("id").alias("node"), F.col("x").alias("y")), "node")
+        .select("node", "ids", F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("score"))
+        .select("node", "score", F.explode("ids").alias("id"))
     )
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_column), "score")
+    # One more than ``k``, as a query may be among them.
+    best = Window.partitionBy("node").orderBy(F.desc("score"), "id")
+    ranked = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    ranked = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("best"))
+    answers = asked.join(ranked.join(homes, "node"), ["node", "salt"])
+    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
+    answers = answers.select("query_id", F.posexplode(others).alias("place", "b"))
+    return answers.select("query_id", (F.col("place") + 1).alias("rank"), F.col("b.id").alias(id_column), F.col("b.score").alias("score"))

@@ -93,3 +93,17 @@ def test_few_vectors_give_all_candidates(spark):
     assert sorted(r["vec_id"] for r in got) == list(range(1, 12))
     assert nearest_neighbours(table(spark, [])).count() == 0
     assert nearest_neighbours(table(spark, rows[:1])).count() == 0
+
+
+def test_equal_vectors_rank_by_id(spark):
+    rows = clustered(400, 5, dims=24, spread=0.4)
+    large = max(rows, key=lambda r: float(np.linalg.norm(r[1])))[1]
+    rows += [(1000 + i, large, 0) for i in range(700)] + [(3000 + i, rows[7][1], 1) for i in range(5)]
+    got = {}
+    for r in nearest_neighbours(table(spark, rows).repartition(4)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: [i for i, _ in found] for q, found in exact(rows).items()}
+    assert got.keys() == want.keys()
+    group = [q for q in want if 1000 <= q < 1700]
+    assert [got[q] for q in group] == [want[q] for q in group]
+    assert sum(len({*got[q]} & {*want[q]}) for q in want) >= 0.95 * 20 * len(want)
