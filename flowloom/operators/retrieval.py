@@ -1,8 +1,8 @@
 """Exact top-k retrieval by inner product and what follows it.
 
 The scores of all (query, document) pairs are never rows.  A task multiplies its block of
-document vectors with a block of query vectors and keeps the best k per query, so it
-emits k rows per query however many documents it read.
+document vectors with one block of query vectors after the other and keeps the best k per
+query, so it emits k rows per query and shard however many documents the shard has.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +22,14 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.vectors import norm, unit
 from flowloom.schemas import TOP_K
+from flowloom.session import work_path
 
-# Query vectors are sent to the tasks in blocks of this size; each block is one pass over the corpus.
+# Query vectors lie in the shared folder in blocks of this size; a task reads them one after
+# the other for each shard of the corpus that it holds.
 QUERY_BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 128 << 20
 SCORE_CELLS = 4_000_000
+QUERIES_AT_ONCE = 2_000  # so that a product of SCORE_CELLS has as many documents
 MERGE_SALTS = 64
 # A product of matrices may differ from a plain sum by less than this for unit vectors.
 SLACK = 1e-9
@@ -96,28 +101,36 @@ class _Best:
         return {"query_id": self.query_ids[self.at], "doc_pos": self.docs, "score": self.scores}
 
 
-def _one_pass(query_rows: pa.Table, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """One bounded block of queries: every task gets it and scans its share of the corpus once."""
-    ids = query_rows.column("query_id").to_numpy()
-    queries = _unit_matrix(query_rows.column("embedding"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(ids, queries, k, skip_self)
-        for batch in batches:
-            best.add(batch.column("doc_pos").to_numpy(zero_copy_only=False), _unit_matrix(batch.column("embedding")))
-        yield pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
-
-    return corpus.mapInArrow(scan, HIT_SCHEMA)
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The positions and vectors that a task reads, in shards of about ``shard_bytes``."""
+    held, size = [], 0
+    for batch in batches:
+        vectors = _unit_matrix(batch.column("embedding"))
+        if not len(vectors):
+            continue
+        held.append((batch.column("doc_pos").to_numpy(zero_copy_only=False), vectors))
+        size += vectors.nbytes
+        if size >= shard_bytes:
+            yield np.concatenate([d for d, _ in held]), np.concatenate([v for _, v in held])
+            held, size = [], 0
+    if held:
+        yield np.concatenate([d for d, _ in held]), np.concatenate([v for _, v in held])
+
+
+def _query_blocks(queries: DataFrame, block_bytes: int) -> list[str]:
+    """Write the queries to the shared folder, in files of at most about ``block_bytes``."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    rows = max(1, block_bytes // (8 * max(1, size["dim"] or 1)))
+    path = work_path(queries.sparkSession, "query-blocks")
+    dealt = queries.repartition(max(1, -(-size["n"] // rows)), "query_id")
+    dealt.write.option("maxRecordsPerFile", rows).parquet(path)
+    return sorted(queries.sparkSession.read.schema(queries.schema).parquet(path).inputFiles()) if size["n"] else []
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
-    """The queries in blocks of about ``block_bytes``, one at a time on the driver."""
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    blocks = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // block_bytes))
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        if rows.num_rows:
-            yield rows
+def _read_block(path: str) -> pa.Table:
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        return pq.read_table(file)
 
 
 def top_k(
@@ -132,15 +145,30 @@ def top_k(
     ``queries(query_id, embedding)`` and ``corpus(doc_pos, embedding)`` hold unit vectors.
     Equal scores rank by position; a corpus smaller than k gives fewer rows.
     ``skip_self`` leaves out the document whose position equals the query id.
+    The queries are written to the shared folder at once and never reach the driver, which
+    only has the names of their files.
     """
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     corpus = corpus.select(F.col("doc_pos").cast("long"), "embedding")
-    passes = [_one_pass(block, corpus, k, skip_self) for block in _query_blocks(queries, block_bytes)]
-    if not passes:
+    files = _query_blocks(queries, block_bytes)
+    if not files:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_pos long, score double")
-    partial = reduce(DataFrame.union, passes)
+
+    shard_bytes = SHARD_BYTES
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, vectors in _shards(batches, shard_bytes):
+            for path in files:
+                block = _read_block(path)
+                ids, wanted = block.column("query_id").to_numpy(), _unit_matrix(block.column("embedding"))
+                for at in range(0, len(ids), QUERIES_AT_ONCE):
+                    best = _Best(ids[at : at + QUERIES_AT_ONCE], wanted[at : at + QUERIES_AT_ONCE], k, skip_self)
+                    best.add(docs, vectors)
+                    yield pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
+
+    partial = corpus.mapInArrow(scan, HIT_SCHEMA)
     order = [F.desc("score"), F.col("doc_pos")]
-    # Every task has k rows per query, so they are merged in two steps.
+    # Every shard has k rows per query, so they are merged in two steps.
     salt = F.pmod(F.xxhash64("doc_pos"), F.lit(MERGE_SALTS))
     some = Window.partitionBy("query_id", "salt").orderBy(*order)
     best = Window.partitionBy("query_id").orderBy(*order)

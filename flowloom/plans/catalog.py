@@ -667,10 +667,10 @@ def corpus_lines_placed(spark, sf):
 
 @query
 def search_all_vectors(spark, sf):
-    """Every vector searched for its five nearest others, in blocks of queries."""
+    """Every vector searched for its five nearest others."""
     vectors = _vectors(spark, sf)
     queries = vectors.select(F.col("doc_pos").alias("query_id"), "embedding")
-    return rounded(top_k(queries, vectors, skip_self=True, block_bytes=64 << 10))
+    return rounded(top_k(queries, vectors, skip_self=True))
 
 
 # --- explanations ------------------------------------------------------------

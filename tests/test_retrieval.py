@@ -81,6 +81,23 @@ def test_search_has_no_join(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_queries_stay_off_the_driver(spark, monkeypatch):
+    """The plan has one scan of the corpus however many blocks of queries there are."""
+    v = unit_vectors(200, 8, 6)
+    queries, corpus = frame(spark, "query_id", v), frame(spark, "doc_pos", v)
+    monkeypatch.setattr(type(queries), "toArrow", None)
+    hits = top_k(queries, corpus, 3, True, block_bytes=8 * 8 * 10)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found(hits) == brute(v, v, 3, True)
+
+
+def test_shards_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr("flowloom.operators.retrieval.SHARD_BYTES", 1)
+    v = unit_vectors(60, 8, 7)
+    got = top_k(frame(spark, "query_id", v), frame(spark, "doc_pos", v, 2), 4, block_bytes=8 * 8 * 10)
+    assert found(got) == brute(v, v, 4)
+
+
 def test_normalise_keeps_zero_vectors(spark):
     df = normalised(spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "embedding array<double>"))
     assert [r[0] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0]]
