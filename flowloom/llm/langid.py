@@ -8,6 +8,7 @@ is one table lookup per byte and model.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -23,7 +24,7 @@ from flowloom.llm.words import _LOWER, Block, blocks
 
 FEATURE_BITS = 12
 SAMPLE_ROWS = 1_600  # labelled documents that the models are fitted on, about as many per language
-MOST_LANGUAGES = 64  # the most frequent ones are learned
+LEAST_ROWS = 25  # of them per language, however many languages there are
 UNKNOWN = "und"
 
 # Related languages; a code that is not listed is a family of its own.
@@ -65,32 +66,39 @@ class LanguageModel:
     weights: np.ndarray
     bias: np.ndarray
 
-    def predict(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Languages and scores for rows of summed weights."""
-        margin = sums + self.bias
-        top = margin[:, : len(self.families)]
+    def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and scores of the rows of a block: families first, then the pairs of the chosen ones."""
+        grams = byte_grams(block, FEATURE_BITS, lower=True)
+        top = gram_sums(block, grams, self.weights[: len(self.families)]) + self.bias[: len(self.families)]
         share = np.exp(top - top.max(1, keepdims=True))
         share /= share.sum(1, keepdims=True)
         chosen = share.argmax(1)
-        lang = np.empty(len(sums), object)
-        score = share[np.arange(len(sums)), chosen]
-        for f, name in enumerate(self.families):
+        lang = np.empty(len(block.rows), object)
+        score = share[np.arange(len(lang)), chosen]
+        for f in np.unique(chosen):
             rows = np.flatnonzero(chosen == f)
-            langs = self.members[name]
+            langs = self.members[self.families[f]]
+            if len(langs) == 1:
+                lang[rows] = langs[0]
+                continue
             votes, sure = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs)))
-            for p, (a, b) in enumerate(self.pairs):
-                if a in langs:
-                    m = margin[rows, len(self.families) + p]
-                    i, j = langs.index(a), langs.index(b)
-                    votes[:, i] += m >= 0
-                    votes[:, j] += m < 0
-                    sure[:, i] += m
-                    sure[:, j] -= m
+            at = [p for p, (a, _) in enumerate(self.pairs) if a in langs]
+            columns = len(self.families) + np.array(at)
+            size = block.ends[rows] - block.starts[rows]
+            ends = np.cumsum(size)
+            part = Block(block.rows[rows], block.data, ends - size, ends)
+            mine = np.concatenate([grams[a:b] for a, b in zip(block.starts[rows], block.ends[rows], strict=True)])
+            margin = gram_sums(part, mine, self.weights[columns]) + self.bias[columns]
+            for m, p in zip(margin.T, at, strict=True):
+                i, j = (langs.index(x) for x in self.pairs[p])
+                votes[:, i] += m >= 0
+                votes[:, j] += m < 0
+                sure[:, i] += m
+                sure[:, j] -= m
             best = (votes + 1e-3 * np.tanh(sure)).argmax(1)
             lang[rows] = np.array(langs, object)[best]
-            if len(langs) > 1:
-                mean = sure[np.arange(len(rows)), best] / (len(langs) - 1)
-                score[rows] *= 1 / (1 + np.exp(-np.clip(4 * mean, -30, 30)))
+            mean = sure[np.arange(len(rows)), best] / (len(langs) - 1)
+            score[rows] *= 1 / (1 + np.exp(-np.clip(4 * mean, -30, 30)))
         return lang, score
 
 
@@ -123,13 +131,13 @@ def fit(rows: list, classes: list[str]) -> LanguageModel:
 
 
 def train(docs: DataFrame, text_column: str, lang_column: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Fit on a bounded, hash-chosen sample of labelled rows, balanced by language."""
+    """Fit on a hash-chosen sample of labelled rows, balanced by language and bounded by their number."""
     rows = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # one row per language
     if not counts:
         return None
-    each = sample_rows / len(counts)
+    each = max(sample_rows / len(counts), LEAST_ROWS)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
     pick = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang"))
 
@@ -141,7 +149,7 @@ def train(docs: DataFrame, text_column: str, lang_column: str, sample_rows: int
                 yield pa.RecordBatch.from_arrays([lang, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
     # Equal texts are picked together, so the limit is what bounds the sample.
-    sample = rows.where(pick).limit(2 * sample_rows).mapInArrow(counted, "lang string, ids binary, counts binary").collect()
+    sample = rows.where(pick).limit(math.ceil(2 * each * len(counts))).mapInArrow(counted, "lang string, ids binary, counts binary").collect()
     sample = sorted(sample, key=lambda r: (r["lang"], r["ids"], r["counts"]))
     return fit(sample, [r["lang"] for r in counts]) if sample else None
 
@@ -155,8 +163,9 @@ def identify_languages(
 ) -> DataFrame:
     """Predict the language of every whole text.
 
-    Learns from rows with a language that are not held out (see ``held_out``); at most twice
-    ``sample_rows`` of them are used.  Returns one row per input row: the id, ``held_out``,
+    Learns every language that occurs in rows that are not held out (see ``held_out``).  About
+    ``sample_rows`` of them are used, or ``LEAST_ROWS`` per language if that is more, and at most
+    twice as many.  Returns one row per input row: the id, ``held_out``,
     ``lang_pred`` and ``score`` (0 to 1).  A text that is null or has no letter is ``und`` with
     score 0, and so is every text when there is nothing to learn from.  A null id counts
     as the empty text.  Repeated rows get equal results.
@@ -169,8 +178,7 @@ def identify_languages(
             texts = batch.column(2)
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for block in blocks(texts) if model else ():
-                sums = gram_sums(block, byte_grams(block, FEATURE_BITS, lower=True), model.weights)
-                found, sure = model.predict(sums)
+                found, sure = model.predict(block)
                 letters = _has_letter(block, texts)
                 lang[block.rows[letters]], score[block.rows[letters]] = found[letters], sure[letters]
             yield pa.RecordBatch.from_arrays(

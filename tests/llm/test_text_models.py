@@ -46,6 +46,17 @@ def test_held_out_rows_and_ids_do_not_teach(spark):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    words = {f"x{n:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for n in range(70)}
+    rows = [(lang, " ".join(rng.choices(own, k=20))) for lang, own in words.items() for _ in range(30)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(docs).collect()}
+    assert len(got) == len(rows)
+    assert set(got.values()) == set(words)
+    assert sum(got[i] == lang for i, (lang, _) in enumerate(rows)) >= 0.97 * len(rows)
+
+
 def test_quality_against_given_labels(corpus):
     """The labels are not used for fitting, only here."""
     docs, labels = corpus
