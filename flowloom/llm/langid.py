@@ -8,7 +8,6 @@ is one table lookup per byte and model.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -16,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.linear import byte_grams, descend, gram_counts, gram_matrix, gram_sums
@@ -130,16 +129,19 @@ def fit(rows: list, classes: list[str]) -> LanguageModel:
     return LanguageModel(families, pairs, members, np.ascontiguousarray(table.T.astype(np.float32)), np.concatenate(biases))
 
 
-def train(docs: DataFrame, text_column: str, lang_column: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
+def train(docs: DataFrame, id_column: str, text_column: str, lang_column: str, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Fit on a hash-chosen sample of labelled rows, balanced by language and bounded by their number."""
-    rows = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    rows = docs.select(F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(text_column).cast("string"), F.col(id_column).cast("string"), F.lit(7)).alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # one row per language
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("count")).orderBy("lang").collect()  # one row per language
     if not counts:
         return None
-    each = max(sample_rows / len(counts), LEAST_ROWS)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    pick = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang"))
+    each = max(sample_rows // len(counts), LEAST_ROWS)
+    # Well more than ``each`` rows of a language come through, and its first ones are taken.
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, (2 * each + 50) / max(1, r["count"])))])
+    pick = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang"))
+    first = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw")
+    rows = rows.where(pick).dropDuplicates(["lang", "draw"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= each)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +150,7 @@ def train(docs: DataFrame, text_column: str, lang_column: str, sample_rows: int
                 lang = batch.column(1).take(pa.array(block.rows))
                 yield pa.RecordBatch.from_arrays([lang, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
-    # Equal texts are picked together, so the limit is what bounds the sample.
-    sample = rows.where(pick).limit(math.ceil(2 * each * len(counts))).mapInArrow(counted, "lang string, ids binary, counts binary").collect()
+    sample = rows.select("text", "lang").mapInArrow(counted, "lang string, ids binary, counts binary").collect()
     sample = sorted(sample, key=lambda r: (r["lang"], r["ids"], r["counts"]))
     return fit(sample, [r["lang"] for r in counts]) if sample else None
 
@@ -163,15 +164,15 @@ def identify_languages(
 ) -> DataFrame:
     """Predict the language of every whole text.
 
-    Learns every language that occurs in rows that are not held out (see ``held_out``).  About
-    ``sample_rows`` of them are used, or ``LEAST_ROWS`` per language if that is more, and at most
-    twice as many.  Returns one row per input row: the id, ``held_out``,
+    Learns every language that occurs in rows that are not held out (see ``held_out``).  At most
+    ``sample_rows`` of them in equal parts are used, or ``LEAST_ROWS`` per language if that is
+    more, first by a hash of text and id; rows equal in both count once.  Returns one row per input row: the id, ``held_out``,
     ``lang_pred`` and ``score`` (0 to 1).  A text that is null or has no letter is ``und`` with
     score 0, and so is every text when there is nothing to learn from.  A null id counts
     as the empty text.  Repeated rows get equal results.
     """
     ident = F.col(id_column)
-    model = train(docs.where(~held_out(ident)), text_column, lang_column, sample_rows)
+    model = train(docs.where(~held_out(ident)), id_column, text_column, lang_column, sample_rows)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

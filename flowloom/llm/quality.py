@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.linear import byte_grams, descend, gram_counts, gram_matrix, gram_sums
@@ -171,8 +171,8 @@ def quality_scores(
 
     Returns one row per input row: id, ``weak_label`` (the posterior of its votes), ``score`` (of
     the linear scorer, 0 to 1) and ``good`` (score >= 0.5).  A text that is null or has no word
-    scores 0.  At most four times ``sample_rows`` documents, chosen by text hash, fit the scorer; votes and
-    their counts cover all documents.  Repeated rows get equal results; an empty table gives
+    scores 0.  At most ``sample_rows`` documents, half of them of each class and first by a hash of
+    text and id, fit the scorer (rows equal in both count once); votes and their counts cover all documents.  Repeated rows get equal results; an empty table gives
     no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -195,7 +195,7 @@ def quality_scores(
     def weak(block: Block) -> np.ndarray:
         return post[np.searchsorted(pattern, _vote_column(block))]
 
-    share = {c: min(1.0, sample_rows / 2 / max(1.0, float(n[(post >= 0.5) == c].sum()))) for c in (False, True)}
+    share = {c: min(1.0, (sample_rows + 50) / max(1.0, float(n[(post >= 0.5) == c].sum()))) for c in (False, True)}
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +206,16 @@ def quality_scores(
                 part = Block(block.rows[pick], block.data, block.starts[pick], block.ends[pick])
                 ids, counts = gram_counts(part, byte_grams(block, FEATURE_BITS, lower=False))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[pick]), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["label", "ids", "counts"]
+                    [pa.array(label[pick]), pa.array(draw[pick]), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["label", "draw", "ids", "counts"],
                 )
 
-    draw = (F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
-    # Equal texts are drawn together, so the limit is what bounds the sample.
-    sample = rows.select("text", draw).mapInArrow(sampled, "label double, ids binary, counts binary").limit(4 * sample_rows).collect()
+    draw = (F.pmod(F.xxhash64("text", "id", F.lit(13)), F.lit(1 << 50)) / float(1 << 50)).alias("draw")
+    # About twice as many of each class come through as are wanted, and the first ones are taken.
+    first = Window.partitionBy(F.col("label") >= 0.5).orderBy("draw")
+    sample = rows.select("text", draw).mapInArrow(sampled, "label double, draw double, ids binary, counts binary")
+    sample = sample.dropDuplicates(["draw"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows // 2)
+    sample = sample.select("label", "ids", "counts").collect()
     sample = sorted(sample, key=lambda r: (r["label"], r["ids"], r["counts"]))
     weights, bias = np.zeros((1, 1 << FEATURE_BITS), np.float32), np.array([np.log(good / (1 - good))])
     if sample:

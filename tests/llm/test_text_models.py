@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from plain import documents
 
+from flowloom.llm import langid
 from flowloom.llm.langid import identify_languages
 from flowloom.llm.quality import HEURISTICS, estimate, quality_scores
 
@@ -57,6 +59,22 @@ def test_every_language_is_learned(spark):
     assert sum(got[i] == lang for i, (lang, _) in enumerate(rows)) >= 0.97 * len(rows)
 
 
+def test_copies_crowd_no_language_out(spark):
+    """Whichever copied text is drawn, the other languages keep their rows."""
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for lang in ("x1", "x2", "x3")}
+    rows = [("x1", f"{' '.join(words['x1'])} {i % 3}") for i in range(6000)]
+    rows += [(lang, " ".join(rng.choices(words[lang], k=20))) for lang in ("x2", "x3") for _ in range(60)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    seen = []
+    plain = langid.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "fit", lambda sample, classes: seen.append(Counter(r["lang"] for r in sample)) or plain(sample, classes))
+        got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(docs.coalesce(1), sample_rows=90).collect()}
+    assert seen == [{"x1": 30, "x2": 30, "x3": 30}]
+    assert sum(got[i] == lang for i, (lang, _) in enumerate(rows)) >= 0.97 * len(rows)
+
+
 def test_quality_against_given_labels(corpus):
     """The labels are not used for fitting, only here."""
     docs, labels = corpus
