@@ -79,10 +79,61 @@ nodes AS (SELECT doc_id AS id FROM documents),
 {_classes("nodes", "links")}
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM classes LEFT JOIN sizes ON doc_id = id"""
 
+
+
+def _assigned(rows: str, books: str) -> str:
+    """Each part's nearest entry, ties to the lower index."""
+    return f"""SELECT vec_id, label, p, arg_min(e, (d, e)) AS e, min(d) AS d, any_value(v) AS v
+  FROM (SELECT r.vec_id, label, p, e, r.v, list_sum(list_transform(list_zip(r.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM {rows} r JOIN {books} b USING (p)) GROUP BY vec_id, label, p"""
+
+
+def _op12(rounds: int = 6) -> str:
+    books = "".join(
+        f""",
+sums{i} AS (SELECT p, e, i, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x FROM
+  (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM ({_assigned("parts", f"book{i}")})) GROUP BY ALL),
+book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.v, b.v) AS v FROM book{i} b
+  LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS v FROM sums{i} GROUP BY p, e) s USING (p, e))"""
+        for i in range(rounds)
+    )
+    return f"""WITH good AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS v FROM good, range(8) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM good ORDER BY vec_id LIMIT 16)),
+book0 AS MATERIALIZED (SELECT p, e, v FROM parts JOIN firsts USING (vec_id)){books},
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM book{rounds})),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM ({_assigned("parts", f"book{rounds}")}) GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"""
+
+
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+fails AS (SELECT doc_id, part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, doc_id > first_id AS e
+  FROM d JOIN firsts USING (t)),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, {{'A': a, 'B': b, 'C': c, 'D': d, 'E': e}} AS f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+masks AS (SELECT part, concat(if(f.A, 'A', ''), if(f.B, 'B', ''), if(f.C, 'C', ''), if(f.D, 'D', ''), if(f.E, 'E', '')) AS failed, n, good, toxic FROM cells),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+ranks AS (SELECT part, failed, n, good, toxic, o, list_min(list_transform(string_split(failed || 'z', ''), lambda x: if(x = 'z', 6, strpos(o, x)))) AS gone FROM masks, orders),
+steps AS (SELECT part, o AS filter_order, step, sum(if(gone > step, n, 0)) AS kept, sum(if(gone = step, n, 0)) AS removed,
+    sum(if(gone < step AND contains(failed, o[step]), n, 0)) AS redundant, sum(if(failed = o[step], n, 0)) AS unique_fails,
+    sum(if(gone = step, good, 0)) AS good_lost, sum(if(gone = step, toxic, 0)) AS toxic_lost FROM ranks, range(1, 6) s(step) GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM steps"""
+
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": OP2,
     "op5_quotation_linking": OP5,
     "op7_substring_dedup": OP7,
     "op9_source_mixing": OP9,
     "op10_ngram_jaccard_join": OP10,
+    "op12_vector_code_compression": _op12(),
+    "op13_filter_interaction_audit": OP13,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.filter_audit import audit_filters
 from flowloom.llm.jaccard import jaccard_components
 from flowloom.llm.langid import identify_languages
 from flowloom.llm.mixing import mix_plan
@@ -15,6 +16,7 @@ from flowloom.llm.quotes import link_quotations, quoted_mail
 from flowloom.llm.substrings import drop_repeated_passages
 from flowloom.llm.token_store import token_output
 from flowloom.llm.tokens import vocabulary_path
+from flowloom.llm.vector_codes import compress_vectors
 from flowloom.llm.vector_dedup import near_duplicate_vectors
 
 
@@ -65,6 +67,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -76,4 +86,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_vector_code_compression": op12_vector_code_compression,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
