@@ -14,6 +14,7 @@ from flowloom.llm.packing import pack_documents
 from flowloom.llm.quality import quality_scores
 from flowloom.llm.quotes import link_quotations, quoted_mail
 from flowloom.llm.substrings import drop_repeated_passages
+from flowloom.llm.token_counts import token_counts
 from flowloom.llm.token_store import token_output
 from flowloom.llm.tokens import vocabulary_path
 from flowloom.llm.vector_codes import compress_vectors
@@ -67,6 +68,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
+
+
 def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_token_counts": op11_token_counts,
     "op12_vector_code_compression": op12_vector_code_compression,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
