@@ -15,6 +15,7 @@ from flowloom.functions.features import mean_or_zero, port_count, std_or_zero, w
 from flowloom.functions.packets import ACK, SYN, SYN_OR_ACK, any_flag, ipv4_only, with_flow_key, with_tcp_fields
 from flowloom.functions.text import explanation, query_string
 from flowloom.operators import keys, schema_check
+from flowloom.operators.connections import connection_counters
 from flowloom.operators.explain import explain_anomalies, prompts
 from flowloom.operators.flows import (
     BIDIRECTIONAL,
@@ -24,6 +25,7 @@ from flowloom.operators.flows import (
     native_sessions,
     packet_flows,
 )
+from flowloom.operators.near import near_duplicates
 from flowloom.operators.records import dead_letters, screen_records, validate_and_fill, with_nonfinite_flags
 from flowloom.operators.retrieval import (
     class_centroids,
@@ -228,6 +230,19 @@ def feature_duplicates(spark, sf):
     return keys.duplicate_keys(features, FEATURE_COLUMNS)
 
 
+@query
+def near_duplicate_flows(spark, sf):
+    """Flows that chains of flows connect, each step at most 0.02 deviations wide in every feature."""
+    features = materialise(flow_features(event_packets(spark, sf)))
+    scaled = scale(features, fit_scaler(features, FEATURES))
+    return near_duplicates(scaled, "flow_id", FEATURES, 0.02)
+
+
+@query
+def connection_counters_(spark, sf):
+    return connection_counters(flow_totals(event_packets(spark, sf), EVENT_GAP_US))
+
+
 # --- records -----------------------------------------------------------------
 
 

@@ -659,3 +659,25 @@ ORACLES["unscaled_scores"] = with_ctes(
     + decided_ctes("u", [f"u{j}" for j in range(N)]),
     "SELECT flow_id, (round(prediction + 1e-9, 6) + 0.0) AS prediction, label, 'unscaled' AS score_status FROM dec",
 )
+ORACLES["connection_counters"] = with_ctes(
+    OBSERVED
+    + ["r AS (SELECT flow_id, src, dst, dport, proto, row_number() OVER (ORDER BY last_us, flow_id) AS r FROM flows)"],
+    """SELECT a.flow_id, count(*) FILTER (a.src = b.src) AS ct_src_ltm, count(*) FILTER (a.dst = b.dst) AS ct_dst_ltm,
+  count(*) FILTER (a.dport = b.dport AND a.proto = b.proto) AS ct_srv_ltm, count(*) FILTER (a.src = b.src AND a.dport = b.dport) AS ct_src_dport_ltm,
+  count(*) FILTER (a.src = b.src AND a.dst = b.dst) AS ct_dst_src_ltm FROM r a JOIN r b ON b.r BETWEEN a.r - 99 AND a.r GROUP BY a.flow_id""",
+)
+_FINE = ", ".join(f"CAST(round(z{j} / 1e-6 + 1e-3) AS BIGINT) AS w{j}" for j in range(N))
+_EVERY = ", ".join(f"w{j}" for j in range(N))
+ORACLES["near_duplicate_flows"] = with_ctes(
+    SCORED
+    + [
+        f"fine AS (SELECT flow_id, {_FINE} FROM labelled)",
+        f"points AS MATERIALIZED (SELECT min(flow_id) AS id, count(*) AS copies, {_EVERY} FROM fine GROUP BY {_EVERY})",
+        "near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id <> b.id AND "
+        + " AND ".join(f"abs(a.w{j} - b.w{j}) <= 20000" for j in range(N))
+        + ")",
+        "reach(id, r) AS (SELECT id, id FROM points UNION SELECT near.b, reach.r FROM reach JOIN near ON near.a = reach.id)",
+        "classes AS (SELECT id, min(r) AS near_id FROM reach GROUP BY id)",
+    ],
+    f"SELECT fine.flow_id, near_id, copies FROM fine JOIN points USING ({_EVERY}) JOIN classes USING (id)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
