@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.vectors import norm, unit
 from flowloom.schemas import TOP_K
-from flowloom.session import work_path
+from flowloom.session import open_folder, work_path
 
 # Query vectors lie in the shared folder in blocks of this size; a task reads them one after
 # the other for each shard of the corpus that it holds.
@@ -128,7 +127,7 @@ def _query_blocks(queries: DataFrame, block_bytes: int) -> list[str]:
 
 
 def _read_block(path: str) -> pa.Table:
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = open_folder(path)
     with system.open_input_file(name) as file:
         return pq.read_table(file)
 
@@ -166,9 +165,12 @@ def top_k(
                     best.add(docs, vectors)
                     yield pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
 
-    partial = corpus.mapInArrow(scan, HIT_SCHEMA)
+    return merged_hits(corpus.mapInArrow(scan, HIT_SCHEMA), k)
+
+
+def merged_hits(partial: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; every shard has k rows per query, so they are merged in two steps."""
     order = [F.desc("score"), F.col("doc_pos")]
-    # Every shard has k rows per query, so they are merged in two steps.
     salt = F.pmod(F.xxhash64("doc_pos"), F.lit(MERGE_SALTS))
     some = Window.partitionBy("query_id", "salt").orderBy(*order)
     best = Window.partitionBy("query_id").orderBy(*order)

@@ -25,6 +25,14 @@ from flowloom.operators.flows import (
     native_sessions,
     packet_flows,
 )
+from flowloom.operators.index import (
+    append_to_index,
+    build_index,
+    load_index,
+    pruned_search,
+    recall_by_probes,
+    unindexable,
+)
 from flowloom.operators.near import near_duplicates
 from flowloom.operators.records import dead_letters, screen_records, validate_and_fill, with_nonfinite_flags
 from flowloom.operators.retrieval import (
@@ -688,6 +696,49 @@ def search_all_vectors(spark, sf):
     return rounded(top_k(queries, vectors, skip_self=True))
 
 
+def _index(spark, sf):
+    """All vectors indexed: three in four at once, the others appended to the stored index."""
+    vectors = _vectors(spark, sf).select("doc_pos", "embedding")
+    path = work_path(spark, "index")
+    build_index(vectors.where("doc_pos % 4 <> 3"), path)
+    return append_to_index(load_index(spark, path), vectors.where("doc_pos % 4 = 3"))
+
+
+def _vector_queries(spark, sf):
+    return _vectors(spark, sf).select(F.col("doc_pos").alias("query_id"), "embedding")
+
+
+@query
+def pruned_search_(spark, sf):
+    """Every vector's five nearest others, from the stored index, without reading every list for each."""
+    return rounded(pruned_search(_vector_queries(spark, sf), _index(spark, sf), skip_self=True))
+
+
+@query
+def index_recall(spark, sf):
+    """How many of the exact five nearest a probing search finds, for a few numbers of probes."""
+    index = _index(spark, sf)
+    counts = sorted({1, 4, 16, index.probes})
+    found = recall_by_probes(_vector_queries(spark, sf), index, counts, skip_self=True)
+    return found.withColumn("by_default", F.col("probes") == index.probes)
+
+
+@query
+def index_left_out(spark, sf):
+    """Vectors that an index cannot hold: every fifth one here is cut short, emptied or made infinite."""
+    n, v = F.col("doc_pos"), F.col("embedding").cast("array<double>")
+    spoilt = (
+        F.when(n % 15 == 0, F.slice(v, 1, 3))
+        .when(n % 15 == 5, F.lit(None).cast("array<double>"))
+        .when(n % 15 == 10, F.transform(v, lambda x: x * float("inf")))
+        .otherwise(v)
+    )
+    vectors = _vectors(spark, sf).select("doc_pos", spoilt.alias("embedding"))
+    index = build_index(vectors, work_path(spark, "index"))
+    held = index.lists(spark).agg(F.lit("held").alias("reason"), F.count("*").alias("rows"))
+    return unindexable(vectors, index.centres.shape[1]).groupBy("reason").agg(F.count("*").alias("rows")).union(held)
+
+
 # --- explanations ------------------------------------------------------------
 
 

@@ -681,3 +681,6 @@ ORACLES["near_duplicate_flows"] = with_ctes(
     ],
     f"SELECT fine.flow_id, near_id, copies FROM fine JOIN points USING ({_EVERY}) JOIN classes USING (id)",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLES["pruned_search"] = ORACLES["search_all_vectors"]
+ORACLES["index_left_out"] = """SELECT CASE WHEN vec_id % 15 = 0 THEN 'length' WHEN vec_id % 15 = 5 THEN 'missing'
+  WHEN vec_id % 15 = 10 THEN 'not finite' ELSE 'held' END AS reason, count(*) AS rows FROM embeddings GROUP BY 1"""

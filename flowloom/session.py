@@ -66,3 +66,21 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``, without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def open_folder(uri: str):
+    """The Arrow file system of a shared folder or file, and the path in it.
+
+    Spark's names of stores are translated; a store that Arrow cannot reach is refused.
+    """
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else uri
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    known = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "s3": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+    if scheme not in known:
+        raise ValueError(f"tasks cannot open files in a {scheme}: folder; set spark.checkpoint.dir to a file, s3a, gs, abfss, dbfs or hdfs folder")
+    return fs.FileSystem.from_uri(f"{known[scheme]}:{rest}")
