@@ -29,9 +29,14 @@ _PLACES = "row long, length int, sequence_id long, offset int, certified boolean
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Sequences that pieces of these lengths need at least, by dual-feasible functions."""
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1) if len(lengths) else np.zeros(capacity + 1, np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same for ``count[n]`` pieces of length n, from 0 to ``capacity``."""
+    count = count.astype(np.int64)
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     many, room = np.cumsum(count), np.cumsum(count * size)
     best = -(-int(room[-1]) // capacity)
@@ -79,33 +84,36 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, path: str, c
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(path), np.uint32(end_id).tobytes()
-        step = 4 * capacity
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        names = [x.split()[0] for x in _PIECES.split(", ")]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                out: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
-                    ids += end
-                    for piece, first in enumerate(range(0, len(ids), step)):
-                        own = ids[first : first + step]
-                        for column, value in zip(out, (doc, piece, first // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
+            docs = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else batch.column(0).to_pylist()
+            for rows, ids, at in coder.encode_column(batch.column(1)):
+                ids = ids.astype("<u4")
+                out: list[list] = [[] for _ in types]
+                for row, low, high in zip(rows.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for piece, first in enumerate(range(0, high - low + 1, capacity)):
+                        own = ids[low + first : min(low + first + capacity, high)].tobytes()
+                        if first + capacity > high - low:
+                            own += end
+                        for column, value in zip(out, (docs[row], piece, first, len(own) // 4, zlib.crc32(own), own), strict=True):
                             column.append(value)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                names = [x.split()[0] for x in _PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(cut, _PIECES)
 
 
-def _packed(table: pa.Table, capacity: int, turn: int) -> pa.Table:
-    """Pack one group; keep the sequences it came with unless the new ones are fewer."""
+def _packed(table: pa.Table, capacity: int, turn: int, used: int) -> pa.Table:
+    """Pack one group; keep the sequences it came with unless the new ones are fewer.
+
+    ``used`` is the number of groups of all turns before: it keeps sequence numbers apart.
+    """
     column = lambda name: table.column(name).to_numpy()
     group, row, length = int(table.column("group")[0].as_py()), column("row"), column("length").astype(np.int64)
     where, offset, fill = best_fit_decreasing(length, capacity)
     certified = len(fill) <= lower_bound(length, capacity)
-    sequence = (np.int64(turn) << 56) + (np.int64(group) << 24) + where
+    sequence = (np.int64(used + group) << 24) + where
     fills = fill[where]
     if turn:
         old, at = np.unique(column("sequence_id"), return_inverse=True)
@@ -126,27 +134,27 @@ def _packed(table: pa.Table, capacity: int, turn: int) -> pa.Table:
     )
 
 
-def _packer(capacity: int, turn: int):
-    return lambda table: _packed(table, capacity, turn)
+def _packer(capacity: int, turn: int, used: int):
+    return lambda table: _packed(table, capacity, turn, used)
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """(row, sequence_id, offset) for pieces (row, length)."""
     whole = pieces.where(F.col("length") == capacity)
     parts = pieces.where(F.col("length") < capacity)
-    histogram = parts.groupBy("length").count().collect()  # at most ``capacity`` rows
-    lengths = np.repeat([r["length"] for r in histogram], [r["count"] for r in histogram]) if histogram else np.empty(0, np.int64)
-    bound, total = lower_bound(lengths.astype(np.int64), capacity), len(lengths)
-    del lengths
+    count = np.zeros(capacity + 1, np.int64)
+    for r in parts.groupBy("length").count().collect():  # at most ``capacity`` rows
+        count[r["length"]] = r["count"]
+    bound, total = bound_of_counts(count, capacity), int(count.sum())
     alone = whole.select("row", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).alias("offset"))
-    settled, turn, last = [], 0, None
+    settled, turn, last, used = [], 0, None, 0
     left = parts.select(
         "row", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).alias("offset"), F.xxhash64("row").alias("_deal")
     )
     while total:
         groups = max(1, -(-total // GROUP_PIECES))
         dealt = left.withColumn("group", F.pmod("_deal", F.lit(groups)).cast("int")).drop("_deal")
-        packed = stored(dealt.groupBy("group").applyInArrow(_packer(capacity, turn), _PLACES), f"pack-{turn}")
+        packed = stored(dealt.groupBy("group").applyInArrow(_packer(capacity, turn, used), _PLACES), f"pack-{turn}")
         done = F.col("certified")
         state = packed.agg(
             F.count_distinct("sequence_id").alias("n"),
@@ -159,7 +167,8 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
             break
         settled.append(packed.where(done))
         left = packed.where(~done).select("row", "length", "sequence_id", "offset", F.xxhash64("sequence_id", F.lit(turn)).alias("_deal"))
-        bound, last, total, turn = bound - state["kept"], state["n"] - state["kept"], state["open"], turn + 1
+        bound, last, total = bound - state["kept"], state["n"] - state["kept"], state["open"]
+        turn, used = turn + 1, used + groups
     for part in settled:
         alone = alone.union(part.select("row", "sequence_id", "offset"))
     return alone
