@@ -177,30 +177,30 @@ def write_tokens(
     parts = max(shuffle_partitions(rows.sparkSession), -(-total // TEXT_BYTES))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, part, number = encoder(path), np.uint32(end_id).tobytes(), TaskContext.get().partitionId(), 0
-        uids: list[int] = []
-        ids: list[bytes] = []
+        coder, end, part, number = encoder(path), np.array([end_id], "<u4"), TaskContext.get().partitionId(), 0
+        uids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            size = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = np.concatenate([[0], np.cumsum(size)])
-            raw = encode_file(np.array(uids, np.int64), starts, np.frombuffer(b"".join(ids), "<u4"), chunk_bits)
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            raw = encode_file(np.concatenate(uids), starts, np.concatenate(ids), chunk_bits)
             saved = _write(folder, f"tokens-{part:08d}-{number:06d}.dac", raw)
-            row = [[part], [number], [saved], [len(uids)], [int(starts[-1])]]
+            row = [[part], [number], [saved], [len(starts) - 1], [int(starts[-1])]]
             types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                coded = [x + end for x in coder.encode([t or "" for t in some.column(1).to_pylist()])]
-                uids += some.column(0).to_pylist()
-                ids += coded
-                held += sum(map(len, coded)) // 4
+            own = batch.column(0).to_numpy()
+            for some, coded, at in coder.encode_column(batch.column(1)):
+                uids.append(own[some])
+                sizes.append(np.diff(at) + 1)
+                ids.append(np.insert(coded.astype("<u4"), at[1:], end))
+                held += len(ids[-1])
                 if held >= FILE_TOKENS:
                     yield flush()
-                    uids, ids, held, number = [], [], 0, number + 1
+                    uids, sizes, ids, held, number = [], [], [], 0, number + 1
         if uids:
             yield flush()
 
