@@ -6,8 +6,9 @@ other where one of the two is new to the list; nodes keep the best.  Turns end w
 change.  A query walks the graph: it expands the best nodes of its pool that it has not
 expanded yet, until the best ``EXPAND`` are all expanded.
 
-Graph and walk use copies of the vectors with a scale and a byte per component; what is
-returned is scored anew in double precision on the original vectors.
+Graph and walk use copies of the vectors with four bytes per component; what is returned is
+scored anew in double precision on the original vectors.  Vectors of different lengths have no
+inner product: each length has a graph of its own.
 
 Equal vectors are one node with their smallest ids, which join the found nodes again before the
 last ranking.  Queries with equal vectors share one walk and one ranking.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import stored
+from flowloom.llm.common import row_key, stored
 from flowloom.llm.vector_dedup import usable
 
 DEGREE = 40  # neighbours kept by a node
@@ -41,16 +42,12 @@ _GRAPH = "id long, vec binary, near array<long>, score array<float>, fresh array
 
 
 def _packed(vectors: np.ndarray, top: float) -> pa.Array:
-    """Vectors, divided by ``top``, as a four-byte scale and a signed byte per component each."""
-    most = np.abs(vectors).max(1, keepdims=True)
-    steps = np.rint(vectors / most * 127).astype(np.int8)
-    scale = (most / top / 127).astype("<f4")
-    return pa.array([a.tobytes() + b.tobytes() for a, b in zip(scale, steps, strict=True)], pa.binary())
+    """Vectors, divided by ``top``, with four bytes per component."""
+    return pa.array([x.tobytes() for x in (vectors / top).astype("<f4")], pa.binary())
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    raw = np.frombuffer(b"".join(x.as_buffer() for x in column), np.int8).reshape(len(column), -1)
-    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), "<f4").reshape(len(column), -1)
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -268,22 +265,32 @@ def nearest_neighbours(
 
     Returns query_id, rank (from 1), the id and score (inner product of the original vectors in
     double precision), nearest first, ties to the smaller id; a query is never its own
-    neighbour, and gets all other rows if there are fewer than ``k``.  Vectors that are null,
-    empty, zero, hold null or non-finite components, have another length than most, or a null
-    id, take no part.  Of rows with equal ids one takes part.  Other columns are not read.
-    ``k`` may be at most ``POOL``.
+    neighbour, and gets all other rows of its length if there are fewer than ``k``.  Vectors that
+    are null, empty, zero, hold null or non-finite components, or have a null id, take no part.
+    Rows with equal ids take part each, in the order of their vectors' hashes.  Other columns are
+    not read.  ``k`` may be at most ``POOL``.  An empty table gives no rows.
     """
     if k > POOL:
         raise ValueError(f"k may be at most {POOL}")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("x"))
-    rows = rows.where(usable(F.col("x")) & F.col("id").isNotNull())
-    most = rows.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("count"), F.max(F.array_max(F.transform("x", F.abs))).alias("top"))
-    most = most.orderBy(F.desc("count"), "n").first()
-    if most is None:
+    rows = vectors.select(F.col(id_column).cast("long").alias("own"), F.col(vector_column).cast("array<double>").alias("x"))
+    rows, key = row_key(rows.where(usable(F.col("x")) & F.col("own").isNotNull()), "own", "x")
+    asked = (F.col("own") % every == 0).alias("asked")
+    rows = stored(rows.select(F.col(key).alias("id"), "own", "x", asked), "ann-vectors")
+    found = None
+    for length in rows.groupBy(F.size("x").alias("n")).agg(F.max(F.array_max(F.transform("x", F.abs))).alias("top")).orderBy("n").collect():
+        part = _nearest(rows.where(F.size("x") == length["n"]), float(length["top"]), k)
+        found = part if found is None else found.union(part)
+    if found is None:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_column}` long, score double")
-    rows = rows.where(F.size("x") == most["n"]).groupBy("id").agg(F.min("x").alias("x"))
-    rows = stored(rows, "ann-vectors")
-    top = float(most["top"])
+    if key != "own":  # give the ids back
+        ids = rows.select("id", "own")
+        found = found.join(ids, "id").drop("id").withColumnRenamed("own", "id")
+        found = found.join(ids.withColumnsRenamed({"id": "query_id", "own": "asker"}), "query_id").drop("query_id").withColumnRenamed("asker", "query_id")
+    return found.select("query_id", "rank", F.col("id").alias(id_column), "score")
+
+
+def _nearest(rows: DataFrame, top: float, k: int) -> DataFrame:
+    """(query_id, rank, id, score) for vectors (id, x, asked) of one length."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +300,7 @@ def nearest_neighbours(
     whole = _distinct(rows, k + 1)
     nodes = stored(whole.select("id", "x").mapInArrow(packed, "id long, vec binary"), "ann-nodes")
     graph = neighbour_graph(nodes, nodes.count())
-    asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "x", _salt("id"))
+    asked = rows.where("asked").select(F.col("id").alias("query_id"), "x", _salt("id"))
     homes = asked.select("x", "salt").distinct().join(whole.select("x", F.col("id").alias("node")), "x")  # at most SALTS for a node
     homes = stored(homes, "ann-homes")
     asked = asked.join(homes, ["x", "salt"]).select("query_id", "node", "salt")
@@ -314,4 +321,4 @@ def nearest_neighbours(
     answers = asked.join(ranked.join(homes, "node"), ["node", "salt"])
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     answers = answers.select("query_id", F.posexplode(others).alias("place", "b"))
-    return answers.select("query_id", (F.col("place") + 1).alias("rank"), F.col("b.id").alias(id_column), F.col("b.score").alias("score"))
+    return answers.select("query_id", (F.col("place") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.score").alias("score"))

@@ -96,26 +96,41 @@ def near_duplicate_vectors(
     ``component_id`` (the smallest id reachable by links, itself included) and ``kept``.
     Every pair that is returned as linked was verified in double precision; the index may miss
     pairs that share fewer than ``shared`` of their ``prefix`` nearest pivots.  Vectors that are
-    null, empty, zero, hold null or non-finite components, or have another length than most,
-    link with nothing.  Rows with equal ids and vectors link like any others; a null id stays null and
+    null, empty, zero, or hold null or non-finite components link with nothing.  Vectors of different
+    lengths do not link; each length has an index of its own.  An empty table gives no rows.  Rows with equal ids and vectors link like any others; a null id stays null and
     links with nothing.  Pivots are a hash-chosen sample of the vectors, 4 * sqrt(n) of them,
     at most ``MOST_PIVOTS``; every vector is indexed.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(
         F.col(id_column).cast("long").alias("id"),
         F.col(label_column).cast("string").alias("label"),
         F.col(vector_column).cast("array<double>").alias("embedding"),
     )
     good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
+    classes = None
+    for length in good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():
+        part = _classes_of_length(good.where(F.size("embedding") == length["n"]), length["rows"], least, prefix, shared)
+        classes = part if classes is None else classes.union(part)
+    if classes is None:
         return rows.select(F.col("id").alias(id_column), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("embedding") == lengths["n"])
+    usable_row = usable(F.col("l.embedding")) & F.col("l.id").isNotNull()
+    same = (F.col("l.label") == F.col("r.label")) & (F.col("l.embedding") == F.col("r.embedding")) & usable_row
+    out = rows.alias("l").join(classes.alias("r"), same, "left")
+    component = F.coalesce("r.first", "l.id")
+    return out.select(
+        F.col("l.id").alias(id_column),
+        (F.coalesce("r.links", F.lit(0)) + F.coalesce(F.col("r.copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("l.id") == component, F.lit(True)).alias("kept"),
+    )
+
+
+def _classes_of_length(good: DataFrame, count: int, least: float, prefix: int, shared: int) -> DataFrame:
+    """(label, embedding, copies, links, first) for distinct labelled vectors of one length."""
     whole = good.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     whole = whole.select(F.monotonically_increasing_id().alias("node"), "rep", "label", "embedding", "copies")
     whole = stored(whole, "vectors")
-    wanted = int(min(MOST_PIVOTS, max(16, PIVOTS_PER_ROOT * lengths["count"] ** 0.5)))
+    wanted = int(min(MOST_PIVOTS, max(16, PIVOTS_PER_ROOT * count ** 0.5)))
     sample = whole.orderBy(F.xxhash64("rep", F.lit(11)), "rep").limit(wanted).select("embedding").toArrow()
     pivots = unit_rows(sample.column("embedding").combine_chunks()).astype(np.float32)
     depth = min(prefix, len(pivots))
@@ -145,17 +160,7 @@ def near_duplicate_vectors(
     labels = components(found.select(F.col("node").alias("a"), F.col("class").alias("b")).where("a <> b"))
     classes = whole.join(degree, "node", "left").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = classes.groupBy("component").agg(F.min("rep").alias("first"))
-    classes = classes.join(first, "component").select("label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first")
-    usable_row = usable(F.col("l.embedding")) & F.col("l.id").isNotNull()
-    same = (F.col("l.label") == F.col("r.label")) & (F.col("l.embedding") == F.col("r.embedding")) & usable_row
-    out = rows.alias("l").join(classes.alias("r"), same, "left")
-    component = F.coalesce("r.first", "l.id")
-    return out.select(
-        F.col("l.id").alias(id_column),
-        (F.coalesce("r.links", F.lit(0)) + F.coalesce(F.col("r.copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("l.id") == component, F.lit(True)).alias("kept"),
-    )
+    return classes.join(first, "component").select("label", "embedding", "copies", F.coalesce("links", F.lit(0)).alias("links"), "first")
 
 
 def _lister(least: float, shared: int):

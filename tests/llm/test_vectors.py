@@ -90,7 +90,7 @@ def test_few_vectors_give_all_candidates(spark):
     rng = random.Random(4)
     rows = [(i, [rng.random() for _ in range(4)], 0) for i in range(12)] + [(3, [1.0, 1.0, 1.0, 1.0], 0)]
     got = nearest_neighbours(table(spark, rows)).collect()
-    assert sorted(r["vec_id"] for r in got) == list(range(1, 12))
+    assert sorted(r["vec_id"] for r in got) == sorted([*range(1, 12), 3])  # every row is a candidate
     assert nearest_neighbours(table(spark, [])).count() == 0
     assert nearest_neighbours(table(spark, rows[:1])).count() == 0
 
@@ -107,3 +107,27 @@ def test_equal_vectors_rank_by_id(spark):
     group = [q for q in want if 1000 <= q < 1700]
     assert [got[q] for q in group] == [want[q] for q in group]
     assert sum(len({*got[q]} & {*want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_recall_inside_a_dense_group(spark):
+    rng = np.random.default_rng(8)
+    rows = clustered(2500, 9, dims=64, spread=0.4)
+    centre = np.array(rows[0][1])
+    rows += [(10_000 + i, [float(x) for x in (centre * (1 + 0.02 * rng.normal(size=64))).astype(np.float32)], 0) for i in range(500)]
+    got = {}
+    for r in nearest_neighbours(table(spark, rows).repartition(4)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(rows)
+    dense = [q for q in want if q >= 10_000]
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in dense) >= 0.95 * 20 * len(dense)
+    others = [q for q in want if q < 10_000]
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in others) >= 0.95 * 20 * len(others)
+
+
+def test_other_lengths_and_repeated_ids_take_part(spark):
+    rows = clustered(60, 10) + [(100, [1.0, 2.0], 1), (101, [1.0, 2.0], 1), (102, [2.0, 1.0], 1), (100, [1.0, 2.1], 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(table(spark, rows[:-1])).collect()}
+    assert got[100] == got[101] == (1, 100) and got[102] == (0, 102)
+    found = [tuple(r) for r in nearest_neighbours(table(spark, rows)).where("query_id = 100").collect()]
+    assert sorted(i for _, _, i, _ in found) == [100, 100, 101, 101, 102, 102]  # each of both asks for all others
+    assert sorted(rank for _, rank, _, _ in found) == [1, 1, 2, 2, 3, 3]
