@@ -62,11 +62,14 @@ def fitting_slice_us(
     only task sizes do.
     """
     slice_us = default_slice_us(gap_us)
-    if plan_bytes(packets) < most:
-        return slice_us
-    keyed = _keyed(packets, mode).where(F.pmod(F.xxhash64("pkt_id"), F.lit(SAMPLE)) == 0)
+    return slice_us if plan_bytes(packets) < most else _fitting(_keyed(packets, mode), KEY, slice_us, most)
+
+
+def _fitting(packets: DataFrame, keys: list[str], slice_us: int, most: int) -> int:
+    """The widest of ``slice_us`` and its sixteenths with at most about ``most`` packets per key and slice."""
+    keyed = packets.where(F.pmod(F.xxhash64("pkt_id"), F.lit(SAMPLE)) == 0)
     while slice_us > 1:
-        parts = keyed.selectExpr(*KEY, f"ts_us - pmod(ts_us, {slice_us}L) AS slice_us").groupBy(*SLICE).count()
+        parts = keyed.selectExpr(*keys, f"ts_us - pmod(ts_us, {slice_us}L) AS slice_us").groupBy(*keys, "slice_us").count()
         if SAMPLE * (parts.agg(F.max("count")).first()[0] or 0) <= most:
             break
         slice_us = max(1, slice_us // 16)
@@ -433,16 +436,21 @@ def native_sessions(
     )
 
 
-def distinct_sources(packets: DataFrame, window_us: int, slice_us: int | None = None) -> DataFrame:
+def distinct_sources(
+    packets: DataFrame, window_us: int, slice_us: int | None = None, most: int = MOST_PACKETS
+) -> DataFrame:
     """Per packet, the distinct sources its destination heard in the ``window_us`` up to it.
 
     The presence of a source at a destination is a set of time intervals: flows of the pair
     with the window as idle gap, each lasting the window beyond its last packet.  The count is
     a running sum of starts and ends, taken inside time slices and then over slices, so a
-    busy destination is spread over its slices.
+    busy destination is spread over its slices.  Any width of slices gives the same result; a
+    destination that is attacked inside one narrows them.
     """
-    slice_us = slice_us or 16 * window_us
     p = ipv4_only(packets)
+    if slice_us is None:
+        slice_us = max(1, 16 * window_us)
+        slice_us = slice_us if plan_bytes(packets) < most else _fitting(p, ["dst"], slice_us, most)
     zero = F.lit(0)
     pairs = flow_totals(p.withColumns({"sport": zero, "dport": zero, "proto": zero}), window_us)
     no_packet = F.lit(None).cast("long").alias("pkt_id")

@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from flowloom.functions.vectors import norm, unit
 from flowloom.schemas import TOP_K
@@ -239,17 +240,28 @@ class CorpusEncoder:
         return len(self.idf)
 
     def __call__(self, texts: DataFrame, key: str = "doc_pos", text: str = "input") -> DataFrame:
-        """Add ``embedding`` by ``key``, which must be unique; a text without words has zeros."""
-        weights = F.array(*map(F.lit, self.idf))
-        counts = texts.select(key, F.explode(word_buckets(F.col(text), self.dim)).alias("i")).groupBy(key, "i").count()
-        entry = F.struct("i", (F.col("count") * F.get(weights, F.col("i"))).alias("w"))
-        rows = counts.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # at most ``dim``
-        total = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
-        dense = "transform(sequence(0, {}), j -> coalesce(CAST(spread[j] AS DOUBLE) / length, 0D))".format(self.dim - 1)
-        rows = rows.select(key, F.map_from_entries("entries").alias("spread"), F.sqrt(total).alias("length"))
-        rows = rows.select(key, F.when(F.col("length") > 0, F.expr(dense)).alias("embedding"))
-        zeros = F.expr(f"array_repeat(0D, {self.dim})")
-        return texts.join(rows, key, "left").withColumn("embedding", F.coalesce("embedding", zeros))
+        """Add ``embedding``, row by row; a text without words, or null, has zeros."""
+        weights, dim = np.array(self.idf), self.dim
+        step = max(1, SCORE_CELLS // dim)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    buckets = part.column(part.num_columns - 1)
+                    row = np.repeat(np.arange(part.num_rows), np.diff(buckets.offsets.to_numpy()))
+                    cells = row * dim + buckets.flatten().to_numpy()
+                    vectors = np.bincount(cells, minlength=part.num_rows * dim).reshape(-1, dim) * weights
+                    length = np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+                    vectors /= np.where(length > 0, length, 1)
+                    offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
+                    column = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*part.schema.names[:-1], "embedding"])
+
+        rest = texts.drop("embedding")
+        buckets = F.coalesce(word_buckets(F.col(text), dim), F.array().cast("array<int>")).alias("embedding")
+        schema = StructType([*rest.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+        return rest.select(*rest.columns, buckets).mapInArrow(count, schema)
 
 
 def word_buckets(text: Column, dim: int) -> Column:

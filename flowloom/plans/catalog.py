@@ -72,6 +72,7 @@ from flowloom.sources.records import (
     feature_line,
     lines_from_events,
     bad_corpus_lines,
+    corpus_lines,
     read_corpus,
     read_lines,
     write_corpus,
@@ -117,12 +118,11 @@ def rounded(df: DataFrame) -> DataFrame:
     Half microseconds are frequent (the deviation of two gaps is half their difference);
     the nudge keeps such ties on one side.
     """
-    return df.selectExpr(
-        *[
-            f"round({quoted(name)} + 1e-9D, 6) AS {quoted(name)}" if kind == "double" else quoted(name)
-            for name, kind in df.dtypes
-        ]
-    )
+    return df.selectExpr(*[_rounded(name, kind) for name, kind in df.dtypes])
+
+
+def _rounded(name: str, kind: str) -> str:
+    return f"round({quoted(name)} + 1e-9D, 6) AS {quoted(name)}" if kind == "double" else quoted(name)
 
 
 # --- packets and flows -------------------------------------------------------
@@ -688,6 +688,20 @@ def corpus_lines_placed(spark, sf):
     return bad.union(good)
 
 
+@query
+def corpus_positions(spark, sf):
+    """Lines with and without positions, some given twice, some broken: where each one ends up."""
+    path = work_path(spark, "corpus-lines")
+    n = F.col("doc_pos")
+    given = F.when(n % 10 == 0, F.floor(n / 10)).when(n % 10 == 1, F.floor(n / 20))
+    doc = F.to_json(F.struct(given.alias("doc_pos"), F.concat(F.lit("text "), n.cast("string")).alias("input")))
+    line = F.when(n % 7 == 3, F.concat(F.lit("{"), doc)).otherwise(doc)
+    _corpus(spark, sf).orderBy("doc_pos").select(line.alias("value")).write.text(path)  # files in this order
+    return corpus_lines(spark, path).select(
+        F.when(F.col("reason").isNull(), F.col("doc_pos")).alias("doc_pos"), F.regexp_extract("line", r"text (\d+)", 1).alias("text"), "reason"
+    )
+
+
 @query
 def search_all_vectors(spark, sf):
     """Every vector searched for its five nearest others."""
@@ -767,9 +781,9 @@ def explanation_status(spark, sf):
 
 def _explainable(spark, sf):
     """Labelled flows, stored; features are rounded for the texts, scaled ones are not."""
-    labelled = _labelled(spark, sf)
-    shown = rounded(labelled.select("flow_id", "first_us", "label", "prediction", *FEATURE_COLUMNS))
-    return materialise(shown.join(labelled.select("flow_id", *[quoted(PREFIX + f) for f in FEATURES]), "flow_id"))
+    labelled, shown = _labelled(spark, sf), {"flow_id", "first_us", "label", "prediction", *FEATURES}
+    texts = [_rounded(name, kind) for name, kind in labelled.dtypes if name in shown]
+    return materialise(labelled.selectExpr(*texts, *[quoted(PREFIX + f) for f in FEATURES]))
 
 
 @query

@@ -684,3 +684,10 @@ ORACLES["near_duplicate_flows"] = with_ctes(
 ORACLES["pruned_search"] = ORACLES["search_all_vectors"]
 ORACLES["index_left_out"] = """SELECT CASE WHEN vec_id % 15 = 0 THEN 'length' WHEN vec_id % 15 = 5 THEN 'missing'
   WHEN vec_id % 15 = 10 THEN 'not finite' ELSE 'held' END AS reason, count(*) AS rows FROM embeddings GROUP BY 1"""
+ORACLES["corpus_positions"] = """WITH l AS (SELECT doc_id AS n, row_number() OVER (ORDER BY doc_id) - 1 AS place, doc_id % 7 = 3 AS broken,
+    CASE doc_id % 10 WHEN 0 THEN doc_id // 10 WHEN 1 THEN doc_id // 20 END AS given FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY given, broken ORDER BY place) AS nth FROM l),
+top AS (SELECT max(given) FILTER (NOT broken) AS most, count(*) FILTER (given IS NULL AND NOT broken AND place IN (SELECT given FROM l WHERE NOT broken)) AS hit FROM l)
+SELECT CASE WHEN broken OR (given IS NOT NULL AND nth > 1) THEN NULL WHEN given IS NOT NULL THEN given
+    WHEN hit > 0 THEN most + 1 + place ELSE place END AS doc_pos, n::VARCHAR AS text,
+  CASE WHEN broken THEN 'malformed' WHEN given IS NOT NULL AND nth > 1 THEN 'repeated_position' END AS reason FROM g, top"""

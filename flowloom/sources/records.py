@@ -37,7 +37,9 @@ def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every non-blank corpus line: ``line``, ``doc_pos``, ``input``, ``output`` and ``reason``.
 
     ``reason`` is null for a document and says otherwise why the line is none.  A line without
-    ``doc_pos`` takes its place among all lines, in the order of files and of lines in them.
+    ``doc_pos`` takes its place among all lines, in the order of files and of lines in them; if a
+    given position is one of these places, all such lines come after the largest given one
+    instead.  Of lines with one given position the first has it, the others are ``repeated_position``.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -52,10 +54,22 @@ def corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     parsed = parsed.select("line", "_file", "_start", "_order", "doc.doc_pos", "doc.input", "doc.output", reason.alias("reason"))
     columns = ["line", "doc_pos", "input", "output", "reason"]
-    if parsed.where("reason IS NULL AND doc_pos IS NULL").isEmpty():
+    good = parsed.where("reason IS NULL")
+    positions = good.groupBy("doc_pos").agg(F.count("*").alias("n"))
+    if positions.where("doc_pos IS NULL OR n > 1").isEmpty():
         return parsed.select(*columns)
     placed = number_rows(parsed, ["_file", "_start", "_order"], "_place", start=0)
-    return placed.withColumn("doc_pos", F.coalesce("doc_pos", "_place")).select(*columns)
+    good = placed.where("reason IS NULL")
+    firsts = good.where("doc_pos IS NOT NULL").groupBy("doc_pos").agg(F.min("_place").alias("_first"))
+    taken = good.where("doc_pos IS NULL").join(firsts.select(F.col("doc_pos").alias("_given")), F.col("_place") == F.col("_given"), "left_semi")
+    start = 0 if taken.isEmpty() else firsts.agg(F.max("doc_pos")).first()[0] + 1
+    late = F.col("reason").isNull() & (F.col("_place") > F.col("_first"))
+    return (
+        placed.join(firsts, "doc_pos", "left")
+        .withColumn("reason", F.when(late, "repeated_position").otherwise(F.col("reason")))
+        .withColumn("doc_pos", F.coalesce("doc_pos", F.col("_place") + start))
+        .select(*columns)
+    )
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -117,3 +117,32 @@ def test_distinct_sources_equal_a_plain_count(spark):
         r[0]: len({q[4] for q in rows if q[5] == r[5] and r[1] - window < q[1] <= r[1]}) for r in rows
     }
     assert got == want
+
+
+def test_given_and_missing_positions_never_meet(spark, tmp_path):
+    lines = ['{"input": "a"}', '{"input": "b", "doc_pos": 0}', '{"input": "c"}', '{"input": "d", "doc_pos": 2}', '{"input": "e", "doc_pos": 2}', "{no"]
+    (tmp_path / "c.jsonl").write_text("\n".join(lines))
+    assert {r["input"]: r["doc_pos"] for r in read_corpus(spark, str(tmp_path)).collect()} == {"a": 3, "b": 0, "c": 5, "d": 2}
+    assert {r["line"]: r["reason"] for r in bad_corpus_lines(spark, str(tmp_path)).collect()} == {lines[4]: "repeated_position", "{no": "malformed"}
+
+
+def test_corpus_is_encoded_row_by_row(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} other {i} word{i % 7}", "x") for i in range(50)], "doc_pos long, input string, embedding string")
+    encoder = fit_corpus_encoder(docs, 64)
+    encoded = encode_corpus(docs, encoder)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    assert encoded.columns == ["doc_pos", "input", "embedding"]
+    twice = encode_corpus(docs.union(docs), encoder).groupBy("doc_pos", "embedding").count().collect()
+    assert len(twice) == 50 and all(r["count"] == 2 and len(r["embedding"]) == 64 for r in twice)
+    assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in twice)
+
+
+def test_attacked_destination_narrows_the_slices(spark):
+    from helpers import frame, packet
+
+    rng = random.Random(6)
+    rows = [packet(i, rng.randrange(3_000_000), src=f"h{rng.randrange(30)}", dst="victim") for i in range(1500)]
+    packets = frame(spark, rows)
+    wide = {tuple(r) for r in distinct_sources(packets, 100_000).collect()}
+    assert {tuple(r) for r in distinct_sources(packets, 100_000, most=64).collect()} == wide
+    assert len(wide) == 1500
