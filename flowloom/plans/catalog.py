@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.features import mean_or_zero, port_count, std_or_zero, with_features
 from flowloom.functions.packets import ACK, SYN, SYN_OR_ACK, any_flag, ipv4_only, with_flow_key, with_tcp_fields
 from flowloom.functions.text import explanation, query_string
-from flowloom.operators import keys, schema_check
+from flowloom.operators import keys, schema_check, tables
 from flowloom.operators.connections import connection_counters
 from flowloom.operators.explain import explain_anomalies, prompts
 from flowloom.operators.flows import (
@@ -56,6 +56,7 @@ from flowloom.operators.scoring import (
     label_counts,
     label_of,
 )
+from flowloom.operators.trees import Tree, TreeScorer
 from flowloom.plans.flows import EVENT_GAP_US, FLOW_COLUMNS, event_packets, flow_features, table
 from flowloom.plans.scoring import (
     PREFIX,
@@ -421,6 +422,37 @@ def unscaled_scores(spark, sf):
     return rounded(label_rows(small, None).select("flow_id", "prediction", "label", "score_status"))
 
 
+def _rule_forest() -> list[Tree]:
+    """Three trees of three splits per class, given by a rule; missing values go left on even trees."""
+    trees = []
+    for t in range(3 * len(LABELS)):
+        features = [(7 * t + 5 * n) % len(FEATURES) for n in range(3)]
+        thresholds = [((t * 5 + n * 3) % 9 - 4) / 8 for n in range(3)]
+        leaves = [((t * 3 + n * 7) % 13 - 6) / 10 for n in range(4)]
+        trees.append(
+            Tree(
+                t % len(LABELS),
+                [*features, -1, -1, -1, -1],
+                [*thresholds, 0, 0, 0, 0],
+                [1, 3, 5, 0, 0, 0, 0],
+                [2, 4, 6, 0, 0, 0, 0],
+                [t % 2 == 0] * 7,
+                [0, 0, 0, *leaves],
+            )
+        )
+    return trees
+
+
+@query
+def tree_probabilities(spark, sf):
+    """An ensemble of trees over scaled features, of which every flow lacks some."""
+    features = materialise(flow_features(event_packets(spark, sf)))
+    scaled = with_scaled(features, fit_scaler(features, FEATURES))
+    lacking = {PREFIX + f: F.when((F.col("flow_id") + j) % 7 != 0, F.col(quoted(PREFIX + f))) for j, f in enumerate(FEATURES)}
+    scorer = TreeScorer(_rule_forest(), [(c % 4) / 10 for c in range(len(LABELS))], PREFIX)
+    return rounded(_long_probs(scorer(scaled.withColumns(lacking))))
+
+
 @query
 def argmax_label(spark, sf):
     best = argmax(F.col("probs"))
@@ -531,6 +563,28 @@ def results_csv_roundtrip(spark, sf):
     )
 
 
+@query
+def bucket_upsert(spark, sf):
+    """Predictions of anomalies go into a stored table; only their buckets are rewritten."""
+    labelled = materialise(_labelled(spark, sf))
+    path = work_path(spark, "bucketed-results")
+    tables.write_buckets(_stored(labelled), path, "row_id")
+    found = _predictions(anomalies(labelled))
+    tables.rewrite_buckets(spark, path, "row_id", found, lambda old: keys.apply_predictions(old, found))
+    updated = tables.read_buckets(spark, path)
+    return rounded(updated.select("row_id", "sbytes", "dur", "prediction", "label", "rag_output"))
+
+
+@query
+def bucket_delete(spark, sf):
+    """Toxic documents are deleted from a stored table, bucket by bucket."""
+    path = work_path(spark, "bucketed-documents")
+    tables.write_buckets(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), path, "doc_id")
+    toxic = table(spark, sf, "labels").where(F.col("toxic") == 1)
+    tables.delete_from_buckets(spark, path, "doc_id", toxic)
+    return tables.read_buckets(spark, path)
+
+
 # --- keys and lookups --------------------------------------------------------
 
 
@@ -599,6 +653,24 @@ def head_rows(spark, sf):
     return keys.head(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
 
 
+@query
+def range_table_scan(spark, sf):
+    """A key range of a table stored by ranges: only the parts that reach into it are read."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    path = work_path(spark, "ranges")
+    tables.write_ranges(orders, path, "o_totalprice", ("o_orderkey",), parts=16)
+    return tables.read_range(spark, path, "o_totalprice", 100000.0, 150000.0).select("o_orderkey", "o_totalprice")
+
+
+@query
+def bucketed_lookup(spark, sf):
+    """Orders with a large line item, both sides stored by key, so that neither moves."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    stored = tables.write_bucketed(orders, work_path(spark, "orders"), "l_orderkey", 8)
+    items = tables.write_bucketed(table(spark, sf, "lineitem"), work_path(spark, "lineitem"), "l_orderkey", 8)
+    return keys.lookup_many(spark.table(stored), spark.table(items).where("l_quantity >= 50"), "l_orderkey")
+
+
 # --- retrieval ---------------------------------------------------------------
 
 

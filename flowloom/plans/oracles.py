@@ -691,3 +691,35 @@ top AS (SELECT max(given) FILTER (NOT broken) AS most, count(*) FILTER (given IS
 SELECT CASE WHEN broken OR (given IS NOT NULL AND nth > 1) THEN NULL WHEN given IS NOT NULL THEN given
     WHEN hit > 0 THEN most + 1 + place ELSE place END AS doc_pos, n::VARCHAR AS text,
   CASE WHEN broken THEN 'malformed' WHEN given IS NOT NULL AND nth > 1 THEN 'repeated_position' END AS reason FROM g, top"""
+ORACLES["bucket_upsert"] = ORACLES["results_upsert"]
+ORACLES["bucket_delete"] = ORACLES["delete_by_id"]
+ORACLES["range_table_scan"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000"
+ORACLES["bucketed_lookup"] = ORACLES["key_lookup"]
+
+
+def _tree_sql(t: int) -> str:
+    """Tree ``t`` of the rule, as nested CASEs over v0, v1, ..."""
+
+    def split(n: int, left: str, right: str) -> str:
+        v, threshold = f"v{(7 * t + 5 * n) % N}", ((t * 5 + n * 3) % 9 - 4) / 8
+        return f"CASE WHEN {v} IS NULL THEN {left if t % 2 == 0 else right} WHEN {v} < {threshold} THEN {left} ELSE {right} END"
+
+    leaf = [str(((t * 3 + n * 7) % 13 - 6) / 10) for n in range(4)]
+    return split(0, f"({split(1, leaf[0], leaf[1])})", f"({split(2, leaf[2], leaf[3])})")
+
+
+_CLASSES = range(len(LABELS))
+ORACLES["tree_probabilities"] = with_ctes(
+    SCORED
+    + [
+        "lacking AS (SELECT flow_id, " + ", ".join(f"CASE WHEN (flow_id + {j}) % 7 <> 0 THEN z{j} END AS v{j}" for j in range(N)) + " FROM labelled)",
+        "sums AS (SELECT flow_id, "
+        + ", ".join(" + ".join(f"({_tree_sql(t)})" for t in range(c, 3 * len(LABELS), len(LABELS))) + f" + {(c % 4) / 10} AS t{c}" for c in _CLASSES)
+        + " FROM lacking)",
+        "powers AS (SELECT flow_id, " + ", ".join(f"exp(t{c}) AS e{c}" for c in _CLASSES) + " FROM sums)",
+        "long AS (SELECT flow_id, unnest([" + ", ".join(map(str, _CLASSES)) + "]) AS class, unnest(["
+        + ", ".join(f"e{c} / (" + " + ".join(f"e{i}" for i in _CLASSES) + ")" for c in _CLASSES)
+        + "]) AS prob FROM powers)",
+    ],
+    "SELECT flow_id, CAST(class AS INTEGER) AS class, (round(prob + 1e-9, 6) + 0.0) AS prob FROM long",
+)
