@@ -91,7 +91,9 @@ from flowloom.sources.results import (
     write_results_csv,
 )
 from flowloom.streaming.flows import SESSION_SETTINGS, flows_stream, stream_sessions
+from flowloom.streaming.late import correct_flows, corrected, split_late
 from flowloom.streaming.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
+from flowloom.streaming.retry import drain, score_with_retries
 from flowloom.streaming.scoring import (
     append_stream,
     first_anomalies_stream,
@@ -914,6 +916,63 @@ def stream_flows(spark, sf):
     return done.where(F.col("src") != CLOSING_SRC)
 
 
+def _late_packets(spark, sf):
+    """Packets replayed in time order, every seventh of the first half only at the end: what was late, the
+    flows found without it, and the packets that these are made of."""
+    packets = event_packets(spark, sf)
+    raw, accepted, late = (work_path(spark, name) for name in ("raw", "accepted", "late"))
+    middle = packets.stat.approxQuantile("ts_us", [0.5], 0.01)[0]
+    withheld = (F.col("pkt_id") % 7 == 3) & (F.col("ts_us") < F.lit(int(middle)))
+    width = stage_in_time_order(packets.where(~withheld), raw)
+    packets.where(withheld).coalesce(4).write.mode("append").parquet(raw)
+    split_late(
+        stream_packets(spark, raw, 8), accepted, late, work_path(spark, "watermark"), work_path(spark, "checkpoint"), width
+    ).awaitTermination()
+    kept = spark.read.schema(packets.schema).option("recursiveFileLookup", True).parquet(accepted)
+    add_closing_packets(packets, f"{accepted}/batch_id=closing")
+    out = work_path(spark, "flows")
+    stream = spark.readStream.schema(packets.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 16)
+    flows_stream(
+        stream.parquet(accepted), out, work_path(spark, "open"), work_path(spark, "checkpoint"), EVENT_GAP_US, delay=f"{width} microseconds"
+    ).awaitTermination()
+    behind = spark.read.schema(packets.schema).option("recursiveFileLookup", True).parquet(late)
+    return behind, spark.read.parquet(out).where(F.col("src") != CLOSING_SRC), kept.where(F.col("src") != CLOSING_SRC)
+
+
+@query
+def stream_late_packets(spark, sf):
+    """Flows of a stream with late packets, after their correction."""
+    late, flows, packets = _late_packets(spark, sf)
+    retracted, added = correct_flows(flows, packets, late, EVENT_GAP_US)
+    return corrected(flows, retracted, added).select("flow_id", *FLOW_KEY, "first_us", "last_us", "pkts", "sbytes")
+
+
+@query
+def stream_retry(spark, sf):
+    """Every record is scored once or dead; some need several attempts, some never succeed."""
+    features = materialise(flow_features(event_packets(spark, sf)))
+    scaler = fit_scaler(features, FEATURES)
+    path = work_path(spark, "records")
+    stage_in_time_order(features.select(F.col("flow_id").alias("row_id"), "first_us", feature_line().alias("line")), path, "first_us")
+    lines = spark.readStream.schema("row_id long, line string").option("maxFilesPerTrigger", 16).parquet(path)
+
+    def score(rows):
+        """Fails for some records until their time has come."""
+        scored = record_scorer(scaler)(screen_records(rows)).select("row_id", "attempt", "label", "score_status")
+        broken = (F.col("row_id") % 3 == 0) & (F.col("attempt") <= F.col("row_id") % 5)
+        scored = scored.withColumn("score_status", F.when(broken, "error").otherwise(F.col("score_status")))
+        return scored.join(rows.select("row_id", "line"), "row_id")
+
+    results, dead, retry = (work_path(spark, name) for name in ("scored", "dead", "retry"))
+    score_with_retries(lines, score, results, dead, retry, work_path(spark, "checkpoint"), "stream").awaitTermination()
+    drain(spark, score, results, dead, retry, work_path(spark, "checkpoint"))
+    read = spark.read.option("recursiveFileLookup", True)
+    gone = F.lit(None).cast("int").alias("attempt")
+    found = read.schema("row_id long, attempt int, label string, score_status string").parquet(results)
+    failed = read.schema("row_id long, line string, reason string").parquet(dead)
+    return found.select("row_id", "attempt", F.lit("scored").alias("end")).union(failed.select("row_id", gone, F.col("reason").alias("end")))
+
+
 @query
 def stream_flow_features(spark, sf):
     packets, delay = _packet_stream(spark, sf)

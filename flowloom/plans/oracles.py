@@ -723,3 +723,11 @@ ORACLES["tree_probabilities"] = with_ctes(
     ],
     "SELECT flow_id, CAST(class AS INTEGER) AS class, (round(prob + 1e-9, 6) + 0.0) AS prob FROM long",
 )
+ORACLES["stream_late_packets"] = with_ctes(
+    OBSERVED, "SELECT flow_id, src, sport, dst, dport, proto, first_us, last_us, pkts, sbytes FROM flows"
+)
+ORACLES["stream_retry"] = with_ctes(
+    OBSERVED,
+    """SELECT flow_id AS row_id, CAST(CASE WHEN flow_id % 3 <> 0 THEN 1 WHEN flow_id % 5 < 3 THEN flow_id % 5 + 1 END AS INTEGER) AS attempt,
+  CASE WHEN flow_id % 3 = 0 AND flow_id % 5 >= 3 THEN 'failed' ELSE 'scored' END AS "end" FROM flows""",
+)
