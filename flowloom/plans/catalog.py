@@ -19,6 +19,7 @@ from flowloom.operators.connections import connection_counters
 from flowloom.operators.explain import explain_anomalies, prompts
 from flowloom.operators.flows import (
     BIDIRECTIONAL,
+    default_slice_us,
     distinct_sources,
     flag_histogram,
     flow_totals,
@@ -58,6 +59,7 @@ from flowloom.operators.scoring import (
 )
 from flowloom.operators.trees import Tree, TreeScorer
 from flowloom.plans.flows import EVENT_GAP_US, FLOW_COLUMNS, event_packets, flow_features, table
+from flowloom.plans.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
 from flowloom.plans.scoring import (
     PREFIX,
     demo_scorer,
@@ -92,7 +94,6 @@ from flowloom.sources.results import (
 )
 from flowloom.streaming.flows import SESSION_SETTINGS, flows_stream, stream_sessions
 from flowloom.streaming.late import correct_flows, corrected, split_late
-from flowloom.streaming.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
 from flowloom.streaming.retry import drain, score_with_retries
 from flowloom.streaming.scoring import (
     append_stream,
@@ -898,7 +899,7 @@ def _packet_stream(spark, sf):
     """Event packets as a file stream in time order, closed by far later packets."""
     packets = event_packets(spark, sf)
     path = work_path(spark, "packets")
-    width = stage_in_time_order(packets, path)
+    width = stage_in_time_order(packets, path, width=default_slice_us(EVENT_GAP_US))
     add_closing_packets(packets, path)
     return stream_packets(spark, path, 16), f"{width} microseconds"
 
@@ -923,7 +924,7 @@ def _late_packets(spark, sf):
     raw, accepted, late = (work_path(spark, name) for name in ("raw", "accepted", "late"))
     middle = packets.stat.approxQuantile("ts_us", [0.5], 0.01)[0]
     withheld = (F.col("pkt_id") % 7 == 3) & (F.col("ts_us") < F.lit(int(middle)))
-    width = stage_in_time_order(packets.where(~withheld), raw)
+    width = stage_in_time_order(packets.where(~withheld), raw, width=default_slice_us(EVENT_GAP_US))
     packets.where(withheld).coalesce(4).write.mode("append").parquet(raw)
     split_late(
         stream_packets(spark, raw, 8), accepted, late, work_path(spark, "watermark"), work_path(spark, "checkpoint"), width

@@ -11,28 +11,26 @@ CLOSING_SRC = "closing-marker"
 CLOSING_TS_US = [4_102_444_800_000_000, 7_258_118_400_000_000]
 
 
-def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: int = 4) -> int:
-    """Write ``chunks`` consecutive time ranges one after the other.
+def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: int = 4, width: int | None = None) -> int:
+    """Write consecutive ranges of time one after the other: of ``width``, or ``chunks`` of about equal size.
 
     File streams take files in order of modification time.  Returns the widest range in
     microseconds: a watermark delay of that size makes no row late, whichever order the
-    files of one range are taken in.
+    files of one range are taken in.  With a ``width`` what a stream holds back depends on the pace of
+    the rows, not on how long a time the table covers.
     """
-    cuts = df.stat.approxQuantile(time, [i / chunks for i in range(chunks + 1)], 0.01)
-    edges = [None, *(int(c) for c in cuts[1:-1]), None]
-    bounds = df.agg(F.min(time), F.max(time)).first()
-    widest = 0
-    for low, high in zip(edges, edges[1:]):
-        part = df
-        if low is not None:
-            part = part.where(F.col(time) >= low)
-        if high is not None:
-            part = part.where(F.col(time) < high)
-        part.write.mode("append").parquet(path)
-        start = bounds[0] if low is None else low
-        stop = bounds[1] if high is None else high
-        widest = max(widest, stop - start)
-    return widest
+    first, last = df.agg(F.min(time), F.max(time)).first()
+    if first is None:
+        df.write.mode("append").parquet(path)
+        return 0
+    if width:
+        inner = range(first + width, last + 1, width)
+    else:
+        inner = [int(c) for c in df.stat.approxQuantile(time, [i / chunks for i in range(1, chunks)], 0.01)]
+    edges = [first, *inner, last + 1]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        df.where((F.col(time) >= low) & (F.col(time) < high)).write.mode("append").parquet(path)
+    return max(high - low for low, high in zip(edges[:-1], edges[1:], strict=True))
 
 
 def add_closing_packets(packets: DataFrame, path: str) -> None:

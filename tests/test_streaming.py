@@ -10,7 +10,7 @@ from flowloom.schemas import FEATURES
 from flowloom.sources.packets import stream_packets
 from flowloom.sources.records import stream_lines
 from flowloom.streaming.flows import complete_slices, flows_stream, stream_sessions
-from flowloom.streaming.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
+from flowloom.plans.replay import CLOSING_SRC, add_closing_packets, stage_in_time_order
 from flowloom.streaming.scoring import (
     append_stream,
     first_anomalies_stream,
