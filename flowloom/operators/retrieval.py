@@ -22,12 +22,13 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from flowloom.functions.vectors import norm, unit
 from flowloom.schemas import TOP_K
-from flowloom.session import open_folder, work_path
+from flowloom.session import open_folder, plan_bytes, work_path
 
 # Query vectors lie in the shared folder in blocks of this size; a task reads them one after
 # the other for each shard of the corpus that it holds.
 QUERY_BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 128 << 20
+SMALL_SHARE = 8  # a plan's bound may be of compressed files, which hold vectors in half the bytes
 SCORE_CELLS = 4_000_000
 QUERIES_AT_ONCE = 2_000  # so that a product of SCORE_CELLS has as many documents
 MERGE_SALTS = 64
@@ -118,7 +119,14 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tup
 
 
 def _query_blocks(queries: DataFrame, block_bytes: int) -> list[str]:
-    """Write the queries to the shared folder, in files of at most about ``block_bytes``."""
+    """Write the queries to the shared folder, in files of at most about ``block_bytes``.
+
+    Few queries, as the plan's bound of their size tells, are one file and need not be counted.
+    """
+    if SMALL_SHARE * plan_bytes(queries) <= block_bytes:
+        path = work_path(queries.sparkSession, "query-blocks")
+        queries.coalesce(1).write.parquet(path)
+        return sorted(queries.sparkSession.read.schema(queries.schema).parquet(path).inputFiles())
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     rows = max(1, block_bytes // (8 * max(1, size["dim"] or 1)))
     path = work_path(queries.sparkSession, "query-blocks")
