@@ -94,36 +94,62 @@ def prefix_sums(df: DataFrame, group: list[str], key: str, ties: list[str], valu
     )
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, order: list, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... in ``order``, by range partitions and one offset for each."""
     parts = shuffle_partitions(df.sparkSession)
+    slot, part = (unused(name, [*df.columns, out]) for name in ("_slot", "_part"))
     placed = stored(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_slot", 33)),
+        .withColumn(slot, F.monotonically_increasing_id())
+        .withColumn(part, F.shiftright(slot, 33)),
         "numbered",
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    at = F.col("_first") + F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(first), "_part").select(*df.columns, at.alias(out))
+    n, before = unused("_n", df.columns), unused("_first", df.columns)
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = placed.groupBy(part).agg(F.count("*").alias(n))
+    first = sizes.select(part, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before))
+    at = F.col(before) + F.col(slot).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(first), part).select(*df.columns, at.alias(out))
+
+
+def row_key(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
+    """``df`` and a column that tells its rows apart: the id, or a row number if ids are null or repeat.
 
+    Numbers follow the order of (id, text hash), null first.
+    """
+    repeated = df.groupBy(id_column).agg(F.count("*").alias("n")).where(F.col(id_column).isNull() | (F.col("n") > 1))
+    if repeated.isEmpty():
+        return df, id_column
+    key = unused("_row", df.columns)
+    return numbered(df, [F.col(id_column).asc_nulls_first(), F.xxhash64(text_column)], key), key
 
-def keyed(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
+
+def keyed(df: DataFrame, id_column: str, text_column: str, keep: list[str] | None = None) -> tuple[DataFrame, bool]:
     """``df`` as (_uid, _id, _text), and whether the rows had to be numbered for ``_uid``.
 
     ``_uid`` is unique and ordered as the ids are.  Unique ids are used as they are.  If an id
     is null or repeated, all rows are numbered in the order of (id, text hash), null first, so
-    that every row counts on its own.
+    that every row counts on its own.  ``keep`` adds ``_kept``, a struct of other columns.
     """
-    rows = df.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    rows = df.select(
+        F.col(id_column).cast("long").alias("_id"),
+        F.col(text_column).cast("string").alias("_text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept")] if keep else []),
+    )
     repeated = rows.groupBy("_id").count().where((F.col("count") > 1) | F.col("_id").isNull())
     if repeated.isEmpty():
-        return rows.select(F.col("_id").alias("_uid"), "_id", "_text"), False
+        return rows.select(F.col("_id").alias("_uid"), *rows.columns), False
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
-    return numbered(rows, order, "_uid").select("_uid", "_id", "_text"), True
+    return numbered(rows, order, "_uid").select("_uid", *rows.columns), True
 
 
 def worker_cache(name: str) -> dict:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import WORD, numbered, prefix_sums, stored
+from flowloom.llm.common import WORD, numbered, prefix_sums, row_key, stored
 
 WEIGHTS = (3, 1, 2)
 KEY_BITS = 52
@@ -54,78 +54,75 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, m
     return ranked.select("source", "source_size", F.least("_limit", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix_plan(
+def _plan(
     docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
+    key: str,
+    text_column: str,
+    source_column: str,
     weights: tuple[int, ...] = WEIGHTS,
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
 ) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    A document's size is its number of words; null and empty texts have 0 and are never taken.
-    Sources come in code point order, null last and a source of its own; their weights repeat.
-    Returns one row per input row: id, source, size, source_size, target (its source's) and
-    ``taken``: whole epochs times the size, plus what the last, partial epoch takes of the
-    document.  The taken words of a source are its target, rounded to a word; at most one
-    document per source is cut.  Rows with equal ids are ordered by size and text hash; equal rows are
-    interchangeable.  The result depends on the rows and ``seed`` alone.
-    """
+    """(row, source, size, source_size, target, taken); ``key`` tells the rows of ``docs`` apart."""
     rows = stored(
         docs.select(
-            F.col(id_column).alias("_id"),
+            F.col(key).alias("row"),
             F.col(source_column).alias("source"),
             F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            random_key(F.col(id_column), seed).alias("_key"),
-            F.xxhash64(text_column).alias("_hash"),
+            random_key(F.col(key), seed).alias("_key"),
         ),
         "mix-rows",
     )
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sources, weights, share, most), "mix-targets")
-    ahead = prefix_sums(rows, ["source"], "_key", ["_id", "size", "_hash"], "size", "_ahead")
+    ahead = prefix_sums(rows, ["source"], "_key", ["row"], "size", "_ahead")
     joined = ahead.alias("l").join(targets.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source")))
     budget = F.floor(F.col("r.target") + 0.5)
     epochs = F.when(F.col("r.source_size") > 0, F.floor(budget / F.col("r.source_size"))).otherwise(0)
     rest = budget - epochs * F.col("r.source_size") - F.col("l._ahead")
     taken = epochs * F.col("l.size") + F.greatest(F.lit(0), F.least(F.col("l.size"), rest))
     return joined.select(
-        F.col("l._id").alias(id_column),
-        F.col("l.source").alias("source"),
-        F.col("l._hash").alias("text_hash"),
-        F.col("l.size").alias("size"),
-        F.col("r.source_size").alias("source_size"),
-        F.col("r.target").alias("target"),
-        taken.cast("long").alias("taken"),
+        "l.row", "l.source", "l.size", "r.source_size", "r.target", taken.cast("long").alias("taken")
     )
 
 
+def mix_plan(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options
+) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    A document's size is its number of words; null and empty texts have 0 and are never taken.
+    Sources come in code point order, null last and a source of its own; their weights repeat.
+    Returns one row per input row: id, source, size, source_size, target (its source's) and
+    ``taken``: whole epochs times the size, plus what the last, partial epoch takes of the
+    document.  The taken words of a source are its target, rounded to a word; at most one
+    document per source is cut.  If ids are null or repeat, every row gets a key of its own, its number
+    in the order of (id, text hash); equal rows are interchangeable.  The result depends on
+    the rows and ``seed`` alone.  An empty table gives no rows.  ``options``: weights, share, most, seed.
+    """
+    rows, key = row_key(docs.select(id_column, text_column, source_column), id_column, text_column)
+    plan = _plan(rows, key, text_column, source_column, **options)
+    if key == id_column:
+        return plan.withColumnRenamed("row", id_column)
+    ids = rows.select(F.col(key).alias("row"), F.col(id_column).alias("_id"))
+    return plan.join(ids, "row").select(F.col("_id").alias(id_column), *plan.columns[1:])
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as ``mix_plan`` takes them.
 
     The document on which a source's budget ends contributes its first words only, joined by
-    blanks.  Documents that are not taken are left out; all columns stay.
+    blanks.  Documents that are not taken are left out; all columns stay, whatever their names.
+    Rows with null or repeated ids are taken each on their own.  An empty table gives no rows.
     """
-    plan = mix_plan(docs, id_column, text_column, source_column, **options)
-    # Repeated rows with equal id, source and text share their words evenly and stay repeated.
-    plan = plan.groupBy(id_column, "source", "text_hash").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    left, right = docs.withColumn("_hash", F.xxhash64(text_column)).alias("l"), plan.alias("r")
-    same = (
-        F.col(f"l.{id_column}").eqNullSafe(F.col(f"r.{id_column}"))
-        & F.col(f"l.{source_column}").eqNullSafe(F.col("r.source"))
-        & (F.col("l._hash") == F.col("r.text_hash"))
-    )
-    times = F.ceil(F.col("r.taken") / F.col("r.size")).cast("int")
-    rows = left.join(right, same).where("r.taken > 0").select(
-        *[F.col(f"l.{c}").alias(c) for c in docs.columns],
-        F.col("r.size").alias("_size"),
-        F.col("r.taken").alias("_taken"),
-        F.explode(F.sequence(F.lit(1), times)).alias("_epoch"),
-    )
-    words = F.least("_size", F.col("_taken") - (F.col("_epoch") - 1) * F.col("_size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_column, F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
-    text = F.when(words < F.col("_size"), cut).otherwise(F.col(text_column))
-    return rows.withColumn(text_column, text).select(*docs.columns)
+    rows, key = row_key(docs, id_column, text_column)
+    plan = _plan(rows, key, text_column, source_column, **options).where("taken > 0").select("row", "size", "taken")
+    whole = rows.select(F.col(key).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    epochs = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    taken = whole.join(plan, "row").select("doc", "size", "taken", F.explode(F.sequence(F.lit(1), epochs)).alias("epoch"))
+    words = F.least("size", F.col("taken") - (F.col("epoch") - 1) * F.col("size")).cast("int")
+    text = F.col("doc")[text_column]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
+    text = F.when(words < F.col("size"), cut).otherwise(text)
+    return taken.select(*[(text if c == text_column else F.col("doc")[c]).alias(c) for c in docs.columns])

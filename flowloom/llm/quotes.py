@@ -51,7 +51,8 @@ def link_quotations(
     between the two) and ``clean_text``.  (scope, root) is the conversation; (depth, order) is
     its reply order.  A null text is an empty message.  A null scope is a scope of its own.  A message with a
     null order neither quotes nor is quoted and is its own root.  Rows with equal scope and
-    order count as one message written in several rows and share parent, root and depth.
+    order count as one message written in several rows and share parent, root and depth.  Long texts
+    are taken whole.  Other columns are not read.  An empty table gives no rows.
     """
     rows = stored(
         messages.select(

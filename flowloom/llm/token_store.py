@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import keyed, shuffle_partitions, stored
 from flowloom.llm.tokens import encoder
-from flowloom.session import work_path
+from flowloom.session import open_folder, work_path
 
 CHUNK_BITS = (10, 6, 16)
 RANK_STEP = 512
@@ -155,9 +155,7 @@ class TokenFile:
 
 def _write(folder: str, name: str, raw: bytes) -> str:
     """Write under a name of this attempt, then move into place: a repeated task overwrites."""
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(folder)
+    system, root = open_folder(folder)
     system.create_dir(root)
     own = f"{root}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:

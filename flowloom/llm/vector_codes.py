@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from flowloom.llm.common import stored
 
@@ -159,8 +160,8 @@ def coded_vectors(rows: DataFrame, books: np.ndarray, shift: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(text, pa.string()), pa.array(distance.sum(axis=1))], names=names)
 
     rows = rows.select("vec_id", "label", "whole")
-    label = rows.schema["label"].dataType.simpleString()
-    return rows.mapInArrow(code, f"vec_id long, label {label}, code string, error long")
+    schema = StructType([*rows.schema.fields[:2], StructField("code", StringType()), StructField("error", LongType())])
+    return rows.mapInArrow(code, schema)
 
 
 def with_label_errors(coded: DataFrame) -> DataFrame:

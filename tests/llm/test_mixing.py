@@ -65,3 +65,25 @@ def test_repeated_rows(spark):
     rows = [(1, "a b c", "s")] * 3 + [(1, "d e", "s"), (None, "f", "s"), (None, "f", "s")]
     got = mix_plan(documents(spark, rows)).collect()
     assert sum(r["taken"] for r in got) == int(1.5 * 13 + 0.5)
+
+
+CLASHING = "doc_id long, text string, source string, _hash string, _size int, _taken int, _slot long, _part long, _row string, row int, taken string, epoch int"
+
+
+def test_equal_rows_meet_the_target_to_the_word(spark):
+    rows = [(7, "one two three " * 200, "a") for _ in range(50)] + [(100 + i, "four five " * 300, "b") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "h", 1, 2, 3, 4, "r", 5, "t", 6) for r in rows], CLASHING)
+    got = mix(docs.repartition(5), share=0.75).collect()
+    assert mix(docs).columns == docs.columns
+    goal = targets({"a": 30_000, "b": 24_000}, share=0.75)
+    taken = by_source((r["source"], len(words(r["text"]))) for r in got)
+    assert taken == {s: int(t + 0.5) for s, t in goal.items()}
+    assert {tuple(r)[3:] for r in got} == {("h", 1, 2, 3, 4, "r", 5, "t", 6)}
+
+
+def test_rows_without_ids_are_spread(spark):
+    rows = [(None, f"w{i} x", "a", "h", 1, 2, 3, 4, "r", 5, "t", 6) for i in range(300)]
+    got = mix_plan(spark.createDataFrame(rows, CLASHING), share=0.5).collect()
+    assert sum(r["taken"] for r in got) == 300 and len(got) == 300
+    assert {r["doc_id"] for r in got} == {None}
+    assert {r["taken"] for r in got} <= {0, 1, 2}
