@@ -182,9 +182,12 @@ def _fragments(sliced: DataFrame, mode: str, gap_us: int, slice_us: int) -> Data
     return sliced.selectExpr("*", *gaps).groupBy(*SLICE, "frag_us").agg(*map(F.expr, aggs))
 
 
-def _stitched(fragments: DataFrame, gap_us: int, slice_us: int, columns: list[str]) -> DataFrame:
+def _stitched(fragments: DataFrame, gap_us: int, slice_us: int, columns: list[str], since: int | None = None) -> DataFrame:
     """Step 2: continue flows across slice borders, giving every fragment its ``flow_us``.
 
+    With ``since``, all fragments without a slice end before that time and all others begin then or later, in
+    the middle of a slice perhaps.
+
     ``lane`` is null for border fragments, and for flows still open from an earlier batch,
     which have no slice; these meet per key.  For all others it is the slice itself.
     ``columns`` may use ``{before}`` and ``{so_far}``, the frames over earlier fragments.
@@ -192,6 +195,8 @@ def _stitched(fragments: DataFrame, gap_us: int, slice_us: int, columns: list[st
     keys = [*KEY, "lane"]
     frames = {"before": _over(keys, "frag_us", BEFORE), "so_far": _over(keys, "frag_us", SO_FAR)}
     inner = f"frag_us - slice_us >= {gap_us}L AND slice_us + {slice_us}L - last_us > {gap_us}L"
+    if since is not None:
+        inner += f" AND frag_us - {since}L >= {gap_us}L"
     return (
         fragments.selectExpr("*", f"if({inner}, slice_us, NULL) AS lane")
         .selectExpr("*", f"lag(last_us) {_over(keys, 'frag_us')} AS prev_us")
@@ -225,11 +230,11 @@ def fragment_totals(packets: DataFrame, gap_us: int, mode: str, slice_us: int) -
     return _fragments(_sliced(packets, gap_us, mode, slice_us), mode, gap_us, slice_us)
 
 
-def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int) -> DataFrame:
+def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int, since: int | None = None) -> DataFrame:
     """Step 2 in one go: fragments -> flows, with the columns of a fragment.
 
     A merged flow can therefore be merged again with later fragments; ``slice_us`` is the
-    last slice it reached.
+    last slice it reached.  ``since`` is the time at which an earlier merge ended, if not between slices.
     """
     directions = _directions(mode)
     looks_back = []
@@ -262,7 +267,7 @@ def merge_fragments(fragments: DataFrame, gap_us: int, mode: str, slice_us: int)
         ]
         if mode == BIDIRECTIONAL:
             aggs += [f"min({name}_{d}) AS {name}_{d}" for name in HANDSHAKE]
-    flows = _stitched(fragments, gap_us, slice_us, looks_back)
+    flows = _stitched(fragments, gap_us, slice_us, looks_back, since)
     flows = flows.groupBy(*KEY, "lane", "flow_us").agg(*map(F.expr, aggs)).drop("lane")
     return flows.withColumnRenamed("flow_us", "frag_us")
 

@@ -93,6 +93,7 @@ from flowloom.sources.results import (
     write_results_csv,
 )
 from flowloom.streaming.flows import SESSION_SETTINGS, flows_stream, stream_sessions
+from flowloom.streaming.folding import folded_flows_stream
 from flowloom.streaming.late import correct_flows, corrected, split_late
 from flowloom.streaming.retry import drain, score_with_retries
 from flowloom.streaming.scoring import (
@@ -805,11 +806,15 @@ def pruned_search_(spark, sf):
 
 @query
 def index_recall(spark, sf):
-    """How many of the exact five nearest a probing search finds, for a few numbers of probes."""
+    """Whether probing searches find enough of the exact five nearest: 0.95 with the index's own number of probes, all with all."""
     index = _index(spark, sf)
-    counts = sorted({1, 4, 16, index.probes})
-    found = recall_by_probes(_vector_queries(spark, sf), index, counts, skip_self=True)
-    return found.withColumn("by_default", F.col("probes") == index.probes)
+    lists = len(index.size)
+    found = recall_by_probes(_vector_queries(spark, sf), index, sorted({index.probes, lists}), skip_self=True)
+    reach = found.select("wanted", F.explode(F.array(
+        F.struct(F.lit("default").alias("search"), F.lit(index.probes).alias("n"), F.lit(0.95).alias("least")),
+        F.struct(F.lit("all lists").alias("search"), F.lit(lists).alias("n"), F.lit(1.0).alias("least")),
+    )).alias("s"), "probes", "recall")
+    return reach.where("probes = s.n").select("s.search", "wanted", (F.col("recall") >= F.col("s.least")).alias("enough"))
 
 
 @query
@@ -985,6 +990,17 @@ def stream_flow_features(spark, sf):
     return rounded(with_features(totals.where(F.col("src") != CLOSING_SRC), FLOW_COLUMNS))
 
 
+@query
+def stream_folded_features(spark, sf):
+    """The features of flows whose packets are folded as soon as the watermark has passed them."""
+    packets, _ = _packet_stream(spark, sf)
+    out, late, state = (work_path(spark, name) for name in ("flows", "late", "open"))
+    width = default_slice_us(EVENT_GAP_US)  # of the ranges that are replayed in any order
+    folded_flows_stream(packets, out, late, state, work_path(spark, "checkpoint"), width, EVENT_GAP_US, BIDIRECTIONAL).awaitTermination()
+    totals = spark.read.parquet(out)
+    return rounded(with_features(totals.where(F.col("src") != CLOSING_SRC), FLOW_COLUMNS))
+
+
 def _flow_stream(spark, sf):
     """Feature records with their flow id and start, staged in time order, plus a scaler."""
     features = materialise(flow_features(event_packets(spark, sf)))

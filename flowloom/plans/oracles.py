@@ -731,3 +731,6 @@ ORACLES["stream_retry"] = with_ctes(
     """SELECT flow_id AS row_id, CAST(CASE WHEN flow_id % 3 <> 0 THEN 1 WHEN flow_id % 5 < 3 THEN flow_id % 5 + 1 END AS INTEGER) AS attempt,
   CASE WHEN flow_id % 3 = 0 AND flow_id % 5 >= 3 THEN 'failed' ELSE 'scored' END AS "end" FROM flows""",
 )
+ORACLES["stream_folded_features"] = ORACLES["flow_features_bidirectional"]
+ORACLES["index_recall"] = """WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT unnest(['default', 'all lists']) AS search, n * least(5, n - 1) AS wanted, true AS enough FROM n"""
