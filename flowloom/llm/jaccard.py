@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import keyed, light_driver, shuffle_partitions, stored
+from flowloom.llm.common import keyed, light_driver, release, shuffle_partitions, stored
 from flowloom.llm.components import components
 from flowloom.llm.words import blocks, mixed, shingles
 
@@ -332,6 +332,8 @@ def _connect(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
         labels = components(links)
         met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
         members = stored(_recurse(members, met, labels), "jaccard-members")
+        del pivots, met, pairs, seen, links
+        release(members.sparkSession)
         turn += 1
     return labels
 
@@ -346,7 +348,8 @@ def jaccard_components(
     nothing) and ``component_id`` (the smallest id reachable by links, itself included).
     Equal texts link.  Rows with a null or repeated id count as separate documents, and then
     ``component_id`` is the id of the first row in the order of (id, text hash), null first.
-    Other columns are not read.
+    Texts of any length are taken whole; their words are hashed in strips.  Other columns are not
+    read.  An empty table gives no rows.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")

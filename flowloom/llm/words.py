@@ -1,8 +1,9 @@
 """Words, word hashes and word n-grams of whole Arrow text columns, with numpy.
 
 A word is a maximal run of bytes other than blank, tab, line feed, vertical tab, form feed
-and carriage return.  Texts are worked on in blocks of a few megabytes, so memory does not
-follow the batch; one longer text is a block of its own.
+and carriage return.  Texts are worked on in blocks of half a megabyte, so memory does not
+follow the batch.  One longer text is a block of its own, but its words are still found and
+hashed in strips of 64 KiB: beside the text only about three bytes per byte of it are held.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
+STRIP_BYTES = 64 << 10
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,13 +34,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        for name, factor in (("up", _FACTOR), ("down", _INVERSE)):
-            steps = np.full(n, factor, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(factor: int) -> np.ndarray:
+    steps = np.full(STRIP_BYTES + 1, factor, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_FACTOR), _powers(_INVERSE)
 
 
 @dataclass
@@ -85,26 +86,47 @@ def blocks(texts: pa.Array, order: np.ndarray | None = None, block_bytes: int =
         at = upto
 
 
+def _strip_words(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, polynomial) of every run of solid bytes in at most ``STRIP_BYTES``."""
+    begin, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=sums[1:])
+    return begin, end, (sums[end] - sums[begin]) * _DOWN[begin]
+
+
 def words(block: Block, lower: bool = False) -> Words:
     """Hash every word of a block; ``lower`` folds A-Z first."""
     n, rows = len(block.data), len(block.starts)
     if not n:
         return Words(np.empty(0, np.uint64), np.zeros(rows + 1, np.int64))
-    data = _LOWER[block.data] if lower else block.data
-    solid = _NOT_SPACE[data]
-    full = block.starts < block.ends
-    begins, stops = solid.copy(), solid.copy()
-    begins[1:] &= ~solid[:-1]
-    stops[:-1] &= ~solid[1:]
-    edge = block.starts[full]
-    begins[edge] = solid[edge]
-    edge = block.ends[full] - 1
-    stops[edge] = solid[edge]
-    begin, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    value = (sums[end] - sums[begin]) * down[begin]
+    edges = np.unique(block.starts[block.starts < block.ends])
+    begin, end, value = [], [], []
+    for low in range(0, n, STRIP_BYTES):
+        data = block.data[low : low + STRIP_BYTES]
+        data = _LOWER[data] if lower else data
+        solid = _NOT_SPACE[data]
+        begins, stops = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        stops[:-1] &= ~solid[1:]
+        at = edges[np.searchsorted(edges, low) : np.searchsorted(edges, low + len(data))] - low
+        begins[at] = solid[at]
+        at = at[at > 0] - 1
+        stops[at] = solid[at]
+        for part, found in zip((begin, end, value), _strip_words(data, begins, stops), strict=True):
+            part.append(found + low if part is not value else found)
+    begin, end, value = (np.concatenate(x) for x in (begin, end, value))
+    # Words that cross strips were hashed in parts: a later part counts from the word's first byte.
+    cut = np.flatnonzero((begin[1:] == end[:-1]) & (begin[1:] % STRIP_BYTES == 0)) + 1
+    cut = cut[~np.isin(begin[cut], edges)]
+    if len(cut):
+        whole = np.ones(len(begin), bool)
+        whole[cut] = False
+        root = np.maximum.accumulate(np.where(whole, np.arange(len(begin)), 0))[cut]
+        for part, first in zip(cut.tolist(), root.tolist(), strict=True):
+            step = pow(_FACTOR, int(begin[part] - begin[first]), 1 << 64)
+            value[first] = np.uint64((int(value[first]) + int(value[part]) * step) % (1 << 64))
+            end[first] = end[part]
+        begin, end, value = begin[whole], end[whole], value[whole]
     value = mixed(value + mixed((end - begin).astype(np.uint64)))
     first = np.searchsorted(begin, np.append(block.starts, n))
     return Words(value, first)
