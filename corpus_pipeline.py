@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import numbered, stored
+from flowloom.llm.common import row_key, stored
 from flowloom.llm.jaccard import jaccard_components
 from flowloom.llm.langid import UNKNOWN, identify_languages
 from flowloom.llm.mixing import mix
@@ -18,46 +18,28 @@ from flowloom.llm.packing import pack_documents
 from flowloom.llm.substrings import drop_repeated_passages
 from flowloom.llm.tokens import vocabulary_path
 
-LEAST_LANGUAGE_SCORE = 0.5
-
-
-def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` and a column that tells its rows apart: doc_id, or their number if ids are null or repeat."""
-    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
-    if repeated.isEmpty():
-        return docs, "doc_id"
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    return numbered(docs, order, "_row"), "_row"
-
-
-def _with(rows: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
-    """The rows as ``l``, joined with what an operator decided on each as ``r``."""
-    return rows.alias("l").join(decisions.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"))
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language the model is sure of, go."""
-    rows, key = _rows(docs)
-    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    decided = identify_languages(rows, key).where(sure).select(key)
-    return _with(rows, key, decided).select(*[f"l.`{c}`" for c in docs.columns])
+    """Documents without a letter, which have no language, go."""
+    decided = identify_languages(docs, keep=docs.columns)
+    return decided.where(F.col("lang_pred") != UNKNOWN).select("kept.*")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies stays."""
-    rows, key = _rows(docs)
-    decided = jaccard_components(rows, key).where(F.col(key) == F.col("component_id")).select(key)
-    return _with(rows, key, decided).select(*[f"l.`{c}`" for c in docs.columns])
+    rows, key = row_key(docs, "doc_id", "text")
+    decided = jaccard_components(rows, key).where(F.col(key) != F.col("component_id")).select(key)
+    gone = F.col(f"l.{key}") == F.col(f"r.{key}")
+    return rows.alias("l").join(decided.alias("r"), gone, "left_anti").select(*[f"l.`{c}`" for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occurred before are cut out; a document that loses its last word goes."""
-    rows, key = _rows(docs)
-    decided = drop_repeated_passages(rows, key).select(key, "n_words", "n_removed", "kept_text")
-    cut = _with(rows, key, decided).where("r.n_removed = 0 OR r.n_removed < r.n_words")
-    text = F.when(F.col("r.n_removed") > 0, F.col("r.kept_text")).otherwise(F.col("l.text"))
+    cut = drop_repeated_passages(docs, keep=[c for c in docs.columns if c != "text"])
+    cut = cut.where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     columns = {"text": text, "n_chars": F.length(text).cast("long")}
-    return cut.select(*[columns.get(c, F.col(f"l.`{c}`")).alias(c) for c in docs.columns])
+    return cut.select(*[(columns[c] if c in columns else F.col("kept")[c]).alias(c) for c in docs.columns])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowloom.llm.linear import byte_grams, descend, gram_counts, gram_matrix, gram_sums
 from flowloom.llm.words import _LOWER, Block, blocks
@@ -161,6 +162,7 @@ def identify_languages(
     text_column: str = "text",
     lang_column: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Predict the language of every whole text.
 
@@ -169,7 +171,9 @@ def identify_languages(
     more, first by a hash of text and id; rows equal in both count once.  Returns one row per input row: the id, ``held_out``,
     ``lang_pred`` and ``score`` (0 to 1).  A text that is null or has no letter is ``und`` with
     score 0, and so is every text when there is nothing to learn from.  A null id counts
-    as the empty text.  Repeated rows get equal results.
+    as the empty text.  Repeated rows get equal results.  A text of any length is judged whole, in
+    blocks; a longer one is a block of its own.  An empty table gives no rows.  ``keep`` adds ``kept``, a struct of these columns
+    of each row, so that nothing has to be joined to decide on rows.
     """
     ident = F.col(id_column)
     model = train(docs.where(~held_out(ident)), id_column, text_column, lang_column, sample_rows)
@@ -182,10 +186,17 @@ def identify_languages(
                 found, sure = model.predict(block)
                 letters = _has_letter(block, texts)
                 lang[block.rows[letters]], score[block.rows[letters]] = found[letters], sure[letters]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"]
-            )
-
-    rows = docs.select(ident.cast("long").alias("doc_id"), held_out(ident).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    out = rows.mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double")
+            columns = [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "kept"][: len(columns)])
+
+    rows = docs.select(
+        ident.cast("long").alias("doc_id"),
+        held_out(ident).alias("held_out"),
+        F.col(text_column).cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
+    )
+    schema = StructType.fromDDL("doc_id long, held_out boolean, lang_pred string, score double")
+    if keep:
+        schema = schema.add("kept", rows.schema["kept"].dataType)
+    out = rows.mapInArrow(predicted, schema)
     return out.withColumnRenamed("doc_id", id_column)

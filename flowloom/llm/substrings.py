@@ -26,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowloom.llm.common import keyed, shuffle_partitions
 from flowloom.llm.words import Block, blocks, grams, mixed, runs, words
 
 GROUP_BYTES = 16 << 20  # text per group of suffixes
+BLOCK_BYTES = 4 << 20  # of text whose repeats are removed before the shuffle
 SAMPLE = 16  # one document of so many is looked at to find overfull prefixes
 LEAST_SHARE = 1e-6  # of all windows; bounds the number of lengthened prefixes to a million
 
@@ -175,7 +177,7 @@ def repeated_runs(rows: DataFrame, window: int, prefix: int) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), block_bytes=BLOCK_BYTES):
                 found = _windows(block, window, prefix)
                 if found is not None:
                     key, n = np.unique(found[4], return_counts=True)
@@ -197,7 +199,7 @@ def repeated_runs(rows: DataFrame, window: int, prefix: int) -> DataFrame:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             order = np.argsort(uids, kind="stable")
-            for block in blocks(batch.column(1), order):
+            for block in blocks(batch.column(1), order, BLOCK_BYTES):
                 yield from _suffix_rows(block, uids[block.rows], groups, long_prefixes, window, prefix)
 
     dealt = rows.select("_uid", "_text").mapInArrow(suffixes, _ROWS)
@@ -205,7 +207,12 @@ def repeated_runs(rows: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def drop_repeated_passages(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 20, prefix: int = 8
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    window: int = 20,
+    prefix: int = 8,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Remove every word covered by a ``window`` of words that also starts earlier.
 
@@ -214,9 +221,11 @@ def drop_repeated_passages(
     ``kept_text`` (kept words joined by one blank) and ``removed`` (the maximal removed word
     ranges, as [start, end) pairs).  A null or empty text has no words and an empty
     ``kept_text``.  Rows with a null or repeated id count as separate documents, in the order
-    of (id, text hash), null first.  Other columns are not read.
+    of (id, text hash), null first.  Other columns are not read, except those of ``keep``: they
+    come along as a struct ``kept``, with the text itself as ``text``, so that texts move once.
+    Texts of any length are taken whole; their words are hashed in strips.  An empty table gives no rows.
     """
-    rows, _ = keyed(docs, id_column, text_column)
+    rows, _ = keyed(docs, id_column, text_column, keep)
     marks = (
         repeated_runs(rows, window, prefix)
         .groupBy("uid")
@@ -236,10 +245,10 @@ def drop_repeated_passages(
                     step = np.zeros(len(found) + 1, np.int64)
                     np.add.at(step, start, 1)
                     np.add.at(step, start + spans.field(1).to_numpy() + window - 1, -1)
-                    keep = np.cumsum(step)[:-1] == 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[1], keep.astype(np.int8), [1]])))
+                    stays = np.cumsum(step)[:-1] == 0
+                    edges = np.flatnonzero(np.diff(np.concatenate([[1], stays.astype(np.int8), [1]])))
                     gone = edges.reshape(-1, 2).tolist()
-                    left = [w for w, k in zip(found, keep.tolist(), strict=True) if k]
+                    left = [w for w, k in zip(found, stays.tolist(), strict=True) if k]
                 else:
                     left = found
                 n_words.append(len(found))
@@ -253,10 +262,14 @@ def drop_repeated_passages(
                 pa.array(kept, pa.string()),
                 pa.array(removed, pa.list_(pa.list_(pa.int64()))),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+            names = ["doc_id", "n_words", "n_removed", "kept_text", "removed"]
+            if keep:
+                arrays, names = [*arrays, batch.column(1), batch.column(3)], [*names, "text", "kept"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = rows.join(marks, rows["_uid"] == marks["uid"], "left").select("_id", "_text", "_marks")
-    out = joined.mapInArrow(
-        cut, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<bigint>>"
-    )
+    joined = rows.join(marks, rows["_uid"] == marks["uid"], "left").select("_id", "_text", "_marks", *(["_kept"] if keep else []))
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string, removed array<array<bigint>>")
+    if keep:
+        schema = schema.add("text", "string").add("kept", rows.schema["_kept"].dataType)
+    out = joined.mapInArrow(cut, schema)
     return out.withColumnRenamed("doc_id", id_column)
