@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import stored
 from flowloom.llm.words import Block, blocks, words
 
 LETTERS = "ABCDE"
@@ -89,7 +90,7 @@ def mask_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     )
-    rows = failed.groupBy("id", "digest", "part", "mask").agg(F.count("*").alias("n"))
+    rows = stored(failed.groupBy("id", "digest", "part", "mask").agg(F.count("*").alias("n")), "failed-filters")
     no = F.lit(0)
     named = rows.where("id IS NOT NULL").join(marked, "id", "left")
     named = named.withColumns({"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)})
