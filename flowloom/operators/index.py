@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -28,21 +29,22 @@ from flowloom.operators.retrieval import (
     HIT_SCHEMA,
     QUERIES_AT_ONCE,
     QUERY_BLOCK_BYTES,
-    SHARD_BYTES,
+    SCORE_CELLS,
     SLACK,
-    _Best,
     _matrix,
-    _read_block,
     merged_hits,
 )
 from flowloom.schemas import TOP_K
-from flowloom.session import materialise, work_path
+from flowloom.session import materialise, open_folder, work_path
 
 MOST_LISTS = 4_096  # centres are held by every task
 SAMPLE_ROWS = 100_000  # at about this many vectors the centres are fitted; all are listed and bounded
 FIRST_LISTS = 4  # an exact search begins with these
 TRIED_QUERIES = 500  # of the indexed vectors, about, show how many probes the target recall needs
 TARGET_RECALL = 0.97
+MARKED_CELLS = 16_000_000  # queries of a block, times lists
+LIST_BYTES = 16 << 20  # vectors of a list that a task holds at once
+TASKS_PER_CORE = 2  # each reads the lists its queries need
 
 _LISTED = "list int, doc_pos long, embedding array<double>, turn double, length double"
 
@@ -203,61 +205,129 @@ def append_to_index(index: VectorIndex, corpus: DataFrame) -> VectorIndex:
 
 
 def _wanted(queries: DataFrame, choose) -> DataFrame:
-    """(query_id, embedding, list) for the lists that ``choose(vectors, least)`` marks for each query."""
+    """(query_id, list) for the lists that ``choose(vectors, least)`` marks for each query."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES_AT_ONCE):
                 part = batch.slice(at, QUERIES_AT_ONCE)
                 row, found = np.nonzero(choose(_matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)))
-                chosen = part.take(pa.array(row)).columns[:2]
-                yield pa.RecordBatch.from_arrays([*chosen, pa.array(found.astype(np.int32))], names=["query_id", "embedding", "list"])
-
-    return queries.select("query_id", "embedding", "least").mapInArrow(mark, "query_id long, embedding array<double>, list int")
-
-
-def _search_lists(wanted: DataFrame, index: VectorIndex, k: int, skip_self: bool) -> DataFrame:
-    """The best k of each (query, list) and shard of a list; the queries wait in the shared folder, by list."""
-    spark = wanted.sparkSession
-    folder = work_path(spark, "wanted")
-    rows = max(1, QUERY_BLOCK_BYTES // (8 * max(1, index.centres.shape[1])))
-    wanted.hint("rebalance", "list").write.option("maxRecordsPerFile", rows).partitionBy("list").parquet(folder)
-    stored = spark.read.schema("query_id long, embedding array<double>, list int").parquet(folder)
+                chosen = part.column(0).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([chosen, pa.array(found.astype(np.int32))], names=["query_id", "list"])
+
+    return queries.select("query_id", "embedding", "least").mapInArrow(mark, "query_id long, list int")
+
+
+class _BestOfBlock:
+    """The best k rows of every query of a block over all lists seen so far."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool):
+        self.query_ids, self.queries, self.k, self.skip_self = query_ids, queries, k, skip_self
+        self.scores = np.full((len(query_ids), k), -np.inf)
+        self.docs = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+
+    def add(self, rows: np.ndarray, docs: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors of a list, for the queries in ``rows``."""
+        step = max(self.k, SCORE_CELLS // QUERIES_AT_ONCE)
+        for low in range(0, len(rows), QUERIES_AT_ONCE):
+            for at in range(0, len(docs), step):
+                self._add_block(rows[low : low + QUERIES_AT_ONCE], docs[at : at + step], vectors[at : at + step])
+
+    def _add_block(self, rows: np.ndarray, docs: np.ndarray, vectors: np.ndarray) -> None:
+        """A product of matrices finds the few candidates; their scores are summed in one fixed order."""
+        queries, least = self.queries[rows], self.scores[rows, -1]
+        rough = queries @ vectors.T
+        if self.skip_self:
+            rough[self.query_ids[rows][:, None] == docs[None, :]] = -np.inf
+        new = np.flatnonzero(least == -np.inf)
+        if len(new) and len(docs) > self.k:
+            least[new] = np.partition(rough[new], len(docs) - self.k, axis=1)[:, len(docs) - self.k]
+        at, row = np.nonzero((rough >= least[:, None] - SLACK) & (rough > -np.inf))
+        if not len(at):
+            return
+        exact = np.zeros(len(row))
+        for j in range(vectors.shape[1]):
+            exact += vectors[row, j] * queries[at, j]
+        order = np.lexsort((docs[row], -exact, at))
+        at, row, exact = at[order], row[order], exact[order]
+        some, first, at = np.unique(at, return_index=True, return_inverse=True)
+        place = np.arange(len(at)) - first[at]
+        kept = place < self.k
+        at, row, exact, place = at[kept], row[kept], exact[kept], place[kept]
+        scores, found = np.full((len(some), self.k), -np.inf), np.full((len(some), self.k), np.iinfo(np.int64).max)
+        scores[at, place], found[at, place] = exact, docs[row]
+        scores = np.concatenate([self.scores[rows[some]], scores], axis=1)
+        found = np.concatenate([self.docs[rows[some]], found], axis=1)
+        order = np.lexsort((found, -scores), axis=-1)[:, : self.k]
+        self.scores[rows[some]] = np.take_along_axis(scores, order, axis=1)
+        self.docs[rows[some]] = np.take_along_axis(found, order, axis=1)
+
+    def rows(self) -> dict[str, np.ndarray]:
+        row, place = np.nonzero(self.scores > -np.inf)
+        return {"query_id": self.query_ids[row], "doc_pos": self.docs[row, place], "score": self.scores[row, place]}
+
+
+def _search_lists(asked: DataFrame, index: VectorIndex, k: int, skip_self: bool, *choices) -> DataFrame:
+    """The best k of each query in the lists that ``choices`` mark, one choice after the other.
+
+    Queries with the same nearest list lie together, in blocks of bounded size.  A task reads the
+    files of the lists that its block needs and keeps the best k so far, whose scores the next
+    choice knows: neither vectors by list nor hits by list are ever rows.
+    """
+    spark = asked.sparkSession
     files = defaultdict(list)
-    for name in sorted(stored.inputFiles()):
+    for name in sorted(index.lists(spark).inputFiles()):
         files[int(re.search(r"/list=(\d+)/", name)[1])].append(name)
-    if not files:
-        return spark.createDataFrame([], HIT_SCHEMA)
     files = dict(files)
+    width = 8 * index.centres.shape[1]
+    most = max(1, min(QUERY_BLOCK_BYTES // max(1, width), MARKED_CELLS // len(index.centres)))
+    read_rows = max(1, LIST_BYTES // max(1, width))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = defaultdict(list)
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for at, parts in held.items():
-                docs, vectors = np.concatenate([d for d, _ in parts]), np.concatenate([v for _, v in parts])
-                for name in files.get(at, ()):
-                    block = _read_block(name)
-                    ids, asked = block.column("query_id").to_numpy(), _matrix(block.column("embedding"))
-                    for low in range(0, len(ids), QUERIES_AT_ONCE):
-                        best = _Best(ids[low : low + QUERIES_AT_ONCE], asked[low : low + QUERIES_AT_ONCE], k, skip_self)
-                        best.add(docs, vectors)
-                        yield pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
-            held.clear()
-
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, own = _matrix(batch.column(1)), batch.column(2).to_numpy()
-            docs = batch.column(0).to_numpy()
-            for at in np.unique(own):
-                held[int(at)].append((docs[own == at], vectors[own == at]))
-            size += vectors.nbytes
-            if size >= SHARD_BYTES:
-                yield from flush()
-                size = 0
-        yield from flush()
+            for at in range(0, batch.num_rows, QUERIES_AT_ONCE):
+                part = batch.slice(at, QUERIES_AT_ONCE)
+                own = (_matrix(part.column(1)) @ index.centres.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32))], names=["query_id", "embedding", "near"])
+
+    def searched(ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        best = _BestOfBlock(ids, vectors, k, skip_self)
+        for choose in choices:
+            parts = [slice(low, low + QUERIES_AT_ONCE) for low in range(0, len(ids), QUERIES_AT_ONCE)]
+            marked = np.concatenate([choose(vectors[p], best.scores[p, -1]) for p in parts])
+            for at in np.flatnonzero(marked.any(axis=0)):
+                rows = np.flatnonzero(marked[:, at])
+                for name in files.get(int(at), ()):
+                    for docs, listed in _read_list(name, read_rows):
+                        best.add(rows, docs, listed)
+        return pa.RecordBatch.from_pydict(best.rows(), schema=HIT_ARROW)
 
-    return index.lists(spark, sorted(files)).select("doc_pos", "embedding", "list").mapInArrow(scan, HIT_SCHEMA)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, most - size)
+                batch = batch.slice(part.num_rows)
+                held.append((part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1))))
+                size += part.num_rows
+                if size == most:
+                    yield searched(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield searched(*map(np.concatenate, zip(*held, strict=True)))
+
+    placed = asked.select("query_id", "embedding").mapInArrow(near, "query_id long, embedding array<double>, near int")
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return placed.repartitionByRange(tasks, "near", "query_id").select("query_id", "embedding").mapInArrow(scan, HIT_SCHEMA)
+
+
+def _read_list(name: str, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and vectors of one file of a list, some rows at a time."""
+    system, path = open_folder(name)
+    with system.open_input_file(path) as file:
+        for batch in pq.ParquetFile(file).iter_batches(batch_size=rows, columns=["doc_pos", "embedding"]):
+            if batch.num_rows:
+                yield batch.column(0).to_numpy(), _matrix(batch.column(1))
 
 
 def _asked(queries: DataFrame, index: VectorIndex) -> DataFrame:
@@ -283,7 +353,7 @@ def probe_search(
         np.put_along_axis(chosen, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
         return chosen & (index.size > 0)
 
-    return merged_hits(_search_lists(_wanted(_asked(queries, index), nearest), index, k, skip_self), k)
+    return merged_hits(_search_lists(_asked(queries, index), index, k, skip_self, nearest), k)
 
 
 def _no_hits(queries: DataFrame) -> DataFrame:
@@ -316,12 +386,11 @@ def _other_lists(index: VectorIndex, k: int):
 
 def search_plan(queries: DataFrame, index: VectorIndex, k: int = TOP_K, skip_self: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits of the first lists, queries with their first lists, queries with the lists that remain)."""
-    asked = materialise(_asked(queries, index))
-    first = materialise(_wanted(asked, _first_lists(index, k)))
-    hits = materialise(merged_hits(_search_lists(first, index, k, skip_self), k))
+    asked = _asked(queries, index)
+    hits = materialise(merged_hits(_search_lists(asked, index, k, skip_self, _first_lists(index, k)), k))
     reached = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
     known = asked.join(reached, "query_id", "left").withColumn("least", F.coalesce("reached", "least"))
-    return hits, first, materialise(_wanted(known, _other_lists(index, k)))
+    return hits, _wanted(asked, _first_lists(index, k)), _wanted(known, _other_lists(index, k))
 
 
 def pruned_search(queries: DataFrame, index: VectorIndex, k: int = TOP_K, skip_self: bool = False) -> DataFrame:
@@ -333,9 +402,7 @@ def pruned_search(queries: DataFrame, index: VectorIndex, k: int = TOP_K, skip_s
     """
     if not len(index.centres):
         return _no_hits(queries)
-    hits, _, rest = search_plan(queries, index, k, skip_self)
-    more = _search_lists(rest, index, k, skip_self)
-    return merged_hits(hits.select("query_id", "doc_pos", "score").union(more), k)
+    return merged_hits(_search_lists(_asked(queries, index), index, k, skip_self, _first_lists(index, k), _other_lists(index, k)), k)
 
 
 def recall_by_probes(queries: DataFrame, index: VectorIndex, probes: list[int], k: int = TOP_K, skip_self: bool = False) -> DataFrame:

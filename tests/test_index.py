@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,7 +20,7 @@ from flowloom.operators.index import (
     unindexable,
 )
 from flowloom.operators.retrieval import top_k
-from flowloom.session import open_folder, work_path
+from flowloom.session import open_folder, shared_dir, work_path
 
 ROWS = "doc_pos long, embedding array<double>, list string"
 
@@ -90,6 +91,27 @@ def test_default_probes_find_nearly_all(corpus, index):
     assert len(rows(probe_search(asked(corpus).where("query_id < 10"), index, 3))) == 30
 
 
+def written_bytes(spark):
+    folder = Path(open_folder(shared_dir(spark))[1])
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_searches_write_no_vectors_by_list(spark, corpus, index):
+    """Every list for every query: what is written and moved grows with the queries, not with queries times lists."""
+    before = written_bytes(spark)
+    assert rows(probe_search(asked(corpus), index, 5, 30, True)) == rows(top_k(asked(corpus), corpus, 5, True))
+    assert written_bytes(spark) - before < 4 * 8 * 12 * corpus.count()
+    queries = module._asked(asked(corpus), index)
+    assert module._search_lists(queries, index, 5, True, lambda v, _: np.ones((len(v), 30), bool)).count() == 5 * corpus.count()
+
+
+def test_blocks_of_queries_and_lists_may_be_small(monkeypatch, corpus, index):
+    want = rows(pruned_search(asked(corpus), index, 5, True))
+    for name, value in {"MARKED_CELLS": 30 * 70, "LIST_BYTES": 8 * 12 * 9, "QUERIES_AT_ONCE": 11, "SCORE_CELLS": 80}.items():
+        monkeypatch.setattr(module, name, value)
+    assert rows(pruned_search(asked(corpus).where("query_id % 4 = 0"), index, 5, True)) == [r for r in want if r[0] % 4 == 0]
+
+
 def test_vectors_of_any_length_are_bounded(spark):
     rng = random.Random(4)
     data = [(i, [rng.gauss(0, 1) * s for _ in range(4)], "x") for i in range(300) for s in [rng.choice([0.0, 0.01, 1.0, 30.0])]]
