@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 CLOSING_SRC = "closing-marker"
 CLOSING_TS_US = [4_102_444_800_000_000, 7_258_118_400_000_000]
 
+# A stream is paced in files and a task reads whole ones, so a file has at most so many rows.
+FILE_ROWS = 100_000
+
 
 def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: int = 4, width: int | None = None) -> int:
     """Write consecutive ranges of time one after the other: of ``width``, or ``chunks`` of about equal size.
@@ -17,7 +20,8 @@ def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: i
     File streams take files in order of modification time.  Returns the widest range in
     microseconds: a watermark delay of that size makes no row late, whichever order the
     files of one range are taken in.  With a ``width`` what a stream holds back depends on the pace of
-    the rows, not on how long a time the table covers.
+    the rows, not on how long a time the table covers.  Files have at most ``FILE_ROWS`` rows, so a
+    larger table makes more files, hence more micro-batches, and no larger ones.
     """
     first, last = df.agg(F.min(time), F.max(time)).first()
     if first is None:
@@ -29,7 +33,7 @@ def stage_in_time_order(df: DataFrame, path: str, time: str = "ts_us", chunks: i
         inner = [int(c) for c in df.stat.approxQuantile(time, [i / chunks for i in range(1, chunks)], 0.01)]
     edges = [first, *inner, last + 1]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
-        df.where((F.col(time) >= low) & (F.col(time) < high)).write.mode("append").parquet(path)
+        df.where((F.col(time) >= low) & (F.col(time) < high)).write.option("maxRecordsPerFile", FILE_ROWS).mode("append").parquet(path)
     return max(high - low for low, high in zip(edges[:-1], edges[1:], strict=True))
 
 

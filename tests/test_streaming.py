@@ -3,6 +3,7 @@ from helpers import frame, packet
 from pyspark.sql import functions as F
 from test_flows import GAP, busy_packets
 
+from flowloom.plans import replay
 from flowloom.operators.flows import BIDIRECTIONAL, OBSERVED, flow_totals, native_sessions
 from flowloom.operators.scaling import Scaler
 from flowloom.plans.scoring import record_scorer
@@ -53,6 +54,16 @@ def test_stream_equals_batch(spark, staged, tmp_path, mode, slice_us):
     assert rows(real(spark.read.parquet(out)).select(*want.columns)) == rows(want)
 
 
+def test_staged_files_are_small(spark, tmp_path, monkeypatch):
+    """A larger table makes more files, which pace a stream, and no larger ones."""
+    monkeypatch.setattr(replay, "FILE_ROWS", 50)
+    rows = spark.range(1000).select("id", (F.col("id") * 3).alias("ts_us")).coalesce(1)
+    width = stage_in_time_order(rows, str(tmp_path / "rows"), chunks=4)
+    staged = spark.read.parquet(str(tmp_path / "rows"))
+    assert max(r["count"] for r in staged.groupBy(F.input_file_name()).count().collect()) <= 50
+    assert staged.count() == staged.distinct().count() == 1000 and 700 < width < 800
+
+
 def test_session_stream_equals_batch(spark, staged, tmp_path):
     packets, path, delay = staged
     out = str(tmp_path / "out")
