@@ -30,6 +30,7 @@ QUERY_BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 128 << 20
 SMALL_SHARE = 8  # a plan's bound may be of compressed files, which hold vectors in half the bytes
 SCORE_CELLS = 4_000_000
+ENCODED_CELLS = 1 << 18  # words and vector components that a task encodes at once
 QUERIES_AT_ONCE = 2_000  # so that a product of SCORE_CELLS has as many documents
 MERGE_SALTS = 64
 # A product of matrices may differ from a plain sum by less than this for unit vectors.
@@ -249,17 +250,17 @@ class CorpusEncoder:
 
     def __call__(self, texts: DataFrame, key: str = "doc_pos", text: str = "input") -> DataFrame:
         """Add ``embedding``, row by row; a text without words, or null, has zeros."""
-        weights, dim = np.array(self.idf), self.dim
-        step = max(1, SCORE_CELLS // dim)
+        weights, dim, most = np.array(self.idf), self.dim, ENCODED_CELLS
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
+                for at, end in _parts(batch.column(batch.num_columns - 1), dim, most):
+                    part = batch.slice(at, end - at)
                     buckets = part.column(part.num_columns - 1)
                     row = np.repeat(np.arange(part.num_rows), np.diff(buckets.offsets.to_numpy()))
-                    cells = row * dim + buckets.flatten().to_numpy()
-                    vectors = np.bincount(cells, minlength=part.num_rows * dim).reshape(-1, dim) * weights
+                    row *= dim
+                    row += buckets.flatten().to_numpy()
+                    vectors = np.bincount(row, minlength=part.num_rows * dim).reshape(-1, dim) * weights
                     length = np.sqrt((vectors * vectors).sum(axis=1))[:, None]
                     vectors /= np.where(length > 0, length, 1)
                     offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dim)
@@ -272,6 +273,16 @@ class CorpusEncoder:
         return rest.select(*rest.columns, buckets).mapInArrow(count, schema)
 
 
+def _parts(lists: pa.ListArray, dim: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` words and vector components, or of one row."""
+    reach = lists.offsets.to_numpy().astype(np.int64) + dim * np.arange(len(lists) + 1)
+    at = 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(reach, reach[at] + most, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def word_buckets(text: Column, dim: int) -> Column:
     """The bucket of every word of a text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

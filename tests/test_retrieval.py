@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from flowloom.functions.text import (
     without_prompt,
 )
 from flowloom.functions.vectors import inner_product
+from flowloom.operators import retrieval
 from flowloom.operators.explain import explain_anomalies, generate, prompts
 from flowloom.operators.retrieval import (
     class_centroids,
@@ -191,6 +193,21 @@ def test_corpus_encoder(spark):
     assert np.linalg.norm(out[3]) == 0.0
 
 
+def test_corpus_encoder_takes_little_at_once(spark, monkeypatch):
+    """Parts end after so many words and components; only a long text is more, alone in its part."""
+    lengths = [i % 7 for i in range(40)] + [5000, 0, 3]
+    lists = pa.array([[1] * n for n in lengths])
+    parts = list(retrieval._parts(lists, 16, 200))
+    assert [i for a, b in parts for i in range(a, b)] == list(range(43))
+    assert all(b - a == 1 or sum(lengths[a:b]) + 16 * (b - a) <= 200 for a, b in parts) and len(parts) < 10
+    assert retrieval.ENCODED_CELLS <= 1 << 20
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate(lengths)], "doc_pos long, input string").coalesce(1)
+    encoder = fit_corpus_encoder(docs, 16)
+    whole = sorted(map(tuple, encode_corpus(docs, encoder).collect()))
+    monkeypatch.setattr(retrieval, "ENCODED_CELLS", 200)
+    assert sorted(map(tuple, encode_corpus(docs, encoder).collect())) == whole
+
+
 def test_explanations(spark):
     def flow(i, label, a, b):
         raw = [a, b] + [0.0] * 16
