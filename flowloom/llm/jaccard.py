@@ -10,11 +10,14 @@ With similarity t, two linked documents are at most eps = 1 - t apart.
 2. *First regions.*  One-shingle sets are the first pivots.  A document is nearer than 1 to the
    pivots of its own shingles only; it is copied to the regions of its rarest ones, one more
    than it may lack in a linked document, so every linked pair meets in a region.
-3. *Document pivots.*  In each region a few documents become pivots and the exact distance of
-   every member to them is computed, spread over tasks of bounded size.  The triangle
-   inequality cuts the region: around a pivot stay the members within 2 eps (the window that
-   replicates boundary documents), outside it stay those beyond eps.  Regions whose members
-   are all connected are finished; the others recurse with new pivots.
+3. *Document pivots.*  Regions that overlap in their smallest documents become one, so each set
+   is sent about once, to a task of bounded size; two blocks of a region that is larger
+   meet in a task of their own.  There documents far from each other become pivots and
+   the exact distance of every member to them is computed.  The triangle inequality cuts the
+   region: a document is compared only with those whose distances to all pivots differ from its own
+   by at most eps, so one in the ball of a pivot only with the window of 2 eps around it.
+   What is connected is not compared again, and a task returns a spanning forest of its
+   links, never pairs.
 
 Equal shingle sets are one document from the start, so a group of copies is one member.
 """
@@ -25,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from flowloom.llm.common import keyed, light_driver, release, shuffle_partitions, stored
+from flowloom.llm.common import keyed, light_driver, shuffle_partitions, stored
 from flowloom.llm.components import components
 from flowloom.llm.words import blocks, mixed, shingles
 
 GROUP_BYTES = 16 << 20  # text per group of counted shingles
 SAMPLE = 16  # one document of so many is looked at to find very common shingles
 COMMON_SHARE = 1e-6  # of all shingles; bounds the list of common ones to a million
-PIVOTS = 16  # per region in the second round, four times as many in each one after it
-SALT_ROWS = 512  # members compared with one pivot in one group
+PIVOTS = 16  # whose distances to all members of a region are kept
+BLOCK_BYTES = 4 << 20  # of sets in one group, or in one block of a larger region
+BLOCK_ROWS = 4096  # sets in one block
 
 _HALF = np.uint64(1 << 63)
 _DEALT = "bucket int, docs binary, counts binary, low binary, high binary, meta binary"
@@ -220,122 +225,123 @@ def _regions(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return back.groupBy("home").applyInArrow(lambda table: _gather_home(table, percent), schema)
 
 
-def _distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, pivot, inter, total) of every pair, each set sent once to every group that needs it."""
-    parts = shuffle_partitions(sets.sparkSession)
-    pairs = pairs.select("uid", "pivot")
-    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(many, "pivot").select("uid", "pivot", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int").alias("salt"))
-    centres = many.select(F.col("pivot").alias("uid"), "pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    wanted = members.union(centres).groupBy("uid").agg(F.collect_list(F.struct("pivot", "salt")).alias("_to"))
-    sent = sets.join(wanted, "uid").select("uid", "elements", F.explode("_to").alias("_to")).select("uid", "elements", "_to.*")
-    sent = sent.withColumn("member", (F.col("uid") != F.col("pivot")).cast("int"))
-    sent = sent.repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "member")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.empty(0, np.uint64)
-        for batch in batches:
-            uid, pivot, member = (batch.column(c).to_numpy() for c in ("uid", "pivot", "member"))
-            inter, total = np.zeros(len(uid), np.int64), np.zeros(len(uid), np.int64)
-            for i, raw in enumerate(batch.column("elements")):
-                own = np.frombuffer(raw.as_buffer(), "<u8")
-                if not member[i]:
-                    centre = own
-                elif len(centre):
-                    at = np.searchsorted(centre, own)
-                    inter[i] = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
-                    total[i] = len(own) + len(centre) - inter[i]
-            keep = member == 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (uid, pivot, inter, total)], names=["uid", "pivot", "inter", "total"]
-            )
-
-    return sent.mapInArrow(compared, "uid long, pivot long, inter long, total long")
-
-
-def _pivots(members: DataFrame, turn: int) -> DataFrame:
-    """(rid, pivot, pcomp, pside): some documents of each region that is not yet connected.
-
-    A plain region gives the first document of some of its components, smallest first; a ball
-    and its window (sides 1 and 2) give documents of the smaller side.  Rounds leave ever fewer
-    regions open, so their number of pivots grows and the number of rounds stays logarithmic.
+class _Sets:
+    """The shingle sets of one region, and their exact distances."""
+
+    def __init__(self, elements: list, percent: int):
+        self.percent, self.eps = percent, (100 - percent) / 100 + 1e-9
+        sets = [np.frombuffer(x, "<u8") for x in elements]
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.code, self.marks = code.astype(np.int32), np.zeros(len(vocabulary), np.uint8)
+
+    def shared(self, pivot: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of ``pivot`` with ``others``."""
+        own = self.code[self.first[pivot] : self.first[pivot] + self.size[pivot]]
+        self.marks[own] = 1
+        n = self.size[others]
+        at = np.cumsum(n) - n
+        hits = self.marks[self.code[np.repeat(self.first[others] - at, n) + np.arange(n.sum())]]
+        self.marks[own] = 0
+        return np.add.reduceat(hits, at, dtype=np.int64)
+
+    def links(self, side: np.ndarray) -> tuple[list[int], list[int]]:
+        """A spanning forest of the links; with two sides, of those between them.
+
+        Every document in turn is a pivot.  By the triangle inequality it is measured only against
+        documents whose distances to the pivots of the table differ from its own by at most eps
+        (for one in a pivot's ball, those are the window of 2 eps around that pivot), and
+        only against those not connected with it yet.
+        """
+        rows, root = len(self.size), np.arange(len(self.size))
+        crossing = side.min() != side.max()
+        waiting = np.ones(rows, bool)
+        if crossing:  # pivots of the smaller side meet all of the other
+            waiting = side == (side.min() if 2 * (side == side.min()).sum() <= rows else side.max())
+        table: list[np.ndarray] = []
+        nearest = np.full(rows, 2.0)
+        a, b = [], []
+        while waiting.any() and (root != root[0]).any():
+            # The table takes documents far from each other, then all follow in their order.
+            use_table = len(table) < PIVOTS and rows > 2 * PIVOTS
+            pivot = int(np.argmax(np.where(waiting, nearest, -1.0))) if use_table else int(np.argmax(waiting))
+            waiting[pivot] = False
+            open_ones = root != root[pivot]
+            if crossing:
+                open_ones &= side != side[pivot]
+            else:
+                open_ones &= waiting
+            if use_table:
+                every = np.arange(rows)
+                inter = self.shared(pivot, every)
+                distance = 1 - inter / (self.size + self.size[pivot] - inter)
+                table.append(distance)
+                nearest = np.minimum(nearest, distance)
+                others = np.flatnonzero(open_ones)
+                inter = inter[others]
+            else:
+                small, large = np.minimum(self.size, self.size[pivot]), np.maximum(self.size, self.size[pivot])
+                open_ones &= 100 * small >= self.percent * large
+                for distance in table:
+                    open_ones &= np.abs(distance - distance[pivot]) <= self.eps
+                others = np.flatnonzero(open_ones)
+                inter = self.shared(pivot, others) if len(others) else np.empty(0, np.int64)
+            total = self.size[others] + self.size[pivot] - inter
+            linked = others[100 * inter >= self.percent * total]
+            if len(linked):
+                joined, at = np.unique(root[linked], return_index=True)
+                a += [pivot] * len(at)
+                b += linked[at].tolist()
+                root[np.isin(root, joined)] = root[pivot]
+        return a, b
+
+
+def _region_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the regions of one group: whole regions, or two blocks of a large one."""
+    region, side, uid = (table.column(c).to_numpy() for c in ("region", "side", "uid"))
+    order = np.lexsort((uid, region))
+    elements = table.column("elements").combine_chunks()
+    a, b = [], []
+    for part in np.split(order, np.flatnonzero(np.diff(region[order])) + 1):
+        if len(part) > 1:
+            x, y = _Sets([elements[i].as_buffer() for i in part.tolist()], percent).links(side[part])
+            a.append(uid[part][x])
+            b.append(uid[part][y])
+    none = np.empty(0, np.int64)
+    return pa.table({c: pa.array(np.concatenate([none, *x]).astype(np.int64)) for c, x in (("a", a), ("b", b))})
+
+
+def _merged(members: DataFrame) -> DataFrame:
+    """(region, uid, n): first regions (rid) that overlap in their smallest documents are one region.
+
+    Each takes the smallest document of all regions of its members, so a family of near copies
+    that meets in many regions is sent and compared about once; no region grows further.
     """
-    most = PIVOTS * 4 ** (turn - 1)
-    if turn == 0:
-        least = members.groupBy("rid").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        return least.select("rid", "pivot", F.col("pivot").alias("pcomp"), F.lit(0).alias("pside"))
-    plain = members.where("side = 0").groupBy("rid", "comp").agg(F.count("*").alias("n"), F.min("uid").alias("pivot"))
-    small_first = Window.partitionBy("rid").orderBy("n", "comp")
-    plain = plain.withColumn("rank", F.row_number().over(small_first)).where(F.col("rank") <= most)
-    sides = members.where("side > 0").groupBy("rid").agg(*(F.sum((F.col("side") == i).cast("int")).alias(f"n{i}") for i in (1, 2)))
-    smaller = sides.select("rid", F.when(F.col("n1") <= F.col("n2"), 1).otherwise(2).alias("side"))
-    by_id = Window.partitionBy("rid").orderBy("uid")
-    paired = members.join(smaller, ["rid", "side"]).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= most)
-    return plain.select("rid", "pivot", F.col("comp").alias("pcomp"), F.lit(0).alias("pside")).union(
-        paired.select("rid", F.col("uid").alias("pivot"), F.col("comp").alias("pcomp"), F.col("side").alias("pside"))
-    )
-
-
-def _signature() -> list:
-    """Aggregates that tell regions with other members apart."""
-    return [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("uid", "side", F.lit(i))).alias(f"x{i}") for i in (1, 2))]
-
+    least = members.groupBy("rid").agg(F.min("uid").alias("region"), F.count("*").alias("rows")).where("rows > 1")
+    met = members.join(least.drop("rows"), "rid")
+    near = met.groupBy("uid").agg(F.min("region").alias("region"))
+    joined = met.select("rid", "uid").join(near, "uid").groupBy("rid").agg(F.min("region").alias("region"))
+    return members.join(joined, "rid").select("region", "uid", "n").distinct()
 
-def _once(members: DataFrame, regions: DataFrame) -> DataFrame:
-    """The members of ``regions`` (rid and signature), one of those with the same members."""
-    return members.join(regions.groupBy("n", "x1", "x2").agg(F.min("rid").alias("rid")).select("rid"), "rid")
 
+def _routes(regions: DataFrame) -> DataFrame:
+    """(uid, to): the groups each set is sent to.
 
-def _recurse(members: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """The next regions: ``met`` has every (rid, uid, pivot) and what was measured of it."""
-    used = met.select("rid", F.col("pivot").alias("uid")).distinct()
-    left = members.join(used, ["rid", "uid"], "left_anti")
-    measured = met.where(F.col("linked").isNotNull() & (F.col("pside") == 0)).join(used, ["rid", "uid"], "left_anti")
-    # Outside every ball; members of a pivot's own component were not measured and stay here.
-    balls = measured.where("linked").select("rid", "uid").distinct()
-    plain = left.where("side = 0").join(balls, ["rid", "uid"], "left_anti")
-    # Ball and window of each pivot: only their cross pairs are open.
-    around = measured.where("linked or window").select(
-        F.xxhash64("rid", "pivot", F.lit(1)).alias("rid"), "uid", F.when(F.col("linked"), 1).otherwise(2).alias("side")
-    )
-    again = plain.select(F.xxhash64("rid").alias("rid"), "uid", "side").union(around)
-    again = again.union(left.where("side > 0").select(F.xxhash64("rid").alias("rid"), "uid", "side"))
-    again = again.join(labels.withColumnRenamed("node", "uid"), "uid", "left")
-    again = again.select("rid", "uid", F.coalesce("component", "uid").alias("comp"), "side")
-    # A ball is one component; of the window only what is not yet part of it is open.
-    ball = again.where("side = 1").groupBy("rid").agg(F.min("comp").alias("ball"))
-    kept = again.join(ball, "rid", "left").where("side < 2 or comp <> ball")
-    ends = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("side") == 2).alias("w"), F.max("side").alias("most")]
-    open_ones = kept.groupBy("rid").agg(*ends, *_signature()).where("lo < hi and (most = 0 or w > 0)")
-    return _once(kept, open_ones).select("rid", "uid", "comp", "side")
-
-
-def _connect(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, component) of everything linked, by rounds over the open regions; None without any."""
-    labels, turn = None, 0
-    while not members.isEmpty():
-        pivots = stored(_pivots(members, turn), "jaccard-pivots")
-        met = members.join(pivots, "rid").where("side = pside or pside > 0")
-        pairs = met.where("comp <> pcomp and (pside = 0 or side <> pside)").select("uid", "pivot").distinct()
-        seen = stored(
-            _distances(sets, pairs).select(
-                "uid",
-                "pivot",
-                (100 * F.col("inter") >= percent * F.col("total")).alias("linked"),
-                (100 * (F.col("total") - F.col("inter")) <= 2 * (100 - percent) * F.col("total")).alias("window"),
-            ),
-            "jaccard-distances",
-        )
-        links = seen.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
-        if labels is not None:  # what is linked so far, as stars
-            links = links.union(labels.select("node", "component"))
-        labels = components(links)
-        met = met.select("rid", "uid", "pivot", "pside").join(seen, ["uid", "pivot"], "left")
-        members = stored(_recurse(members, met, labels), "jaccard-members")
-        del pivots, met, pairs, seen, links
-        release(members.sparkSession)
-        turn += 1
-    return labels
+    Small regions share groups of bounded size.  A region beyond that is cut into blocks, and
+    each pair of blocks is a group.
+    """
+    parts = F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
+    sizes = stored(regions.groupBy("region").agg(parts.alias("parts"), F.sum("n").alias("n")), "jaccard-sizes")
+    total = sizes.where("parts = 1").agg(F.sum("n").alias("n")).first()["n"] or 0
+    packs = max(shuffle_partitions(regions.sparkSession), -(-total * 8 // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
+    routed = regions.drop("n").join(sizes.drop("n"), "region").withColumn("side", F.when(F.col("parts") > 1, block).otherwise(-1))
+    other = F.explode(F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1))))
+    routed = routed.select("*", other.alias("other"))
+    pack = F.when(F.col("parts") > 1, F.col("region")).otherwise(F.pmod(F.xxhash64("region"), F.lit(packs)))
+    to = F.struct(pack.alias("pack"), F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "region", "side")
+    return routed.groupBy("uid").agg(F.collect_list(to).alias("to"))
 
 
 def jaccard_components(
@@ -357,10 +363,11 @@ def jaccard_components(
     every = stored(_regions(rows, shingle, percent), "jaccard-regions")
     near = every.where(F.col("keys").isNotNull() & (F.col("n") > 0))
     first_copy = near.groupBy("n", "f1", "f2").agg(F.min("uid").alias("rep"))
-    copies = stored(near.join(first_copy, ["n", "f1", "f2"]).select("uid", "rep", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys")), "jaccard-copies")
-    members = copies.where("uid = rep").select(F.explode("keys").alias("rid"), "uid", F.col("uid").alias("comp"), F.lit(0).alias("side"))
-    members = _once(members, members.groupBy("rid").agg(*_signature()).where("n > 1"))
-    members = stored(members.select("rid", "uid", "comp", "side"), "jaccard-members")
+    copies = near.join(first_copy, ["n", "f1", "f2"]).select("uid", "rep", "n", F.when(F.col("uid") == F.col("rep"), F.col("keys")).alias("keys"))
+    copies = stored(copies, "jaccard-copies")
+    members = copies.where("uid = rep").select(F.explode("keys").alias("rid"), "uid", "n")
+    regions = stored(_merged(stored(members, "jaccard-members")), "jaccard-merged")
+    routes = stored(_routes(regions), "jaccard-routes")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,14 +375,18 @@ def jaccard_components(
                 value, first = shingles(block, shingle)
                 value = value.astype("<u8")
                 elements = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.rows)), pa.array(elements, pa.binary())], names=["uid", "elements"])
-
-    busy = members.select("uid").distinct()
-    texts = rows.join(busy, rows["_uid"] == busy["uid"], "left_semi").select("_uid", "_text")
-    sets = stored(texts.mapInArrow(encoded, "uid long, elements binary"), "jaccard-sets")
-
+                taken = pa.array(block.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(taken), pa.array(elements, pa.binary()), batch.column(2).take(taken)], names=["uid", "elements", "to"]
+                )
+
+    texts = rows.join(routes, rows["_uid"] == routes["uid"]).select("uid", "_text", "to")
+    schema = StructType.fromDDL("uid long, elements binary").add("to", routes.schema["to"].dataType)
+    sets = texts.mapInArrow(encoded, schema).select("uid", "elements", F.explode("to").alias("to")).select("uid", "elements", "to.*")
+    links = sets.groupBy("pack", "lo", "hi").applyInArrow(lambda table: _region_links(table, percent), "a long, b long")
+    links = stored(links, "jaccard-links")
     with light_driver(docs.sparkSession):
-        labels = _connect(members, sets, percent)
+        labels = None if links.isEmpty() else components(links)
     out = every.select("uid", "n").join(copies.select("uid", "rep"), "uid", "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")

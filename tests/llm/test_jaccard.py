@@ -2,6 +2,7 @@ import random
 
 from plain import documents, jaccard_classes
 
+from flowloom.llm import jaccard
 from flowloom.llm.components import components
 from flowloom.llm.jaccard import jaccard_components
 
@@ -71,3 +72,37 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50, 70)] + [(100, i) for i in range(101, 400)] + [(7, 3), (3, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 50 for i in range(50, 71)} | {i: 100 for i in range(100, 400)} | {3: 3, 7: 3}
+
+
+def loose_family():
+    """Edited versions of one text: most share much with all others, few are linked."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 4, 7, 8, 9, 12])):
+            w[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_rows_do_not_follow_the_pairs_of_a_group(spark, monkeypatch):
+    texts, written, plain = loose_family(), {}, jaccard.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = {i: c for i, _, c in run(spark, enumerate(texts))}
+    assert got == dict(enumerate(jaccard_classes(texts)[1]))
+    assert 20 < len(set(got.values())) < 120
+    assert sum(n for name, n in written.items() if name != "jaccard-members") < 10 * len(texts)
+
+
+def test_blocks_of_a_large_region(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 30)
+    texts = loose_family()
+    assert {i: c for i, _, c in run(spark, enumerate(texts))} == dict(enumerate(jaccard_classes(texts)[1]))
