@@ -32,6 +32,7 @@ from flowloom.llm.common import keyed, shuffle_partitions
 from flowloom.llm.words import Block, blocks, grams, mixed, runs, words
 
 GROUP_BYTES = 16 << 20  # text per group of suffixes
+PART_LEAVES = 1 << 18  # suffixes of a group that are spread out and sorted at once
 BLOCK_BYTES = 4 << 20  # of text whose repeats are removed before the shuffle
 SAMPLE = 16  # one document of so many is looked at to find overfull prefixes
 LEAST_SHARE = 1e-6  # of all windows; bounds the number of lengthened prefixes to a million
@@ -54,8 +55,11 @@ def _windows(block: Block, window: int, prefix: int):
     if not len(place):
         return None
     prefixes = grams(w.hash, prefix, 3)
-    inside = np.lib.stride_tricks.sliding_window_view(prefixes, window - prefix + 1)[place]
-    anchor = place + inside.argmin(1)
+    anchor, least = place.copy(), prefixes[place]
+    for ahead in range(1, window - prefix + 1):  # the first of the smallest ones
+        value = prefixes[place + ahead]
+        less = value < least
+        anchor[less], least[less] = place[less] + ahead, value[less]
     path = grams(w.hash, window, 5)[place] >> np.uint64(16)
     return place, row[place], w.first, anchor, prefixes[anchor], path
 
@@ -142,10 +146,25 @@ def _group_repeats(table: pa.Table) -> pa.Table:
             for part, (j, kind) in zip(known, ((8, "<i8"), (9, "<u4"), (10, "<u4")), strict=True):
                 part.append(np.frombuffer(raw(j), kind))
     uid, pos, size, key = (np.concatenate(x) for x in (uid, pos, size, key))
-    path = (np.concatenate(high).astype(np.uint64) << np.uint64(16)) | np.concatenate(low)
-    size = size.astype(np.int64)
-    shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    uid, pos, key = np.repeat(uid, size), np.repeat(pos.astype(np.int64), size) + shift, np.repeat(key, size)
+    high, low, size = np.concatenate(high), np.concatenate(low), size.astype(np.int64)
+    at = np.cumsum(size) - size
+    # Equal suffixes have equal prefixes, so parts of the prefixes are spread out and sorted one by one.
+    parts = max(1, -(-len(high) // PART_LEAVES))
+    which = (mixed(key + np.uint64(0x14057B7EF767814F)) % np.uint64(parts)).astype(np.int64)
+    found = []
+    for part in range(parts):
+        r = np.flatnonzero(which == part)
+        n = size[r]
+        leaf = np.repeat(at[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        path = (high[leaf].astype(np.uint64) << np.uint64(16)) | low[leaf]
+        start = np.repeat(pos[r].astype(np.int64) - at[r], n) + leaf
+        found.append(_later_leaves(np.repeat(uid[r], n), start, np.repeat(key[r], n), path))
+    found.append(tuple(np.concatenate(x).astype(np.int64) for x in known))
+    return pa.table({name: np.concatenate(x) for name, x in zip(("uid", "start", "length"), zip(*found, strict=True), strict=True)})
+
+
+def _later_leaves(uid: np.ndarray, pos: np.ndarray, key: np.ndarray, path: np.ndarray) -> tuple:
+    """Runs of leaves that follow an equal one: (uid, start, length)."""
     # Most leaves stand alone; only those whose mixed path occurs again are sorted in full.
     blend = mixed(key ^ (path * np.uint64(0x9E3779B97F4A7C15)))
     order = np.argsort(blend)
@@ -158,13 +177,7 @@ def _group_repeats(table: pa.Table) -> pa.Table:
     same = (key[order[1:]] == key[order[:-1]]) & (path[order[1:]] == path[order[:-1]])
     gone = np.sort(order[1:][same])
     at, length = runs(pos[gone], uid[gone])
-    return pa.table(
-        {
-            "uid": np.concatenate([uid[gone][at], *known[0]]),
-            "start": np.concatenate([pos[gone][at], *(x.astype(np.int64) for x in known[1])]),
-            "length": np.concatenate([length, *(x.astype(np.int64) for x in known[2])]).astype(np.int64),
-        }
-    )
+    return uid[gone][at], pos[gone][at], length.astype(np.int64)
 
 
 def repeated_runs(rows: DataFrame, window: int, prefix: int) -> DataFrame:

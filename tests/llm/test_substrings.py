@@ -1,9 +1,13 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from plain import documents, repeats_removed, sha256
 
-from flowloom.llm.substrings import drop_repeated_passages
+from flowloom.llm.substrings import _group_repeats, _suffix_rows, drop_repeated_passages
+from flowloom.llm.words import blocks
 
 
 def corpus():
@@ -70,3 +74,17 @@ def test_nulls_empty_repeated_ids_and_very_long(spark):
 
 def test_empty_table(spark):
     assert drop_repeated_passages(documents(spark, [])).count() == 0
+
+
+def test_memory_of_a_group_stays_near_its_input():
+    """A group of suffixes is spread out in parts, not at once."""
+    rng = random.Random(7)
+    texts = pa.array([" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(4000)])
+    rows = [x for b in blocks(texts, block_bytes=4 << 20) for x in _suffix_rows(b, b.rows.astype(np.int64), 1, np.empty(0, np.uint64), 20, 8)]
+    group = pa.Table.from_batches(rows)
+    tracemalloc.start()
+    marks = _group_repeats(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks.num_rows == 0
+    assert peak < 4 * group.nbytes
