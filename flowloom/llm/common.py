@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -52,16 +51,6 @@ def light_driver(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def release(spark: SparkSession) -> None:
-    """Let driver and cluster drop what no table refers to any more: plans, broadcasts, shuffle files.
-
-    Spark learns that a shuffle is no longer needed when the driver collects its garbage, which
-    a loop of many small jobs does not bring about by itself.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from flowloom.llm.common import keyed, light_driver, shuffle_partitions, stored
 from flowloom.llm.components import components
@@ -42,6 +41,7 @@ COMMON_SHARE = 1e-6  # of all shingles; bounds the list of common ones to a mill
 PIVOTS = 16  # whose distances to all members of a region are kept
 BLOCK_BYTES = 4 << 20  # of sets in one group, or in one block of a larger region
 BLOCK_ROWS = 4096  # sets in one block
+SLOTS = 1 << 24  # bits of the filter that keeps texts without a region from being shuffled
 
 _HALF = np.uint64(1 << 63)
 _DEALT = "bucket int, docs binary, counts binary, low binary, high binary, meta binary"
@@ -344,6 +344,25 @@ def _routes(regions: DataFrame) -> DataFrame:
     return routed.groupBy("uid").agg(F.collect_list(to).alias("to"))
 
 
+def _slots(uids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    slot = mixed(uids.astype(np.uint64)) % np.uint64(SLOTS)
+    return (slot >> np.uint64(6)).astype(np.int64), slot & np.uint64(63)
+
+
+def _filter(routes: DataFrame) -> np.ndarray:
+    """Two megabytes of bits, set for every document that is sent anywhere (and by chance for some others)."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = _slots(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], names=["word", "bits"])
+
+    found = routes.select("uid").mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -369,20 +388,20 @@ def jaccard_components(
     regions = stored(_merged(stored(members, "jaccard-members")), "jaccard-merged")
     routes = stored(_routes(regions), "jaccard-routes")
 
+    sent = _filter(routes)
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            word, bit = _slots(batch.column(0).to_numpy())
+            wanted = np.flatnonzero((sent[word] >> bit) & np.uint64(1))
+            for block in blocks(batch.column(1), wanted):
                 value, first = shingles(block, shingle)
                 value = value.astype("<u8")
                 elements = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                taken = pa.array(block.rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(taken), pa.array(elements, pa.binary()), batch.column(2).take(taken)], names=["uid", "elements", "to"]
-                )
-
-    texts = rows.join(routes, rows["_uid"] == routes["uid"]).select("uid", "_text", "to")
-    schema = StructType.fromDDL("uid long, elements binary").add("to", routes.schema["to"].dataType)
-    sets = texts.mapInArrow(encoded, schema).select("uid", "elements", F.explode("to").alias("to")).select("uid", "elements", "to.*")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(block.rows)), pa.array(elements, pa.binary())], names=["uid", "elements"])
+
+    sets = rows.select("_uid", "_text").mapInArrow(encoded, "uid long, elements binary").join(routes, "uid")
+    sets = sets.select("uid", "elements", F.explode("to").alias("to")).select("uid", "elements", "to.*")
     links = sets.groupBy("pack", "lo", "hi").applyInArrow(lambda table: _region_links(table, percent), "a long, b long")
     links = stored(links, "jaccard-links")
     with light_driver(docs.sparkSession):
