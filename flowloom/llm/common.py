@@ -51,6 +51,18 @@ def light_driver(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Send at most ``most`` rows at once to Python, so that less text lies in the JVM and in its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, now = spark.conf.get(name, None), int(spark.conf.get(name))
+    try:
+        spark.conf.set(name, str(most if now <= 0 else min(now, most)))
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import stored
+from flowloom.llm.common import batch_rows, stored
 from flowloom.llm.tokens import encoder
 
 GROUP_PIECES = 20_000
+BATCH_ROWS = 2_000  # documents that a worker gets at once
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
 _PLACES = "row long, length int, sequence_id long, offset int, certified boolean, fill int"
@@ -186,7 +187,8 @@ def pack_documents(
     not read.  An empty table gives no rows.
     """
     pieces = token_pieces(docs, id_column, text_column, path, capacity).withColumn("row", F.monotonically_increasing_id())
-    pieces = stored(pieces, "pieces")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = stored(pieces, "pieces")
     places = place_pieces(pieces.select("row", "length"), capacity)
     out = pieces.join(places, "row")
     return out.select(

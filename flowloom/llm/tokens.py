@@ -92,7 +92,8 @@ def cut_chunks(block: Block, mode: str, fine: bool) -> tuple[np.ndarray, np.ndar
     data, rows = block.data, np.append(block.starts, len(block.data))
     if mode == "words":
         keep = _KIND[data] != _BLANK
-        before = np.concatenate([[0], np.cumsum(keep)])
+        before = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        np.cumsum(keep, out=before[1:])
         if fine:
             alone = np.append(data[1:] < 128, True)
             data = np.where(alone, _LOWER[data], data)

@@ -4,10 +4,14 @@ A word is a maximal run of bytes other than blank, tab, line feed, vertical tab,
 and carriage return.  Texts are worked on in blocks of half a megabyte, so memory does not
 follow the batch.  One longer text is a block of its own, but its words are still found and
 hashed in strips of 64 KiB: beside the text only about three bytes per byte of it are held.
+
+Arrow's pool and the C heap keep what was freed, so a worker would grow with every operator that
+ran in it.  After every two megabytes of text it returns that to the system.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from flowloom.llm.common import worker_cache
+
 BLOCK_BYTES = 512 << 10
 STRIP_BYTES = 64 << 10
+RETURN_BYTES = 2 << 20  # of text between two returns of freed memory
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 _NOT_SPACE = np.ones(256, bool)
@@ -65,6 +72,25 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def return_memory() -> None:
+    """Give memory that Arrow and the C heap hold but do not use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):  # only glibc has it
+        return
+    trim(ctypes.c_size_t(0))
+
+
+def _worked_on(n: int) -> None:
+    """Note that ``n`` bytes of text are done."""
+    done = worker_cache("text_done")
+    done["bytes"] = done.get("bytes", 0) + n
+    if done["bytes"] >= RETURN_BYTES:
+        done["bytes"] = 0
+        return_memory()
+
+
 def blocks(texts: pa.Array, order: np.ndarray | None = None, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut a text column into blocks, in ``order`` if given; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -83,6 +109,8 @@ def blocks(texts: pa.Array, order: np.ndarray | None = None, block_bytes: int =
         low, high = int(offsets[0]), int(offsets[-1])
         data = np.frombuffer(part.buffers()[2], np.uint8)[low:high] if high > low else np.empty(0, np.uint8)
         yield Block(rows, data, offsets[:-1] - low, offsets[1:] - low)
+        del part, offsets, data
+        _worked_on(high - low)
         at = upto
 
 

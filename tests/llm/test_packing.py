@@ -136,3 +136,67 @@ def test_bound_of_a_histogram():
     count = np.zeros(2049, np.int64)
     count[[700, 1100]] = 10**9, 10**9  # one of each fits a sequence
     assert bound_of_counts(count, 2048) == 10**9
+
+
+KEPT = r'''
+import ctypes, re, sys
+import numpy as np, pyarrow as pa
+from flowloom.llm.tokens import encoder
+
+def held():
+    lines = open("/proc/self/smaps_rollup").read()
+    return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", lines))) / 1024
+
+coder, rng = encoder(sys.argv[1]), np.random.default_rng(5)
+words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(20_000)])
+for _ in range(3):
+    texts = pa.array([" ".join(rng.choice(words, 300)) for _ in range(2_500)])
+    for block in coder.encode_column(texts):
+        pass
+    del texts, block
+before = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - held())
+'''
+
+
+def test_a_worker_keeps_little_memory_that_it_does_not_use():
+    import ctypes
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not Path("/proc/self/smaps_rollup").exists() or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("memory can't be read or trimmed here")
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    done = subprocess.run([sys.executable, "-c", KEPT, PATH], env=env, capture_output=True, text=True, timeout=300, check=True)
+    assert float(done.stdout) < 36
+
+
+def test_freed_memory_is_returned_by_bytes_of_text(monkeypatch):
+    import pyarrow as pa
+
+    from flowloom.llm import words
+
+    calls = []
+    monkeypatch.setattr(words, "return_memory", lambda: calls.append(1))
+    monkeypatch.setitem(words.worker_cache("text_done"), "bytes", 0)
+    for _ in range(50):  # small columns pay nothing
+        list(words.blocks(pa.array(["a b c"])))
+    assert not calls
+    list(words.blocks(pa.array(["x" * 1000] * 9_000)))
+    assert 3 <= len(calls) <= 9_000_000 // words.RETURN_BYTES
+
+
+def test_packing_leaves_the_batch_size_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value in ("7", "0"):
+            spark.conf.set(name, value)
+            got = pack_documents(documents(spark, [(i, f"w{i} the", "s") for i in range(40)]), PATH).collect()
+            assert len(got) == 40 and spark.conf.get(name) == value
+    finally:
+        spark.conf.set(name, before)
